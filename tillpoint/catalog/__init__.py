@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["margin_q", "deals_q", "dashboard_q", "brands_q", "retention_q", "basket_q", "heatmap_q"]
+MODULES = ["margin_q", "deals_q", "dashboard_q", "brands_q", "retention_q", "basket_q", "heatmap_q", "waterfall_q"]
 
 
 def registry() -> dict:
