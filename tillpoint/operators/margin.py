@@ -8,25 +8,31 @@ from pyspark.sql.window import Window
 from tillpoint.functions import fixed
 from tillpoint.functions.expr import isum, isum_if, msum, msum_if, r, safe_div, discount_rate
 
-FP = ~F.col("has_discount")
-DISC = F.col("has_discount")
+
+
+def _fp():
+    return ~F.col("has_discount")
+
+
+def _disc():
+    return F.col("has_discount")
 
 
 def split_aggs() -> list:
     """Full-price vs discounted sums (the pivot written as conditional sums)."""
     return [
-        isum_if(FP, "quantity").alias("full_price_units"),
-        msum_if(FP, "actual_revenue").alias("full_price_sales"),
-        msum_if(FP, "cost").alias("full_price_cost"),
-        isum_if(DISC, "quantity").alias("discounted_units"),
-        msum_if(DISC, "actual_revenue").alias("discounted_sales"),
-        msum_if(DISC, "cost").alias("discounted_cost"),
+        isum_if(_fp(), "quantity").alias("full_price_units"),
+        msum_if(_fp(), "actual_revenue").alias("full_price_sales"),
+        msum_if(_fp(), "cost").alias("full_price_cost"),
+        isum_if(_disc(), "quantity").alias("discounted_units"),
+        msum_if(_disc(), "actual_revenue").alias("discounted_sales"),
+        msum_if(_disc(), "cost").alias("discounted_cost"),
         isum("quantity").alias("total_units"),
         msum("actual_revenue").alias("total_revenue"),
         msum("cost").alias("total_cost"),
         msum("net_profit").alias("net_profit"),
-        F.count(F.when(FP, 1)).alias("_n_fp"),
-        F.count(F.when(DISC, 1)).alias("_n_disc"),
+        F.count(F.when(_fp(), 1)).alias("_n_fp"),
+        F.count(F.when(_disc(), 1)).alias("_n_disc"),
     ]
 
 
@@ -105,10 +111,10 @@ def brand_summary_aggs(prefix: str = "") -> list:
         msum("cost").alias("total_cost"),
         msum("discounts").alias("total_discounts"),
         msum("net_profit").alias("total_profit"),
-        msum_if(FP, "actual_revenue").alias("fp_revenue"),
-        msum_if(FP, "cost").alias("_fp_cost"),
-        msum_if(DISC, "actual_revenue").alias("disc_revenue"),
-        msum_if(DISC, "cost").alias("_disc_cost"),
+        msum_if(_fp(), "actual_revenue").alias("fp_revenue"),
+        msum_if(_fp(), "cost").alias("_fp_cost"),
+        msum_if(_disc(), "actual_revenue").alias("disc_revenue"),
+        msum_if(_disc(), "cost").alias("_disc_cost"),
     ]
 
 
