@@ -294,4 +294,5 @@ ENTRIES = {
     "S9_yoy_matrix": (lambda s, sf: S.yoy_matrix(REG(s, sf), 3), _s9_sql(3)),
     "S10_store_performance": (lambda s, sf: S.store_performance(REG(s, sf)), S10_SQL),
     "S14_year_end": (lambda s, sf: S.year_end(REG(s, sf), YEAR_END), _ye_sql(YEAR_END)),
+    "S16_year_end_insights": (lambda s, sf: S.year_end_insights(REG(s, sf), YEAR_END), None),
 }
