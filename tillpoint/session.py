@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -44,20 +46,39 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 
     Read from the session (``spark.checkpoint.dir`` or the SparkContext
-    checkpoint dir). Only when neither is set (local tests) a fresh scratch
-    folder is created and registered as the checkpoint dir.
+    checkpoint dir). Where neither is set, a local session (tests) gets a fresh
+    folder; on a cluster that is an error, since executors share no local disk.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             d = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once a context (for operators that need Python)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tillpoint_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "tillpoint.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._tillpoint_shipped = True
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A unique path under the shared folder for a materialised table."""
     base = shared_dir(spark).rstrip("/")
