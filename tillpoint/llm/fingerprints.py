@@ -3,7 +3,7 @@
 Every five-word shingle is hashed once; the top bits choose one of BINS bins, each keeps its least hash.
 An empty bin borrows from the first non-empty bin in a fixed random order of its own (optimal
 densification): PROBES universal-hash probes, then the non-empty bin of least priority. The low BITS bits of each
-bin are packed as one hexadecimal digit; the share of equal digits, less what chance gives, is the likeness.
+bin's hash (mixed with the bin) are packed as one hexadecimal digit; the share of equal digits, less what chance gives, is the likeness.
 
 A text of one to four words has one shingle, a text without words (or null) the empty one. Documents with equal
 (doc_id, text) count as one in the order of ids and get equal rows; equal ids with unlike texts follow the
@@ -48,7 +48,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         return F.array_min(F.transform(full, lambda v: F.struct(F.xxhash64(j, a_bin(v), F.lit(PROBES)).alias("p"), v.alias("v"))))["v"]
 
     dense = F.transform(m, lambda x, j: F.when(~_empty(x), x).otherwise(F.coalesce(*(probe(j, t) for t in range(PROBES)), first_by_priority(j))))
-    digits = F.transform(dense, lambda x: F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1))))
+    # a borrowed hash is mixed with its bin, or two texts of few shingles would agree by chance in all bins at once
+    digits = F.transform(dense, lambda x, j: F.hex(F.xxhash64(x, j).bitwiseAND(F.lit((1 << BITS) - 1))))
     return df.withColumn(out, F.lower(F.array_join(digits, ""))).drop(m, full)
 
 

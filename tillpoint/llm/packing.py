@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import save, small_batches, text_chunks
-from tillpoint.llm.units import UnitEncoder
+from tillpoint.llm.units import encoder
 
 
 def cut_lengths(n: int, size: int) -> list[int]:
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, vocab: str, end_id: int, size: int) -> DataFra
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, seen = UnitEncoder(vocab), TaskContext.get().partitionId(), Counter()
+        enc, task, seen = encoder(vocab), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch, texts in text_chunks(batches, "text", 2_000_000):
             out = [[] for _ in range(6)]

@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from tillpoint.llm.common import save, words_column
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Accuracy a rule is believed to have before any document is seen, and for how many votes that counts.
-PRIOR_ACCURACY, PRIOR_VOTES, PRIOR_GOOD = 0.9, 20.0, 0.85
+#: Chance of (vote, document is good) before any document is seen, for how many documents that counts, the share
+#: of good documents, and the most log odds that a good and a bad vote may add: what is wrong with a document
+#: seldom shows in more than one rule, so good votes of the others must not outweigh it.
+PRIOR_VOTE = {(-1, True): 0.004, (-1, False): 0.35, (1, True): 0.8, (1, False): 0.6}
+PRIOR_VOTES, PRIOR_GOOD, MOST_ODDS = 50.0, 0.85, {1: 0.5, -1: 6.0}
 #: Posterior from which a document is kept.
 KEEP_FROM = 0.5
 
@@ -55,56 +58,56 @@ def votes() -> dict[str, Column]:
     """The rules: 1, -1 or 0 each, over the counts."""
     c = F.col
 
-    def rule(good: Column, bad: Column) -> Column:
-        return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)).cast("int")
+    def rule(bad: Column, good: Column | None = None) -> Column:
+        vote = F.when(bad, F.lit(-1))
+        return (vote if good is None else vote.when(good, F.lit(1))).otherwise(F.lit(0)).cast("int")
 
     n, chars = c("n_words"), c("word_chars")
     return {
-        "length": rule(n >= 100, n < 20),
-        "word_length": rule((chars >= 3 * n) & (chars <= 10 * n), (chars < 2 * n) | (chars > 15 * n)),
-        "symbols": rule(c("n_symbols") * 50 <= n, c("n_symbols") * 5 >= n),
-        "lines": rule((c("n_lines") >= 3) & (c("n_dup_lines") * 20 <= c("n_lines")), c("n_dup_lines") * 10 >= 3 * c("n_lines")),
-        "repeats": rule((n >= 20) & (c("n_repeat_words") * 10 <= n), c("n_repeat_words") * 10 >= 4 * n),
-        "capitals": rule(c("n_uppers") * 5 <= chars, c("n_uppers") * 2 >= chars),
-        "distinct": rule((n >= 20) & (c("n_distinct") * 5 >= 2 * n), (n >= 50) & (c("n_distinct") * 10 <= n)),
-        "marks": rule(c("n_marks") * 20 <= n, c("n_marks") * 3 >= n),
-        "next_word": rule((n >= 20) & (c("n_next_same") * 20 <= n), c("n_next_same") * 5 >= n),
+        "length": rule(n < 20, n >= 100),
+        "word_length": rule((chars < 2 * n) | (chars > 15 * n), (chars >= 3 * n) & (chars <= 10 * n)),
+        "distinct": rule((n >= 50) & (c("n_distinct") * 10 <= n), (n >= 20) & (c("n_distinct") * 5 >= 2 * n)),
+        "symbols": rule(c("n_symbols") * 10 >= n),
+        "lines": rule((c("n_dup_lines") >= 2) & (c("n_dup_lines") * 10 >= 3 * c("n_lines"))),
+        "repeats": rule((n >= 20) & (c("n_repeat_words") * 10 >= 4 * n)),
+        "capitals": rule((n >= 20) & (c("n_uppers") * 4 >= chars)),
+        "marks": rule(c("n_marks") * 4 >= n),
+        "next_word": rule((n >= 20) & (c("n_next_same") * 5 >= n)),
     }
 
 
 class VoteModel:
-    """Share of good documents, and for each rule how often its votes are right on good and on bad ones."""
+    """Share of good documents, and how often each rule votes good or bad on good and on bad documents."""
 
     def __init__(self, names: list[str]):
         self.names, self.good = names, PRIOR_GOOD
-        self.right = {k: (PRIOR_ACCURACY, PRIOR_ACCURACY) for k in names}
+        self.chance = {k: dict(PRIOR_VOTE) for k in names}
 
     def log_odds(self, name: str, vote: int) -> float:
-        """What a vote adds to the log odds of a good document; an abstention adds nothing."""
-        on_good, on_bad = self.right[name]
-        return 0.0 if not vote else math.log(on_good / (1 - on_bad)) if vote > 0 else math.log((1 - on_good) / on_bad)
+        """What a vote adds to the log odds of a good document, on the vote's side; an abstention adds nothing."""
+        if not vote:
+            return 0.0
+        z = math.log(self.chance[name][vote, True] / self.chance[name][vote, False])
+        return min(max(z * vote, 0.2), MOST_ODDS[vote]) * vote
 
     def posterior(self, pattern: tuple[int, ...]) -> float:
         z = math.log(self.good / (1 - self.good)) + sum(self.log_odds(k, v) for k, v in zip(self.names, pattern))
         return 1 / (1 + math.exp(-z))
 
     def fit(self, patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> VoteModel:
-        """Expectation-maximisation over (pattern, number of documents); priors keep rules better than chance."""
+        """Expectation-maximisation over (pattern, number of documents), with the priors as PRIOR_VOTES more documents."""
         for _ in range(rounds):
             weights = [(p, n, self.posterior(p)) for p, n in patterns]
-            total = sum(n for _, n, _ in weights)
-            self.good = (sum(n * q for _, n, q in weights) + PRIOR_VOTES * PRIOR_GOOD) / (total + PRIOR_VOTES)
+            of = {True: sum(n * q for _, n, q in weights), False: sum(n * (1 - q) for _, n, q in weights)}
+            self.good = (of[True] + PRIOR_VOTES * PRIOR_GOOD) / (of[True] + of[False] + PRIOR_VOTES)
             self.good = min(max(self.good, 0.05), 0.98)
             for i, k in enumerate(self.names):
-                right = [0.0, 0.0]
-                seen = [0.0, 0.0]
+                cast = {key: PRIOR_VOTES * prior for key, prior in PRIOR_VOTE.items()}
                 for p, n, q in weights:
                     if p[i]:
-                        seen[0] += n * q
-                        seen[1] += n * (1 - q)
-                        right[0 if p[i] > 0 else 1] += n * (q if p[i] > 0 else 1 - q)
-                # a rule stays better than chance on both kinds, and is never taken as infallible
-                self.right[k] = tuple(min(max((r + PRIOR_VOTES * PRIOR_ACCURACY) / (s + PRIOR_VOTES), 0.55), 0.99) for r, s in zip(right, seen))
+                        cast[p[i], True] += n * q
+                        cast[p[i], False] += n * (1 - q)
+                self.chance[k] = {(vote, good): c / (of[good] + PRIOR_VOTES) for (vote, good), c in cast.items()}
         return self
 
     def column(self) -> Column:

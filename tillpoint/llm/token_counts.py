@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import save, small_batches, stable_sample, text_chunks
-from tillpoint.llm.units import LONG_UNIT, UnitEncoder, units_of
+from tillpoint.llm.units import LONG_UNIT, encoder, units_of
 
 HOT_UNITS, HOT_DOCS = 131_072, 3_000
 
@@ -28,7 +28,7 @@ HOT_UNITS, HOT_DOCS = 131_072, 3_000
 def _count_pieces(vocab: str):
     """unit -> unit, number of its ids."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = UnitEncoder(vocab)
+        enc = encoder(vocab)
         for batch in batches:
             units = batch.column("unit").to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(enc.counts(units), pa.int64())], ["unit", "pieces"])

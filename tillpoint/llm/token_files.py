@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import small_batches, stable_sample, text_chunks
-from tillpoint.llm.units import UnitEncoder
+from tillpoint.llm.units import encoder
 from tillpoint.session import scratch_path
 
 #: Documents the dictionary is trained on, bytes of one training piece, and the most pieces.
@@ -46,7 +46,7 @@ def train_dictionary(docs: DataFrame, vocab: str, n_docs: int = DICT_DOCS, n_byt
     bytes reach the driver). Too few samples give b'': frames are then written without a dictionary.
     """
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = UnitEncoder(vocab, keep=50_000)
+        enc = encoder(vocab)
         for _, texts in text_chunks(batches, "text"):
             cut = [b[i:i + DICT_PIECE] for b in enc.encode(texts) for i in range(0, len(b), DICT_PIECE)]
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.binary())], ["piece"])
@@ -62,7 +62,7 @@ def train_dictionary(docs: DataFrame, vocab: str, n_docs: int = DICT_DOCS, n_byt
 
 def _writer(vocab: str, end_id: int, dictionary: bytes, dict_hash: str, level: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = UnitEncoder(vocab)
+        enc = encoder(vocab)
         end = np.array([end_id], enc.dtype).tobytes()
         made = zstandard.ZstdCompressor(level=level, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(dictionary)) \
             if dictionary else zstandard.ZstdCompressor(level=level, write_content_size=True)

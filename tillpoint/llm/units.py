@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -38,18 +39,74 @@ def units_of(texts: list[str]) -> tuple[list[list[str]], set[str]]:
     return parts, seen
 
 
+#: A word of Latin letters with at most a space before it, then marks: pieces of their own in both vocabularies.
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,!?;:*#$%&|<>]*)")
+_PROBES = ["a", " The", "Été", " Straße.", "Ñandú!!", " x|", "***", " And,***"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: printable Latin-1 as it is, the rest from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in shown else next(rest)) for b in range(256)}
+
+
 class UnitEncoder:
-    """Encodes texts; remembers units in two generations of at most `keep` each, so memory is bounded."""
+    """Encodes texts; remembers units in two generations of at most about `keep` each, so memory is bounded.
 
-    def __init__(self, path: str, keep: int = 250_000):
+    A unit that is new is put together from its words, marks and line breaks where it is plain, so that only
+    words not seen before reach the vocabulary's model; other units go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, keep: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.keep, self.now, self.before = keep, {}, {}
+        # whether the model sees words as they are, or lower-cased without the space
+        self.folds = None
+        for folds in (False, True):
+            if all(self._modelled(u, folds) == self._whole([u])[0] for u in _PROBES):
+                self.folds = folds
+                break
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _modelled(self, unit: str, folds: bool) -> bytes:
+        """Ids of a plain unit, its word and its marks each by the vocabulary's model."""
+        out = []
+        for part in _PLAIN.fullmatch(unit).groups():
+            if part and folds:
+                part = part.strip().lower()
+            if part:
+                out += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+        return np.array(out, self.dtype).tobytes()
+
+    def _known(self, unit: str) -> bytes:
+        ids = self.now.get(unit)
+        if ids is None:
+            ids = self.before.get(unit)
+            self.now[unit] = ids = self._modelled(unit, self.folds) if ids is None else ids
+        return ids
+
+    def _composed(self, unit: str) -> bytes | None:
+        """Ids of a unit of plain lines with single line breaks between them, or None."""
+        if self.folds is None:
+            return None
+        found = [_PLAIN.fullmatch(line) for line in unit.split("\n")]
+        if not all(m and m[0] for m in found) or any(m[0][0] == " " for m in found[1:]):
+            return None
+        return self.line_break.join(b"".join(self._known(p) for p in m.groups() if p) for m in found)
+
+    @cached_property
+    def line_break(self) -> bytes:
+        return self._whole(["\n"])[0]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids (`self.dtype`) of each text, without added special tokens."""
@@ -60,14 +117,14 @@ class UnitEncoder:
         for unit in seen:
             if unit not in now:
                 ids = before.get(unit)
+                if ids is None and len(unit) <= LONG_UNIT:
+                    ids = self._composed(unit)
                 if ids is None:
                     new.append(unit)
                 else:
                     now[unit] = ids
         for i in range(0, len(new), 8192):
-            some = new[i:i + 8192]
-            for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                now[unit] = np.array(e.ids, self.dtype).tobytes()
+            now.update(zip(new[i:i + 8192], self._whole(new[i:i + 8192])))
         out = [b"".join(map(now.__getitem__, p)) for p in parts]
         for unit in new:
             if len(unit) > LONG_UNIT:
@@ -77,3 +134,9 @@ class UnitEncoder:
     def counts(self, units: list[str]) -> list[int]:
         """Number of ids of each unit."""
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> UnitEncoder:
+    """The encoder of this Python worker: later tasks go on with what earlier ones have learnt."""
+    return UnitEncoder(path)
