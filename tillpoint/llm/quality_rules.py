@@ -21,7 +21,7 @@ from tillpoint.llm.common import save, words_column
 
 SYMBOLS = r"[#*$%&|<>]"
 #: Chance of (vote, document is good) before any document is seen, for how many documents that counts, the share
-#: of good documents, and the most log odds that a good and a bad vote may add: what is wrong with a document
+#: of good documents taken as given, and the most log odds that a good and a bad vote may add: what is wrong with a document
 #: seldom shows in more than one rule, so good votes of the others must not outweigh it.
 PRIOR_VOTE = {(-1, True): 0.004, (-1, False): 0.35, (1, True): 0.8, (1, False): 0.6}
 PRIOR_VOTES, PRIOR_GOOD, MOST_ODDS = 50.0, 0.85, {1: 0.5, -1: 6.0}
@@ -77,10 +77,10 @@ def votes() -> dict[str, Column]:
 
 
 class VoteModel:
-    """Share of good documents, and how often each rule votes good or bad on good and on bad documents."""
+    """How often each rule votes good or bad on good and on bad documents; the share of good ones is given."""
 
-    def __init__(self, names: list[str]):
-        self.names, self.good = names, PRIOR_GOOD
+    def __init__(self, names: list[str], good: float = PRIOR_GOOD, most: dict[int, float] = MOST_ODDS):
+        self.names, self.good, self.most = names, good, most
         self.chance = {k: dict(PRIOR_VOTE) for k in names}
 
     def log_odds(self, name: str, vote: int) -> float:
@@ -88,7 +88,7 @@ class VoteModel:
         if not vote:
             return 0.0
         z = math.log(self.chance[name][vote, True] / self.chance[name][vote, False])
-        return min(max(z * vote, 0.2), MOST_ODDS[vote]) * vote
+        return min(max(z * vote, 0.2), self.most[vote]) * vote
 
     def posterior(self, pattern: tuple[int, ...]) -> float:
         z = math.log(self.good / (1 - self.good)) + sum(self.log_odds(k, v) for k, v in zip(self.names, pattern))
@@ -99,8 +99,6 @@ class VoteModel:
         for _ in range(rounds):
             weights = [(p, n, self.posterior(p)) for p, n in patterns]
             of = {True: sum(n * q for _, n, q in weights), False: sum(n * (1 - q) for _, n, q in weights)}
-            self.good = (of[True] + PRIOR_VOTES * PRIOR_GOOD) / (of[True] + of[False] + PRIOR_VOTES)
-            self.good = min(max(self.good, 0.05), 0.98)
             for i, k in enumerate(self.names):
                 cast = {key: PRIOR_VOTES * prior for key, prior in PRIOR_VOTE.items()}
                 for p, n, q in weights:
