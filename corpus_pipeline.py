@@ -8,16 +8,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillpoint.llm import jaccard_join, mixing, packing, quality_model, quality_rules
 from tillpoint.llm.catalog import SEQUENCE, table
+from tillpoint.llm.common import save
 from tillpoint.session import scratch_path
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rule ensemble, learnt from `labels`, accepts."""
     model = quality_model.train_quality_model(docs, table(spark, sf_dir, "labels"), lambda: ~quality_model.held_out())
-    return quality_model.score_quality(docs, model).where("predicted = 1").select(*docs.columns)
+    # written before the filter, or the filter would be pushed into the scoring and repeat it
+    whole = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_document"))
+    scored = save(quality_model.score_quality(whole, model).select("_document", "predicted"), "scored")
+    return scored.where("predicted = 1").select("_document.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

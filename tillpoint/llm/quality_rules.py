@@ -2,7 +2,7 @@
 
 Each rule votes 1 (good), -1 (bad) or 0 (abstains) on counts of the document. Expectation-maximisation
 estimates how often each rule is right on good and on bad documents, from the counts of vote patterns
-over all documents (at most 3^9 rows, however many documents); the posterior that a document is good is
+over all documents (at most 3^11 rows, however many documents); the posterior that a document is good is
 then a column expression. It replaces the test that all rules must pass.
 
 Words are runs of anything but space, tab and the line and page breaks. Null text has no words and fails
@@ -50,6 +50,8 @@ def with_counts(docs: DataFrame) -> DataFrame:
         "n_lines": F.size("_lines"), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": covered, "n_distinct": F.size(F.array_distinct("_words")), "n_next_same": next_same,
         "n_uppers": F.regexp_count(text, F.lit(r"\p{Lu}")), "n_marks": F.regexp_count(text, F.lit("[!?]")),
+        "n_others": F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\x20\x09-\x0D]")),
+        "n_wordless": F.size(F.filter("_words", lambda w: ~F.rlike(w, F.lit(r"\p{L}")))),
     }
     return base.withColumns({k: v.cast("bigint") for k, v in counts.items()}).drop("_words", "_lines", "_windows", "_starts")
 
@@ -68,6 +70,8 @@ def votes() -> dict[str, Column]:
         "word_length": rule((chars < 2 * n) | (chars > 15 * n), (chars >= 3 * n) & (chars <= 10 * n)),
         "distinct": rule((n >= 50) & (c("n_distinct") * 10 <= n), (n >= 20) & (c("n_distinct") * 5 >= 2 * n)),
         "symbols": rule(c("n_symbols") * 10 >= n),
+        "letters": rule((n >= 10) & (c("n_others") * 4 >= chars)),
+        "wordless": rule((n >= 10) & (c("n_wordless") * 5 >= n)),
         "lines": rule((c("n_dup_lines") >= 2) & (c("n_dup_lines") * 10 >= 3 * c("n_lines"))),
         "repeats": rule((n >= 20) & (c("n_repeat_words") * 10 >= 4 * n)),
         "capitals": rule((n >= 20) & (c("n_uppers") * 4 >= chars)),
@@ -115,14 +119,20 @@ class VoteModel:
         return 1 / (1 + F.exp(-z))
 
 
+def fit_votes(cast: DataFrame) -> VoteModel:
+    """The vote model of a table with the vote_ columns: only the counts of their patterns reach the driver."""
+    columns = [f"vote_{k}" for k in votes()]
+    counts = cast.groupBy(*columns).agg(F.count("*").alias("n")).collect()
+    return VoteModel(list(votes())).fit([(tuple(r[k] for k in columns), r["n"]) for r in counts])
+
+
 def judge_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior, votes)."""
     rules = votes()
     counted = save(with_counts(docs.select("doc_id", "text")).drop("text"), "rule-counts")
     cast = counted.select("*", *(v.alias(f"vote_{k}") for k, v in rules.items()))
     columns = [f"vote_{k}" for k in rules]
-    patterns = [(tuple(r[k] for k in columns), r["n"]) for r in cast.groupBy(*columns).agg(F.count("*").alias("n")).collect()]
-    model = VoteModel(list(rules)).fit(patterns)
+    model = fit_votes(cast)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = cast.withColumn("base_failed", failed).withColumn("posterior", model.column())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM)).select(
@@ -132,16 +142,13 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents the rules keep, all columns.
 
-    The counts depend on the text alone, so verdicts are computed on the rows themselves; the vote
-    model is fitted on all of them first.
+    Documents and their counts are written once; the vote model is fitted on all of them and the verdicts
+    are taken from that table, so no text is looked at twice and no filter is pushed into the counting.
     """
-    rules = votes()
-    names = docs.columns
+    rules, names = votes(), docs.columns
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), "text")
-    slim = save(with_counts(docs.select("text")).drop("text"), "rule-counts")
-    columns = [f"vote_{k}" for k in rules]
-    patterns = [(tuple(r[k] for k in columns), r["n"]) for r in slim.select(*(v.alias(f"vote_{k}") for k, v in rules.items())).groupBy(*columns).agg(F.count("*").alias("n")).collect()]
-    model = VoteModel(list(rules)).fit(patterns)
+    counted = save(with_counts(row).drop("text"), "rule-counts")
+    cast = counted.select("_row", "n_words", "n_repeat_words", *(v.alias(f"vote_{k}") for k, v in rules.items()))
+    model = fit_votes(cast)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    judged = with_counts(row).select("_row", failed.alias("failed"), *(v.alias(f"vote_{k}") for k, v in rules.items()))
-    return judged.where(~F.col("failed") & (model.column() >= KEEP_FROM)).select(*(F.col("_row").getField(c).alias(c) for c in names))
+    return cast.where(~failed & (model.column() >= KEEP_FROM)).select(*(F.col("_row").getField(c).alias(c) for c in names))
