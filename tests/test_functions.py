@@ -93,5 +93,5 @@ def test_period_algebra():
     p = Period.custom(dt.date(2025, 1, 10), dt.date(2025, 1, 19)).previous()
     assert (p.start, p.end) == (dt.date(2024, 12, 31), dt.date(2025, 1, 9))
     rg = Period.of_range(2024, 11, 2025, 1).previous()
-    assert (rg.start_ym, rg.end_ym) == (202408, 202410)
+    assert (rg.start, rg.end, rg.label) == (dt.date(2024, 8, 1), dt.date(2024, 10, 31), "Aug 2024 to Oct 2024")
     assert Period.of_month(2025, 3, store="X").previous().store == "X"

@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from tillpoint.functions import fixed
-from tillpoint.sources.pos_csv import load_quality, read_sales_csv
+from tillpoint.sources.pos_csv import load_quality, read_sales_csv, skipped_files
 from tillpoint.streaming.ingest import incremental_ingest
 
 HEAD = list(fixed.COLUMN_MAP.keys())
@@ -47,3 +47,32 @@ def test_csv_and_stream(spark):
     assert rows == {("r1", 12.0), ("r3", 7.0)}
     assert {r.category_clean for r in out.collect()} == {"PRE ROLL"}
     assert out.where(F.col("store_clean") == "Downtown").count() == 2
+
+
+def test_columns_are_bound_by_name(spark):
+    d = tempfile.mkdtemp(prefix="run-inbox-", dir="/tmp")
+    order = ["Store", "Extra", *[h for h in reversed(HEAD) if h not in ("Store", "Brand")]]
+    vals = dict(zip(HEAD, next(__import__("csv").reader([_row("r1", "Gummy", "01/05/2025 03:04:05 PM", "10.00", "A, B")]))))
+    vals["Extra"] = "X"
+    with __import__("gzip").open(os.path.join(d, "margin report 2025-01-01 2025-01-31.csv.gz"), "wt") as f:
+        f.write(",".join(f'"{h}"' for h in order) + "\n" + ",".join(f'"{vals[h]}"' for h in order) + "\n")
+    with open(os.path.join(d, "margin report broken.csv.gz"), "wb") as f:
+        f.write(b"\x1f\x8bnot a gzip file")
+    raw = read_sales_csv(spark, d)
+    r, = raw.collect()
+    assert (r.receipt_id, r.product, r.category, r.brand, r.quantity, r.actual_revenue) == ("r1", "Gummy", "Pre-Rolls", None, 2, 10.0)
+    assert r._corrupt_record is None
+    assert [x.file_name for x in skipped_files(spark, d, raw).collect()] == ["margin report broken.csv.gz"]
+
+
+def test_later_corrected_and_late_files(spark):
+    d, table, ck = (tempfile.mkdtemp(prefix="run-", dir="/tmp") for _ in range(3))
+    _write(d, "margin report 2025-01-01 2025-01-31.csv",
+           [_row("r1", "Gummy", "01/05/2025 03:04:05 PM", "10.00"), _row("r2", "Cart", "01/06/2025 03:04:05 PM", "5.00")])
+    first = incremental_ingest(spark, d, table + "/sales", ck)
+    assert first.count() == 2
+    _write(d, "margin report 2025-01-01 2025-02-28.csv", [_row("r1", "Gummy", "01/05/2025 03:04:05 PM", "12.00")])
+    _write(d, "margin report 2024-01-01 2024-01-31.csv", [_row("r0", "Cart", "01/06/2024 03:04:05 PM", "3.00")])
+    rows = incremental_ingest(spark, d, table + "/sales", ck).collect()
+    assert {(r.receipt_id, r.actual_revenue) for r in rows} == {("r1", 12.0), ("r2", 5.0), ("r0", 3.0)}
+    assert {(r.category_clean, r.brand_clean) for r in rows} == {("PRE ROLL", "Acme")}

@@ -40,8 +40,7 @@ K4_SQL = oracle(f"""
 , rp AS (SELECT receipt_id, product, row_number() OVER (PARTITION BY receipt_id ORDER BY product) AS k
          FROM (SELECT DISTINCT receipt_id, product FROM regular WHERE product IS NOT NULL)),
 nm AS (SELECT count(*) AS n FROM rp WHERE k = 2),
-lim AS (SELECT * FROM rp WHERE k <= {fixed.BASKET_MAX_PRODUCTS}),
-g AS (SELECT a.product AS product_a, b.product AS product_b, count(*) AS c FROM lim a JOIN lim b
+g AS (SELECT a.product AS product_a, b.product AS product_b, count(*) AS c FROM rp a JOIN rp b
       ON a.receipt_id = b.receipt_id AND a.product < b.product GROUP BY 1, 2),
 t AS (SELECT *, row_number() OVER (ORDER BY c DESC, product_a, product_b) AS rank FROM g)
 SELECT rank, product_a, product_b, CAST(c AS BIGINT) AS co_purchase_count,
@@ -50,7 +49,7 @@ SELECT rank, product_a, product_b, CAST(c AS BIGINT) AS co_purchase_count,
 
 K5_SQL = oracle(f"""
 , rc AS (SELECT DISTINCT receipt_id, category_clean AS category FROM regular WHERE category_clean IS NOT NULL),
-q AS (SELECT category, count(*) AS baskets FROM rc GROUP BY 1 HAVING count(*) >= {fixed.CATEGORY_PAIR_MIN_BASKETS}),
+q AS (SELECT category, count(*) AS baskets FROM rc GROUP BY 1),
 rq AS (SELECT * FROM rc WHERE category IN (SELECT category FROM q)),
 g AS (SELECT a.category AS category_a, b.category AS category_b, count(*) AS c FROM rq a JOIN rq b
       ON a.receipt_id = b.receipt_id AND a.category < b.category GROUP BY 1, 2)

@@ -161,7 +161,7 @@ pair AS (
     printf('Margin increased %.1f pts from %s to %s.', lm - pm, pl, ll)
   FROM pair WHERE n >= 2 AND lm - pm > 3
 ), ranked AS (SELECT *, row_number() OVER (ORDER BY rule_order, sub) AS position FROM rules)
-SELECT rule_order, type, title, detail, position FROM ranked WHERE position <= 6
+SELECT rule_order, type, title, detail, position FROM ranked
 """)
 
 S7_SQL = oracle(MONTHLY_CTE + f"""
@@ -243,6 +243,15 @@ FROM x
 """)
 
 
+S12_SQL = f"""
+SELECT revenue, prior_revenue, CASE WHEN prior_revenue > 0 THEN {R(PCTCHG('revenue', 'prior_revenue'))} END AS company_sssg,
+  top_performer, bottom_performer
+FROM (SELECT {MS('revenue')} AS revenue, {MS('prior_revenue')} AS prior_revenue,
+        arg_min(name, rank) AS top_performer, first(name ORDER BY margin, rank) AS bottom_performer
+      FROM ({S10_SQL}) AS sp) AS t
+"""
+
+
 def _ye_sql(year: int) -> str:
     cm = f"month IN (SELECT DISTINCT month FROM regular WHERE year = {year})"
     return oracle(f"""
@@ -288,11 +297,12 @@ ENTRIES = {
     "S3_best_worst_month": (lambda s, sf: S.best_worst_month(S.monthly_groups(REG(s, sf))), S3_SQL),
     "S4_top_categories": (lambda s, sf: S.top_categories(REG(s, sf), 8), S4_SQL),
     "S5_top_stores": (lambda s, sf: S.store_totals(REG(s, sf)), S5_SQL),
-    "S6_insights": (lambda s, sf: S.insights(REG(s, sf), 6), S6_SQL),
+    "S6_insights": (lambda s, sf: S.insights(REG(s, sf)), S6_SQL),
     "S7_mom_yoy": (lambda s, sf: S.mom_yoy(REG(s, sf)), S7_SQL),
     "S8_mom_totals": (lambda s, sf: S.mom_totals(REG(s, sf)), S8_SQL),
     "S9_yoy_matrix": (lambda s, sf: S.yoy_matrix(REG(s, sf), 3), _s9_sql(3)),
     "S10_store_performance": (lambda s, sf: S.store_performance(REG(s, sf)), S10_SQL),
+    "S12_S13_company_growth": (lambda s, sf: S.company_sssg(REG(s, sf)), S12_SQL),
     "S14_year_end": (lambda s, sf: S.year_end(REG(s, sf), YEAR_END), _ye_sql(YEAR_END)),
     "S16_year_end_insights": (lambda s, sf: S.year_end_insights(REG(s, sf), YEAR_END), None),
 }

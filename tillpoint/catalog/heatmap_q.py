@@ -42,10 +42,9 @@ M3_SQL = oracle(PARTS + f"""
 SELECT day, {DAYS}[day + 1] AS day_name, revenue, transactions, {R(SD('revenue', 'transactions'), 2)} AS avg_basket FROM g
 """)
 M4_SQL = oracle(PARTS + f"""
-, n AS (SELECT count(DISTINCT store_clean) AS n FROM regular)
 SELECT store_clean AS store, day, hour, {MS('actual_revenue')} AS revenue,
   CAST(count(DISTINCT receipt_id) AS BIGINT) AS transactions
-FROM p, n WHERE store_clean IS NOT NULL AND n.n BETWEEN 1 AND {fixed.STORE_HEATMAP_MAX_STORES}
+FROM p WHERE store_clean IS NOT NULL
 GROUP BY store_clean, day, hour
 """)
 PEAK = PARTS + f"""

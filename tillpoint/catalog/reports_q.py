@@ -1,4 +1,4 @@
-"""Catalog: brand reports (R1-R8, R14) on the brand-gap variant of the sales view."""
+"""Catalog: brand reports (R1-R8, R14), on the whole fact table."""
 from __future__ import annotations
 
 from tillpoint.catalog.base_sql import oracle
@@ -8,11 +8,11 @@ from tillpoint.plans.curate import load_sales, regular
 
 
 def REGG(spark, sf):
-    return regular(load_sales(spark, sf, brand_gaps=True))
+    return regular(load_sales(spark, sf))
 
 
 def G(q: str) -> str:
-    return oracle(q, brand_gaps=True)
+    return oracle(q)
 
 
 BR = ", b AS (SELECT *, brand_clean AS brand FROM regular WHERE brand_clean IS NOT NULL)\n"

@@ -97,7 +97,8 @@ DISPOSABLE_CATEGORIES = ["DISPOSABLE VAPE"]
 
 INTERNAL_BRANDS = ["HAUS", "HUSTLE & GROW", "PISTOLA", "GREEN & GOLD", "RETREAT", "FADE", "G&G EXTRACTS"]
 
-EXCLUDED_STORES = ["Thrive Commerce"]
+# Stores left out of every report; a deployment names its own.
+EXCLUDED_STORES = ["Head Office"]
 
 # Transaction classification patterns.
 REWARD_PATTERN = "REWARD|POINT|REDEMPTION"

@@ -47,33 +47,36 @@ def basket_kpis(regular: DataFrame) -> DataFrame:
                     "total_baskets")
 
 
-def product_pairs(regular: DataFrame, top_n: int = 20, max_products: int = fixed.BASKET_MAX_PRODUCTS) -> DataFrame:
-    """K4: top product pairs bought together.
-
-    Distinct (receipt, product); per receipt only the first ``max_products``
-    products alphabetically take part (the reference's bound: at most
-    190 pairs per receipt, whatever the receipt size). ``row_number <= k``
-    is planned as a WindowGroupLimit, so a huge receipt is cut map-side
-    before the shuffle. Pairs come from a self equi-join on the receipt
-    with ``a < b``; the share is over receipts with 2+ products.
+def _pair_counts(rp: DataFrame) -> DataFrame:
+    a, b = (rp.select("receipt_id", F.col("product").alias(c)) for c in ("product_a", "product_b"))
+    pairs = a.join(b, "receipt_id").where(F.col("product_a") < F.col("product_b"))
+    return pairs.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("co_purchase_count"))
+
+
+def product_pairs(regular: DataFrame, top_n: int = 20, seeds: int = 200) -> DataFrame:
+    """K4: the top product pairs bought together, over whole receipts.
+
+    A pair is bought at most as often as its rarer product, so products bought in fewer receipts than the
+    count of the ``top_n``-th pair cannot matter. That count is bounded from below by the pairs of the
+    ``seeds`` most bought products alone; all products with at least that support are then paired. The
+    result is exact for receipts of any size; the share is over receipts with two or more products.
     """
     rp = regular.where(F.col("product").isNotNull()).select("receipt_id", "product").distinct()
-    w = Window.partitionBy("receipt_id").orderBy("product")
-    rp = rp.withColumn("_k", F.row_number().over(w))
-    n_multi = (rp.where(F.col("_k") == 2).agg(F.count(F.lit(1)))).scalar()
-    lim = rp.where(F.col("_k") <= max_products)
-    a = lim.select("receipt_id", F.col("product").alias("product_a"))
-    b = lim.select("receipt_id", F.col("product").alias("product_b"))
-    pairs = a.join(b, "receipt_id").where(F.col("product_a") < F.col("product_b"))
-    g = pairs.groupBy("product_a", "product_b").agg(F.count(F.lit(1)).alias("co_purchase_count"))
+    n_multi = rp.groupBy("receipt_id").count().agg(F.count(F.when(F.col("count") >= 2, 1))).scalar()
+    support = rp.groupBy("product").agg(F.count(F.lit(1)).alias("support"))
+    common = support.orderBy(F.desc("support"), "product").limit(seeds).select("product")
+    seeded = _pair_counts(rp.join(common, "product", "left_semi")).orderBy(F.desc("co_purchase_count")).limit(top_n)
+    # fewer pairs than asked for bound nothing
+    bound = seeded.agg(F.when(F.count(F.lit(1)) == top_n, F.min("co_purchase_count")).otherwise(1)).scalar()
+    g = _pair_counts(rp.join(support.where(F.col("support") >= bound), "product", "left_semi"))
     wt = Window.orderBy(F.desc("co_purchase_count"), "product_a", "product_b")
     top = g.withColumn("rank", F.row_number().over(wt)).where(F.col("rank") <= top_n)
     return top.select("rank", "product_a", "product_b", "co_purchase_count",
                       r(safe_div(F.col("co_purchase_count"), n_multi) * 100, 2).alias("pct_of_multi_baskets"))
 
 
-def category_pairs(regular: DataFrame, min_baskets: int = fixed.CATEGORY_PAIR_MIN_BASKETS) -> DataFrame:
-    """K5: category pairs among categories seen in at least ``min_baskets`` receipts.
+def category_pairs(regular: DataFrame, min_baskets: int = 1) -> DataFrame:
+    """K5: category pairs, of all categories unless ``min_baskets`` asks for categories seen in that many receipts.
 
     Rate = pair count / receipts of category_a. The qualifying category set
     is tiny (categories, not products) and is semi-joined before the self-join.

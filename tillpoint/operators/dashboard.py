@@ -159,8 +159,8 @@ def store_totals(regular: DataFrame) -> DataFrame:
                     F.row_number().over(Window.orderBy(F.desc("revenue"), "name")).alias("position"))
 
 
-def insights(regular: DataFrame, cap: int = 6) -> DataFrame:
-    """Rule-based insights; at most ``cap`` in rule order.
+def insights(regular: DataFrame, top: int | None = None) -> DataFrame:
+    """Rule-based insights in rule order; all of them unless ``top`` asks for fewer.
 
     Each rule is a filtered one-row (or per-store) frame; union + row_number.
     """
@@ -215,7 +215,8 @@ def insights(regular: DataFrame, cap: int = 6) -> DataFrame:
     for x in rules[1:]:
         u = u.unionByName(x)
     w2 = Window.orderBy("rule_order", "_sub")
-    return u.withColumn("position", F.row_number().over(w2)).where(_m("position") <= cap).drop("_sub")
+    placed = u.withColumn("position", F.row_number().over(w2)).drop("_sub")
+    return placed if top is None else placed.where(_m("position") <= top)
 
 
 def mom_yoy(regular: DataFrame) -> DataFrame:

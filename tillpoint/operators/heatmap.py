@@ -47,13 +47,11 @@ def daily_summary(regular: DataFrame) -> DataFrame:
                     r(safe_div(F.col("revenue"), F.col("transactions")), 2).alias("avg_basket"))
 
 
-def store_traffic_grid(regular: DataFrame, max_stores: int = fixed.STORE_HEATMAP_MAX_STORES) -> DataFrame:
-    """M4: the grid per store, only when there are 1..max_stores stores (presentation cap, a parameter)."""
-    n = regular.agg(F.countDistinct("store_clean")).scalar()
-    g = (_parts(regular).where(F.col("store_clean").isNotNull())
+def store_traffic_grid(regular: DataFrame) -> DataFrame:
+    """M4: the grid of every store."""
+    return (_parts(regular).where(F.col("store_clean").isNotNull())
          .groupBy(F.col("store_clean").alias("store"), "day", "hour")
          .agg(msum("actual_revenue").alias("revenue"), F.countDistinct("receipt_id").alias("transactions")))
-    return g.where((n >= 1) & (n <= max_stores))
 
 
 def traffic_kpis(regular: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """POS CSV sources (A1-A7): discovery, tolerant all-string reads, typing.
 
-Every CSV column is read as a string with an explicit schema (no schema
-inference), only mapped columns are kept, and the file name / end date come
+Files are read as cells without schema inference; columns are bound by the names in
+each file's header row, never by position. The file name and its end date come
 from the ``_metadata`` column, so discovery, dedup ranking and "latest file
 only" are column expressions rather than driver-side file loops.
 """
@@ -13,6 +13,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tillpoint.functions import clean, fixed
 
+#: Columns a file may have at most.
+MAX_COLUMNS = 128
+
 FILE_DATES = r"(\d{4}-\d{2}-\d{2})\s+(\d{4}-\d{2}-\d{2})"
 
 
@@ -31,20 +34,52 @@ def _keyword_filter(col, keywords, exclude=None):
     return inc
 
 
-def read_csv_files(spark: SparkSession, inbox: str, headers, keywords=None, exclude=None,
-                   corrupt_col: str = "_corrupt_record") -> DataFrame:
-    """A2 + A6 + A7: recursive discovery of *.csv / *.csv.gz, keyword filter on the file name,
-    PERMISSIVE parsing (bad rows keep their text in ``_corrupt_record``), corrupt files skipped."""
-    schema = raw_schema(list(headers) + [corrupt_col])
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", corrupt_col).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.csv*").option("ignoreCorruptFiles", True)
-          .schema(schema).csv(inbox))
-    df = df.withColumn("file_name", F.url_decode(F.col("_metadata.file_name"))) \
-        .withColumn("file_mtime", F.col("_metadata.file_modification_time"))
+def name_cells(cells: DataFrame, headers) -> DataFrame:
+    """Raw cells (`cells` array, file_name, file_mtime) -> one column a header, by the names in each file's own header row.
+
+    A header row is one with at least three of the wanted names (or all, if fewer); the first of a file counts. Columns
+    may stand in any order, unknown ones are left out, missing ones are null; a row with more cells than its
+    file's header keeps them as ``_corrupt_record``. The header table has one row a file.
+    """
+    wanted = F.array(*(F.lit(h) for h in headers))
+    trimmed = F.transform("cells", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
+    cells = cells.withColumn("_is_header", F.size(F.array_intersect(trimmed, wanted)) >= min(3, len(list(headers))))
+    places = F.struct(*(F.array_position(trimmed, F.lit(h)).cast("int").alias(f"h{i}") for i, h in enumerate(headers)),
+                      F.size(F.filter("cells", lambda c: c.isNotNull())).alias("width"))
+    head = cells.where("_is_header").groupBy(F.col("file_name").alias("_file")).agg(F.first(places).alias("_at"))
+    rows = cells.where(~F.col("_is_header")).join(head, F.col("file_name") == F.col("_file"), "left")
+    extra = F.exists(F.slice("cells", F.coalesce(F.col("_at.width"), F.lit(0)) + 1, MAX_COLUMNS), lambda c: c.isNotNull())
+    value = lambda i: F.when(F.col(f"_at.h{i}") > 0, F.get("cells", F.col(f"_at.h{i}") - 1))
+    return rows.select(*(value(i).alias(h) for i, h in enumerate(headers)), "file_name", "file_mtime",
+                       F.when(F.col("_file").isNull() | extra, F.array_join("cells", ",", "")).alias("_corrupt_record"))
+
+
+def cell_schema() -> StructType:
+    return raw_schema([f"_c{i}" for i in range(MAX_COLUMNS)])
+
+
+def as_cells(df: DataFrame) -> DataFrame:
+    """Positional columns -> (cells, file_name, file_mtime)."""
+    return df.select(F.array(*(F.col(f"_c{i}") for i in range(MAX_COLUMNS))).alias("cells"),
+                     F.url_decode(F.col("_metadata.file_name")).alias("file_name"), F.col("_metadata.file_modification_time").alias("file_mtime"))
+
+
+def read_csv_files(spark: SparkSession, inbox: str, headers, keywords=None, exclude=None) -> DataFrame:
+    """A2 + A6 + A7: recursive discovery of *.csv / *.csv.gz, keyword filter on the file name, columns bound by
+    header name. Unreadable files are skipped here and listed by `skipped_files`."""
+    raw = (spark.read.option("header", False).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.csv*").option("ignoreCorruptFiles", True).schema(cell_schema()).csv(inbox))
+    cells = as_cells(raw)
     if keywords:
-        df = df.where(_keyword_filter(F.col("file_name"), keywords, exclude))
-    return df
+        cells = cells.where(_keyword_filter(F.col("file_name"), keywords, exclude))
+    return name_cells(cells, list(headers))
+
+
+def skipped_files(spark: SparkSession, inbox: str, read: DataFrame) -> DataFrame:
+    """Files of the inbox (file_name, length) of which no row was read: unreadable, empty or without a known header."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").load(inbox)
+              .select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file_name"), "length"))
+    return listed.join(read.select("file_name").distinct(), "file_name", "left_anti")
 
 
 def file_end_date(file_name_col) -> F.Column:
@@ -56,18 +91,19 @@ def file_end_date(file_name_col) -> F.Column:
 def read_sales_csv(spark: SparkSession, inbox: str, keywords=None, exclude=None) -> DataFrame:
     """A1: sales lines with internal names and typed values, ready for curation (plans.curate)."""
     df = read_csv_files(spark, inbox, fixed.COLUMN_MAP.keys(), keywords or fixed.SALES_KEYWORDS, exclude)
-    m = fixed.COLUMN_MAP
-    out = df.select(
-        *[F.col(f"`{k}`").alias(v) for k, v in m.items()], "file_name", "_corrupt_record",
-        F.monotonically_increasing_id().alias("row_seq"))
-    money = {c: clean.parse_currency(F.col(c)) for c in fixed.MONEY_COLS}
-    out = out.select(
+    return typed_sales(df)
+
+
+def typed_sales(named: DataFrame) -> DataFrame:
+    """Named text columns -> internal names and types; row_seq is the line's place in its file."""
+    out = named.select(*[F.col(f"`{k}`").alias(v) for k, v in fixed.COLUMN_MAP.items()], "file_name", "_corrupt_record",
+                       F.monotonically_increasing_id().alias("row_seq"))
+    return out.select(
         "receipt_id", "order_type", "sold_by", clean.parse_timestamp(F.col("completed_at")).alias("completed_at"),
         F.col("completed_at").alias("_completed_at_text"), "customer_id", "customer_name", "store", "product",
         "category", "brand", clean.coerce_quantity(F.col("quantity")).alias("quantity"),
-        *[money[c].alias(c) for c in fixed.MONEY_COLS], "deals_used", "inline_discounts", "file_name",
+        *[clean.parse_currency(F.col(c)).alias(c) for c in fixed.MONEY_COLS], "deals_used", "inline_discounts", "file_name",
         file_end_date(F.col("file_name")).alias("file_end"), "row_seq", "_corrupt_record")
-    return out
 
 
 def load_quality(sales_raw: DataFrame) -> DataFrame:

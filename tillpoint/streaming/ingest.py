@@ -1,76 +1,55 @@
-"""Incremental ingest (A8) and stream dedup (D2) with Structured Streaming.
-
-A file-source stream over the inbox; inside the stream
-``dropDuplicatesWithinWatermark`` removes repeats of the dedup key that
-arrive close together (state bounded by the watermark). Cross-batch truth
-is the batch rule D1, applied in ``foreachBatch`` only to the (year, month)
-partitions a micro-batch touches: existing rows of those partitions are
-unioned with the new lines, re-curated and written back with dynamic
-partition overwrite. ``availableNow`` processes whatever has landed, then stops.
+"""Incremental ingest (A8) and its dedup (D2) with Structured Streaming.
+
+A file-source stream hands each micro-batch its files' cells, header rows included; ``foreachBatch`` binds
+them by header name, appends the typed lines to a raw table partitioned by (year, month), and derives the
+touched months of the curated table anew from all raw lines of those months (dynamic partition overwrite).
+The latest-file rule D1 is therefore applied to everything that ever arrived: corrected, late and repeated
+lines all end as a single load of the same files would. No line is dropped inside the stream, and a
+batch that runs twice only repeats lines that D1 folds. ``availableNow`` processes what has landed, then stops.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.functions import clean, fixed
+from tillpoint.functions import fixed
 from tillpoint.plans.curate import SALES_COLUMNS, curate
-from tillpoint.sources.pos_csv import _keyword_filter, file_end_date, raw_schema
+from tillpoint.sources.pos_csv import _keyword_filter, as_cells, cell_schema, name_cells, typed_sales
 
-RAW_COLS = ["receipt_id", "order_type", "sold_by", "completed_at", "customer_id", "customer_name", "store",
-            "product", "category", "brand", "quantity", *fixed.MONEY_COLS, "deals_used", "inline_discounts",
-            "file_name", "file_end", "row_seq"]
 
-
-def sales_stream(spark: SparkSession, inbox: str, watermark: str = "2 days") -> DataFrame:
-    """The typed line stream with in-stream dedup."""
-    s = (spark.readStream.option("header", True).option("pathGlobFilter", "*.csv*")
-         .schema(raw_schema(fixed.COLUMN_MAP.keys())).csv(inbox))
-    m = fixed.COLUMN_MAP
-    s = s.select(*[F.col(f"`{k}`").alias(v) for k, v in m.items()], F.url_decode(F.col("_metadata.file_name")).alias("file_name"))
-    s = s.select(
-        "receipt_id", "order_type", "sold_by", clean.parse_timestamp(F.col("completed_at")).alias("completed_at"),
-        "customer_id", "customer_name", "store", "product", "category", "brand",
-        clean.coerce_quantity(F.col("quantity")).alias("quantity"),
-        *[clean.parse_currency(F.col(c)).alias(c) for c in fixed.MONEY_COLS], "deals_used", "inline_discounts",
-        "file_name", file_end_date(F.col("file_name")).alias("file_end"))
-    s = s.where(F.col("completed_at").isNotNull() & _keyword_filter(F.col("file_name"), fixed.SALES_KEYWORDS))
-    # watermarks need an instant-typed event time; the session runs in UTC
-    s = s.withColumn("_event_ts", F.col("completed_at").cast("timestamp"))
-    return s.withWatermark("_event_ts", watermark).dropDuplicatesWithinWatermark(
-        ["receipt_id", "product", "completed_at"])
+def sales_stream(spark: SparkSession, inbox: str) -> DataFrame:
+    """The cells of new sales files."""
+    raw = (spark.readStream.option("header", False).option("pathGlobFilter", "*.csv*").option("recursiveFileLookup", True)
+           .schema(cell_schema()).csv(inbox))
+    return as_cells(raw).where(_keyword_filter(F.col("file_name"), fixed.SALES_KEYWORDS))
 
 
 def _merge_batch(table_path: str, category_aliases: dict | None):
+    raw_path = table_path.rstrip("/") + "_raw"
+
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        # position of the line within its micro-batch (static frame here)
-        batch = batch.withColumn("row_seq", F.monotonically_increasing_id()).select(*RAW_COLS).persist()
-        touched = batch.select(F.year("completed_at").alias("year"), F.month("completed_at").alias("month")).distinct()
-        try:
-            existing = spark.read.parquet(table_path).join(touched, ["year", "month"], "left_semi")
-            old = existing.select(*[F.col(c) for c in RAW_COLS if c in existing.columns])
-            for c in RAW_COLS:
-                if c not in existing.columns:
-                    old = old.withColumn(c, F.lit(None).cast(batch.schema[c].dataType))
-            old = old.select(*RAW_COLS)
-            # existing rows rank after new ones only through their own file dates
-            raw = batch.unionByName(old.withColumn("row_seq", F.col("row_seq").cast("long")))
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            raw = batch
-        cur = curate(raw, category_aliases=category_aliases)
-        cur = cur.withColumn("row_seq", F.lit(0).cast("long"))  # keep position info out of the table
-        (cur.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("year", "month").parquet(table_path))
-        batch.unpersist()
+        lines = typed_sales(name_cells(batch, list(fixed.COLUMN_MAP))).where("completed_at is not null").withColumns(
+            {"year": F.year("completed_at"), "month": F.month("completed_at")})
+        lines = lines.persist()
+        # one row a month: the months' literals prune the partitions read below
+        months = [(r.year, r.month) for r in lines.select("year", "month").distinct().collect()]
+        if months:
+            lines.write.mode("append").partitionBy("year", "month").parquet(raw_path)
+            touched = reduce(lambda a, m: a | ((F.col("year") == m[0]) & (F.col("month") == m[1])), months, F.lit(False))
+            stored = spark.read.schema(lines.schema).parquet(raw_path).where(touched).drop("year", "month")
+            (curate(stored, category_aliases=category_aliases).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("year", "month").parquet(table_path))
+        lines.unpersist()
 
     return merge
 
 
-def incremental_ingest(spark: SparkSession, inbox: str, table_path: str, checkpoint: str,
-                       category_aliases: dict | None = None, watermark: str = "2 days"):
+def incremental_ingest(spark: SparkSession, inbox: str, table_path: str, checkpoint: str, category_aliases: dict | None = None):
     """Run the ingest stream once over everything that has landed (availableNow)."""
-    q = (sales_stream(spark, inbox, watermark).writeStream.foreachBatch(_merge_batch(table_path, category_aliases))
+    q = (sales_stream(spark, inbox).writeStream.foreachBatch(_merge_batch(table_path, category_aliases))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(table_path).select(*[c for c in SALES_COLUMNS])
+    return spark.read.parquet(table_path).select(*SALES_COLUMNS)
