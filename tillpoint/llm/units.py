@@ -44,6 +44,17 @@ _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?([.,!?;:*#$%&|<>]*)")
 _PROBES = ["a", " The", "Été", " Straße.", "Ñandú!!", " x|", "***", " And,***"]
 
 
+def plain_pieces(unit: str) -> list[str] | None:
+    """Words (with a space before the first, if any), marks and line breaks of a unit of plain lines; None if it isn't one."""
+    found = [_PLAIN.fullmatch(line) for line in unit.split("\n")]
+    if not all(m and m[0] for m in found) or any(m[0][0] == " " for m in found[1:]):
+        return None
+    out: list[str] = []
+    for m in found:
+        out += ["\n"] * bool(out) + [p for p in m.groups() if p]
+    return out
+
+
 def _byte_letters() -> dict[int, str]:
     """The letters that byte-level vocabularies write for bytes: printable Latin-1 as it is, the rest from U+0100 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -96,13 +107,9 @@ class UnitEncoder:
         return ids
 
     def _composed(self, unit: str) -> bytes | None:
-        """Ids of a unit of plain lines with single line breaks between them, or None."""
-        if self.folds is None:
-            return None
-        found = [_PLAIN.fullmatch(line) for line in unit.split("\n")]
-        if not all(m and m[0] for m in found) or any(m[0][0] == " " for m in found[1:]):
-            return None
-        return self.line_break.join(b"".join(self._known(p) for p in m.groups() if p) for m in found)
+        """Ids of a unit put together from its plain pieces, or None."""
+        pieces = None if self.folds is None else plain_pieces(unit)
+        return None if pieces is None else b"".join(self.line_break if p == "\n" else self._known(p) for p in pieces)
 
     @cached_property
     def line_break(self) -> bytes:
