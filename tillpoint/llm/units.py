@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -78,38 +79,45 @@ class UnitEncoder:
         self.tokenizer.no_padding()
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "HI"[self.dtype.itemsize // 2 - 1]
         self.keep, self.now, self.before = keep, {}, {}
         # whether the model sees words as they are, or lower-cased without the space
         self.folds = None
         for folds in (False, True):
-            if all(self._modelled(u, folds) == self._whole([u])[0] for u in _PROBES):
+            if all(b"".join(self._modelled(p, folds) for p in plain_pieces(u)) == self._whole([u])[0] for u in _PROBES):
                 self.folds = folds
                 break
 
     def _whole(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _modelled(self, unit: str, folds: bool) -> bytes:
-        """Ids of a plain unit, its word and its marks each by the vocabulary's model."""
-        out = []
-        for part in _PLAIN.fullmatch(unit).groups():
-            if part and folds:
-                part = part.strip().lower()
-            if part:
-                out += [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-        return np.array(out, self.dtype).tobytes()
-
-    def _known(self, unit: str) -> bytes:
-        ids = self.now.get(unit)
+    def _modelled(self, piece: str, folds: bool) -> bytes:
+        """Ids of one plain piece, a word or marks, by the vocabulary's model."""
+        if folds:
+            piece = piece.strip().lower()
+        # printable ASCII is written as it is
+        shown = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _known(self, piece: str) -> bytes:
+        ids = self.now.get(piece)
         if ids is None:
-            ids = self.before.get(unit)
-            self.now[unit] = ids = self._modelled(unit, self.folds) if ids is None else ids
+            ids = self.before.get(piece)
+            self.now[piece] = ids = self._modelled(piece, self.folds) if ids is None else ids
         return ids
 
     def _composed(self, unit: str) -> bytes | None:
         """Ids of a unit put together from its plain pieces, or None."""
-        pieces = None if self.folds is None else plain_pieces(unit)
-        return None if pieces is None else b"".join(self.line_break if p == "\n" else self._known(p) for p in pieces)
+        if self.folds is None:
+            return None
+        if line := _PLAIN.fullmatch(unit):  # most units have one line
+            word, marks = line.groups()
+            if not marks:
+                return self._modelled(word, self.folds) if word else None
+            return self._known(word) + self._known(marks) if word else self._known(marks)
+        pieces = plain_pieces(unit)
+        return None if pieces is None else b"".join([self.line_break if p == "\n" else self._known(p) for p in pieces])
 
     @cached_property
     def line_break(self) -> bytes:
@@ -121,15 +129,14 @@ class UnitEncoder:
         if len(self.now) > self.keep:
             self.before, self.now = self.now, {}
         now, before, new = self.now, self.before, []
-        for unit in seen:
-            if unit not in now:
-                ids = before.get(unit)
-                if ids is None and len(unit) <= LONG_UNIT:
-                    ids = self._composed(unit)
-                if ids is None:
-                    new.append(unit)
-                else:
-                    now[unit] = ids
+        for unit in seen.difference(now):
+            ids = before.get(unit)
+            if ids is None and len(unit) <= LONG_UNIT:
+                ids = self._composed(unit)
+            if ids is None:
+                new.append(unit)
+            else:
+                now[unit] = ids
         for i in range(0, len(new), 8192):
             now.update(zip(new[i:i + 8192], self._whole(new[i:i + 8192])))
         out = [b"".join(map(now.__getitem__, p)) for p in parts]
