@@ -165,3 +165,28 @@ DEAD_STOCK_DAYS = 60
 VELOCITY_WINDOW_DAYS = 90
 STORE_HEATMAP_MAX_STORES = 9
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+# Advice texts: (severity or priority, title, detail, action) in printf form.
+ADVICE_BELOW_CATEGORY = ("red", "%s: BELOW CATEGORY AVERAGE",
+                         "Margin (%.1f%%) is %.0f pts below %s average. Ranked #%d of %d. Strong case for cost negotiation.",
+                         "Request %.0f%% cost reduction or evaluate alternative %s brands.")
+ADVICE_BENCHMARK_GAP = ("yellow", "CATEGORY BENCHMARK GAP", "Overall margin (%.1f%%) trails %s average (%.1f%%) by %.1f pts.",
+                        "Negotiate cost reduction or increase retail price.")
+ADVICE_PROMOTION = ("red", "HIGH PROMOTION DEPENDENCY", "Only %.0f%% sells at full price. Heavy discounting required.",
+                    "Test reducing deal frequency — track velocity without promos.")
+ADVICE_DISCOUNTED = ("red", "LOW DISCOUNTED MARGIN", "Margin drops to %.1f%% when discounted.",
+                     "Cap discount depth at 20% or negotiate lower wholesale cost.")
+ADVICE_STRONG = ("green", "STRONG PERFORMER", "Ranked #%d in %s with %.1f pts above average.",
+                 "Expand shelf space and prioritize this brand in category.")
+ADVICE_VOLUME = ("info", "VOLUME LEVERAGE", "$%s revenue provides negotiating leverage.",
+                 "Use volume as leverage in next vendor meeting.")
+REC_BELOW_CATEGORY_PTS, REC_STRONG_PTS, REC_STRONG_RANK = -10, 5, 5
+REC_SKU_PRODUCTS, REC_VELOCITY_INDEX, PRICING_PRODUCTS = 5, 80, 30
+GROWTH_STORE = ("Expand to %s", "Store has $%s in %s — categories where %s competes.")
+GROWTH_SKU = ("Add '%s' to %d more store(s)", "Carried in %d stores. Missing from: %s")
+GROWTH_VELOCITY = ("Improve velocity in %s", "Velocity index %.0f (below category average). %.1f units/day vs %.1f avg.")
+INSIGHT_FULL_PRICE_PCT = 30
+INSIGHT_FAR_BELOW = "%s margin (%.1f%%) is %.0f pts BELOW %s average (%.1f%%). Strong case for cost reduction."
+INSIGHT_BELOW = "%s margin (%.1f%%) is slightly below %s average (%.1f%%). Room for negotiation."
+INSIGHT_DISCOUNTS = "Only %.0f%% sells at full price. Heavy discounting required to move inventory."
+INSIGHT_WELL = "%s performs well — ranked #%d in %s with %.1f%% margin vs %.1f%% category average."

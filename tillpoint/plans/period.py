@@ -104,6 +104,17 @@ class Period:
         return Period(self.grain, self.start - days, self.end - days, self.store)
 
 
+def comparison_period(kind: str | None, **fields) -> Period | None:
+    """A second period, asked for independently of the first; None without a kind, an error for an unknown one."""
+    if kind is None:
+        return None
+    makers = {"all": Period.all, "month": Period.of_month, "quarter": Period.of_quarter, "year": Period.of_year,
+              "range": Period.of_range, "custom": Period.custom}
+    if kind not in makers:
+        raise ValueError(f"unknown kind of period: {kind}")
+    return makers[kind](**fields)
+
+
 def store_filter(df: DataFrame, store: str | None) -> DataFrame:
     """C2."""
     return df if not store else df.where(F.col("store_clean") == F.lit(store))
