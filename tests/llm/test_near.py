@@ -95,6 +95,19 @@ def test_a_large_group_of_near_copies_over_several_blocks(spark, monkeypatch):
     assert [r.doc_id for r in kept] == [0]
 
 
+def test_links_across_the_rim_of_a_hub(spark):
+    """Chains of texts, each linked to the next, whose far ends are well below the threshold: no hub is near all."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        w = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
+        for _ in range(12):
+            texts.append((len(texts), " ".join(w)))
+            at = rng.randrange(180)
+            w[at:at + 8] = [f"n{rng.randrange(10 ** 9)}" for _ in range(8)]
+    check(spark.createDataFrame(texts, "doc_id bigint, text string"), texts)
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(100, 300)] + [(7, 7), (1, 9), (9, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

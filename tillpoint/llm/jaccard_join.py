@@ -3,9 +3,10 @@
 1. Texts are told apart by sha256: copies share one representative and are counted, never paired.
 2. Each representative gets a MinHash signature over its five-word shingles; bands and rows are chosen so that
    a pair at the threshold meets in some band with the target probability.
-3. Rows are shuffled on band hashes. In each bucket every text meets one hub, not every other text;
-   pairs whose signatures are far below the threshold fall, and those texts meet a hub of their own in the
-   next round, until no bucket has two left.
+3. Rows are shuffled on band hashes. In each bucket every text meets one hub, not every other text. Those near the
+   hub are settled; the others meet a hub of their own in the next round, until no bucket has two left. A text
+   linked to a settled one may itself be further from that hub by the distance of a link (Jaccard distance is a
+   metric), so pairs of text and hub are candidates to that wider radius.
 4. Connected candidates are compared on their full shingle sets, all against all, in blocks of BLOCK texts
    a side: large groups are spread over many tasks, and a task gives one row a text (links counted, and whom
    it hangs on), never one a pair.
@@ -35,8 +36,10 @@ from tillpoint.llm.components import components
 SHINGLE, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 220
 #: Texts on either side of one verification task's matrix.
 BLOCK = 256
-#: How far a pair's estimated similarity may fall below the threshold and still be verified.
+#: A text whose estimated similarity to its bucket's hub is at most this far below the threshold is settled.
 SLACK = 0.2
+#: Allowance for the error of two estimates (a standard deviation is about 0.035 each).
+ERROR = 0.1
 
 
 @dataclass(frozen=True)
@@ -126,14 +129,16 @@ def signatures(docs: DataFrame, banding: Banding) -> DataFrame:
 
 
 def candidate_edges(texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): text and hub pairs of any bucket whose signatures agree nearly as often as the threshold asks."""
+    """(a, b): text and hub pairs of any bucket, such that all linked texts of a bucket are connected."""
     spark = texts.sparkSession
+    settled = threshold - SLACK
+    candidate = max(0.0, settled - (1 - threshold) - ERROR)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("low_a", "low_b"))
             est = ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256) if batch.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est >= threshold - SLACK)], ["a", "b", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(est >= candidate), pa.array(est >= settled)], ["a", "b", "near", "settled"])
 
     low = texts.select("node", "low")
     rest = texts.select("node", F.explode("bands").alias("band"))
@@ -148,10 +153,10 @@ def candidate_edges(texts: DataFrame, threshold: float) -> DataFrame:
             break
         pairs = met.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
         pairs = pairs.join(low.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b")
-        judged = save(pairs.mapInArrow(near, "a bigint, b bigint, near boolean"), "candidates")
+        judged = save(pairs.mapInArrow(near, "a bigint, b bigint, near boolean, settled boolean"), "candidates")
         good = judged.where("near").select("a", "b")
         found = good if found is None else found.union(good)
-        far = judged.where("not near").select(F.col("a").alias("node"), F.col("b").alias("hub"))
+        far = judged.where("not settled").select(F.col("a").alias("node"), F.col("b").alias("hub"))
         rest = met.join(far, ["node", "hub"], "left_semi").select("node", "band")
     return found.distinct() if found is not None else spark.createDataFrame([], "a bigint, b bigint")
 
