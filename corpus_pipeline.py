@@ -2,7 +2,8 @@
 
 Stages write Parquet into the shared folder and the next one rereads it. Null texts count as empty
 and are judged like any text; extra columns of the documents pass through the filtering stages; an empty
-table passes through as an empty one. Mixing shows in the order of the written rows.
+table passes through as an empty one. Mixing shows in the order of the written rows, which packing reads from the
+files and keeps: the first sequences hold the first documents of the mix, up to one window of packing.
 """
 from __future__ import annotations
 
@@ -41,8 +42,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of at most 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=SEQUENCE)[1]
+    """Places of all pieces in sequences of at most 2048 tokens, numbered in the order of the mix."""
+    return packing.pack_in_order(mixing.written_order(docs), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=SEQUENCE)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", rules), ("ngram_jaccard_join", near_duplicates),

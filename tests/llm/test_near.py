@@ -145,3 +145,25 @@ def test_pipeline_of_nothing(spark, empty, tmp_path):
         frame = empty if t == "documents" else spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
         frame.write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_packing_keeps_the_mix(spark):
+    """Sources of unlike lengths: the documents of the leading sequences follow the weights (sizes 4000 and 1000: 2 to 1)."""
+    rows = [(i, "word " * 300, "long") for i in range(4000)] + [(i, "tiny", "short") for i in range(4000, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    path = corpus_pipeline.scratch_path(spark, "test-mix")
+    corpus_pipeline.mix(spark, docs, "").write.option("maxRecordsPerFile", 400).parquet(path)
+    mixed = spark.read.parquet(path)
+    placed = corpus_pipeline.pack(spark, mixed, "").select("doc_id", "sequence_id", "offset", "length").collect()
+    assert sorted(r.doc_id for r in placed) == list(range(5000))
+    by_sequence = defaultdict(list)
+    for r in placed:
+        by_sequence[r.sequence_id].append(r)
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    for s in by_sequence.values():
+        spans = sorted((r.offset, r.offset + r.length) for r in s)
+        assert spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+    leading = [r.doc_id for k in sorted(by_sequence) for r in by_sequence[k]][:2048]
+    assert abs(sum(i < 4000 for i in leading) - 2048 * 2 / 3) < 32
+    order = {r.doc_id: r.position for r in corpus_pipeline.mixing.written_order(mixed).collect()}
+    assert sorted(order.values()) == list(range(5000)) and {order[i] for i in leading} == set(range(2048))

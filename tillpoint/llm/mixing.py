@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,3 +130,21 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     rest = tuple(c for c in columns if c not in ("doc_id", "source"))
     place = mix_order(docs, keep=rest, **options)
     return place.repartitionByRange("position").sortWithinPartitions("position").select(*columns)
+
+
+def written_order(docs: DataFrame) -> DataFrame:
+    """`docs`, read from files that `mixed` wrote, with the `position` (0, 1, ...) of each row in that order."""
+    file, columns = F.col("_metadata.file_name").alias("_file"), docs.columns
+    sizes = {r[0]: r[1] for r in docs.groupBy(file).count().collect()}  # one row a file
+
+    def place(name: str) -> tuple:
+        part = re.match(r"part-(\d+)\b.*?[-.]c(\d+)\b", name)
+        return (int(part[1]), int(part[2])) if part else (math.inf, name)
+
+    starts, at = [], 0
+    for name in sorted(sizes, key=place):
+        starts.append((name, at))
+        at += sizes[name]
+    starts = docs.sparkSession.createDataFrame(starts, "_file string, _start bigint")
+    return docs.select("*", file, F.col("_metadata.row_index").alias("_row")).join(F.broadcast(starts), "_file").select(
+        *(F.col(f"`{c}`") for c in columns if c != "position"), (F.col("_start") + F.col("_row")).alias("position"))

@@ -6,6 +6,9 @@ to two unpacked ones that fit the widened gap more tightly; a bin's pattern is r
 lengths last. Pieces take the places of their length by rank. Ranks come from (task, running number)
 pairs and per-task counts, so no length, however common, is sorted or gathered in one task.
 
+`pack_in_order` packs each window of consecutive documents on its own and numbers the sequences in their
+order, so that an order of the documents (a mix of sources) holds among the sequences too.
+
 Null text counts as empty (the end id alone); null and repeated doc_ids are packed like any other; an
 empty table gives no pieces; other columns are ignored.
 """
@@ -22,6 +25,10 @@ from pyspark.sql import functions as F
 
 from tillpoint.llm.common import save, small_batches, text_chunks
 from tillpoint.llm.units import encoder
+from tillpoint.plans.prefix import global_running
+
+#: Documents that `pack_in_order` packs together.
+WINDOW_DOCS = 2048
 
 
 def cut_lengths(n: int, size: int) -> list[int]:
@@ -31,10 +38,10 @@ def cut_lengths(n: int, size: int) -> list[int]:
     return ([n % size] if n % size else []) + [size] * (n // size)
 
 
-def token_pieces(docs: DataFrame, vocab: str, end_id: int, size: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids, task, nth): the pieces with their ids (little-endian uint32).
+def token_pieces(docs: DataFrame, vocab: str, end_id: int, size: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, piece, start, length, ids, nth, task, *keep): the pieces with their ids (little-endian uint32).
 
-    `nth` numbers the pieces of one length within one writing task.
+    `nth` numbers the pieces of one length within one writing task; `keep` are bigint columns of the documents.
     """
     small_batches(docs.sparkSession)
 
@@ -42,22 +49,24 @@ def token_pieces(docs: DataFrame, vocab: str, end_id: int, size: int) -> DataFra
         enc, task, seen = encoder(vocab), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
         for batch, texts in text_chunks(batches, "text", 2_000_000):
-            out = [[] for _ in range(6)]
-            for doc_id, raw in zip(batch.column("doc_id").to_pylist(), enc.encode(texts)):
+            out, row = [[] for _ in range(6)], []
+            for i, (doc_id, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), enc.encode(texts))):
                 ids = np.frombuffer(raw, enc.dtype).astype("<u4").tobytes() + end
                 start = 0
                 for piece, n in enumerate(cut_lengths(len(ids) // 4, size)):
                     for column, value in zip(out, (doc_id, piece, start, n, ids[4 * start:4 * (start + n)], seen[n])):
                         column.append(value)
+                    row.append(i)
                     seen[n] += 1
                     start += n
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(c, k) for c, k in zip(out, kinds)), pa.array([task] * len(out[0]), pa.int32())],
-                ["doc_id", "piece", "start", "length", "ids", "nth", "task"])
+                [*(pa.array(c, k) for c, k in zip(out, kinds)), pa.array([task] * len(out[0]), pa.int32()),
+                 *(batch.column(c).take(pa.array(row, pa.int64())) for c in keep)],
+                ["doc_id", "piece", "start", "length", "ids", "nth", "task", *keep])
 
-    return save(docs.select("doc_id", "text").mapInArrow(
-        cut, "doc_id bigint, piece int, start bigint, length bigint, ids binary, nth bigint, task int"), "pieces")
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids binary, nth bigint, task int"
+    return save(docs.select("doc_id", "text", *keep).mapInArrow(cut, ", ".join([schema, *(f"{c} bigint" for c in keep)])), "pieces")
 
 
 def best_two_fit(histogram: dict[int, int], size: int) -> list[tuple[int, list[int]]]:
@@ -155,6 +164,41 @@ def pack_documents(docs: DataFrame, vocab: str, end_id: int = 0, size: int = 204
     return pieces, assign_sequences(digests, size)
 
 
+def pack_in_order(docs: DataFrame, vocab: str, end_id: int = 0, size: int = 2048, window_docs: int = WINDOW_DOCS) -> DataFrame:
+    """As the second of `pack_documents`, for documents with a `position` that counts up from 0.
+
+    Each window of `window_docs` positions fills sequences of its own, pieces of one length by position, and its
+    sequences are numbered after those of the windows before, by the least position they hold. So the first
+    sequences hold the first documents, up to one window; a window leaves about one sequence part empty.
+    """
+    pieces = token_pieces(docs, vocab, end_id, size, ("position",))
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "position",
+                            F.expr(f"position div {int(window_docs)}").alias("window"))
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+    def pack(window: pa.Table) -> pa.Table:
+        window = window.sort_by([("position", "ascending"), ("piece", "ascending")]).combine_chunks()
+        length = window.column("length").to_numpy()
+        rows = places(best_two_fit(Counter(length.tolist()), size))
+        by_length = np.argsort(length, kind="stable")
+        ordered = length[by_length]
+        rank = np.empty(len(length), np.int64)
+        rank[by_length] = np.arange(len(length)) - np.searchsorted(ordered, ordered)
+        at = np.searchsorted((rows[:, 0] << 48) + rows[:, 1], (length << 48) + rank, "right") - 1
+        # each planned sequence's first row, and from that its number
+        _, first, planned = np.unique(rows[at, 2] + rank - rows[at, 1], return_index=True, return_inverse=True)
+        number = np.empty(len(first), np.int64)
+        number[np.argsort(first)] = np.arange(len(first))
+        return pa.table([*(window.column(c) for c in kept), window.column("window"), pa.array(number[planned]), pa.array(rows[at, 3])],
+                        [*kept, "window", "number", "offset"])
+
+    placed = save(digests.groupBy("window").applyInArrow(
+        pack, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, window bigint, number bigint, offset bigint"), "placed")
+    counts = placed.groupBy("window").agg((F.max("number") + 1).alias("n"))
+    starts = global_running(counts, [F.col("window")], "n").select("window", (F.col("running_sum") - F.col("n")).alias("before"))
+    return placed.join(starts, "window").select(*kept, (F.col("before") + F.col("number")).alias("sequence_id"), "offset")
+
+
 def sequences(pieces: DataFrame, size: int) -> DataFrame:
     """(sequence_id, ids): the packed sequences themselves, at most `size` ids each, from `token_pieces` rows."""
     placed = assign_sequences(pieces.select("length", "task", "nth", "ids"), size)
