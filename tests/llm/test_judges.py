@@ -107,6 +107,24 @@ def test_pfair_deviation_below_one_block(spark, docs, empty):
     assert mixing.mix_order(empty).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.7, "b": 0.2995, None: 0.0005}, {f"s{i}": i ** 0.5 for i in range(1, 40)}])
+def test_pfair_deviation_over_many_periods(spark, weights):
+    """Every source stays less than two blocks from its exact weight, over 30 periods and more."""
+    total = sum(weights.values())
+    counts = {s: max(1, round(60_000 * w / total)) for s, w in weights.items()}
+    rows = mixing.phases(counts, weights, 1000)
+    got = [tuple(r) for r in mixing.block_slots(spark, rows).collect()]
+    assert sorted(t for *_, t in got) == list(range(sum(counts.values())))
+    assert Counter(s for s, *_ in got) == counts and len({g[:2] for g in got}) == len(got)
+    first_end = sum(r[2] - r[1] for r in rows if r[3] == 0)
+    assert first_end > 30_000
+    seen = Counter()
+    for t, (_, _, s) in enumerate(sorted((t, k, s) for s, k, t in got)[:first_end], 1):
+        seen[s] += 1
+        if t % 7 == 0 or t < 3000:
+            assert all(abs(seen[s] - t * w / total) < 2 for s, w in weights.items())
+
+
 def test_mixing_keeps_every_row(spark, edge):
     assert sorted(map(tuple, mixing.mixed(edge, block_docs=2).collect()), key=repr) == sorted(map(tuple, edge.collect()), key=repr)
     weighted = mixing.mix_order(edge, weights={"a": 0.9, "b": 0.1}, block_docs=1)

@@ -1,12 +1,13 @@
 """Operator 8: mixing sources to target weights by Pfair scheduling of source blocks.
 
-Each source's documents are dealt into blocks of equal size. A source of weight w has its k-th block
-released at slot floor(k / w) and due by ceil((k + 1) / w); earliest deadline first among the released
-blocks keeps every source less than one block from its share at every slot. With weights that are
-multiples of 1 / PERIOD the schedule repeats each PERIOD slots, so only one period is computed (on
-the driver, its size fixed by PERIOD and the number of sources) and a block's slot follows from its number by
-arithmetic. When a source runs out, the weights of the rest are scaled up and a new phase begins, so
-every document is placed and none twice.
+Each source's documents are dealt into blocks of equal size. Time is cut into periods; until the end of
+period j a source of weight w has had w * (j + 1) * period blocks, rounded by largest remainders, so what
+rounding takes or adds in one period is made up in the next. A period's k-th of n blocks of a source is
+released at slot floor(k * period / n) of it and due by ceil((k + 1) * period / n); earliest deadline first
+among the released blocks keeps every source less than one block from the period's line, and less than two
+from its exact weight at every slot, however many there are. A period follows from the weights and its number
+alone: the driver computes one for each phase, the executors all. When a source runs out, the weights of the
+rest are scaled up and a new phase begins, so every document is placed and none twice.
 
 A null source is a source of its own; null, repeated or tied doc_ids are placed like any other (ties in
 hash order are broken arbitrarily but each row gets its own place); an empty table gives no rows;
@@ -17,37 +18,34 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from bisect import bisect
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import save
 
-#: Slots of one period (at least four for each source), documents of a block, and the most sources.
+#: Slots of one period (at least four for each source, and two for the lightest), documents of a block, and the most sources.
 PERIOD, BLOCK_DOCS, MAX_SOURCES = 1000, 16, 1024
 
 
 def quantised(weights: dict, period: int) -> dict:
-    """Slots of each source in one period: largest remainders, at least one each."""
+    """Slots of each source among the first `period` ones: largest remainders."""
     total = sum(weights.values())
     exact = {s: period * w / total for s, w in weights.items()}
-    slots = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    short = period - sum(slots.values())
+    slots = {s: math.floor(x) for s, x in exact.items()}
     by_rest = sorted(exact, key=lambda s: (slots[s] - exact[s], str(s)))
-    i = 0
-    while short > 0:
-        slots[by_rest[i % len(by_rest)]] += 1
-        short, i = short - 1, i + 1
-    while short < 0:
-        most = max(slots, key=lambda s: (slots[s], str(s)))
-        slots[most] -= 1
-        short += 1
+    for s in by_rest[:period - sum(slots.values())]:
+        slots[s] += 1
     return slots
 
 
 def one_period(slots: dict, period: int) -> dict:
     """source -> its slots in one period, by release times, deadlines and earliest deadline first."""
-    jobs = sorted(((k * period) // n, -(-(k + 1) * period // n), str(s), s) for s, n in slots.items() for k in range(n))
+    names = {s: i for i, s in enumerate(sorted(slots, key=lambda s: (str(s), s is None)))}
+    jobs = sorted(((k * period) // n, -(-(k + 1) * period // n), names[s], s) for s, n in slots.items() for k in range(n))
     ready, out, at = [], {s: [] for s in slots}, 0
     for t in range(period):
         while at < len(jobs) and jobs[at][0] <= t:
@@ -58,29 +56,68 @@ def one_period(slots: dict, period: int) -> dict:
     return out
 
 
+def nth_period(weights: dict, period: int, j: int) -> tuple[dict, dict]:
+    """(source -> its blocks before period j, source -> its slots in period j)."""
+    before, after = quantised(weights, j * period), quantised(weights, (j + 1) * period)
+    return before, one_period({s: after[s] - before[s] for s in weights}, period)
+
+
 def phases(blocks: dict, weights: dict, period: int) -> list[tuple]:
-    """Rows (source, first block, last block + 1, first slot, slots in a period, its slots in a period): one for
-    each source and phase; a phase ends with the block after which a source has none left."""
+    """Rows (source, first block, last block + 1, first slot, slots in a period, weight): one for each source and
+    phase, maybe without blocks; a phase ends with the block after which a source has none left."""
     left, done, slot0, rows = dict(blocks), dict.fromkeys(blocks, 0), 0, []
     left = {s: n for s, n in left.items() if n}
     while left:
+        total = sum(weights[s] for s in left)
+        shares = {s: weights[s] / total for s in left}
         p = max(period, 4 * len(left))
-        shares = quantised({s: weights[s] for s in left}, p)
-        table = one_period(shares, p)
-        # slots until the first source has had its last block
-        end = min(((n - 1) // shares[s]) * p + table[s][(n - 1) % shares[s]] + 1 for s, n in left.items())
+        # from two blocks a period on, the rounded counts never fall from one period to the next
+        p = max(p, min(math.ceil(2 / min(shares.values())), sum(left.values())))
+        # the period in which the first source has its last block
+        j = max(0, math.floor(min((n - 1) / (shares[s] * p) for s, n in left.items())) - 1)
+        while all(c < left[s] for s, c in quantised(shares, (j + 1) * p).items()):
+            j += 1
+        before, table = nth_period(shares, p, j)
+        end = min(table[s][n - before[s] - 1] + 1 for s, n in left.items() if n <= before[s] + len(table[s]))
         for s in list(left):
-            had = (end // p) * shares[s] + sum(t < end % p for t in table[s])
-            if had:
-                rows.append((s, done[s], done[s] + had, slot0, p, table[s]))
+            had = before[s] + bisect(table[s], end - 1)
+            rows.append((s, done[s], done[s] + had, slot0, p, shares[s]))
             done[s] += had
             left[s] -= had
             if not left[s]:
                 del left[s]
-        slot0 += end
+        slot0 += j * p + end
     return rows
 
 
+def block_slots(spark: SparkSession, plan: list[tuple]) -> DataFrame:
+    """(p_source, p_block, p_slot) of all blocks, from the rows of `phases`; periods are dealt to the executors."""
+    grouped = {}
+    for source, first, end, slot0, p, share in plan:
+        grouped.setdefault((slot0, p), {})[source] = (share, first, end)
+    starts, n = [], 0  # the first period of each phase, counted through
+    for (_, p), sources in grouped.items():
+        starts.append(n)
+        n += -(-sum(end - first for _, first, end in sources.values()) // p)
+    shared = spark.sparkContext.broadcast((starts, list(grouped.items())))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, grouped = shared.value
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                phase = bisect(starts, i) - 1
+                (slot0, p), sources = grouped[phase]
+                j = i - starts[phase]
+                before, table = nth_period({s: x[0] for s, x in sources.items()}, p, j)
+                out = [(s, first + k, slot0 + j * p + t) for s, (_, first, end) in sources.items()
+                       for k, t in enumerate(table[s], before[s]) if first + k < end]
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], ["p_source", "p_block", "p_slot"])
+
+    return spark.range(n).mapInArrow(deal, "p_source string, p_block bigint, p_slot bigint")
+
+
 def tempered(counts: dict, power: float) -> dict:
     """Weights in proportion to a power of the sources' sizes."""
     return {s: n ** power for s, n in counts.items()}
@@ -107,20 +144,20 @@ def mix_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5,
         weights = tempered(totals, power)
     weights = {s: weights.get(s, min(weights.values(), default=1.0)) for s in totals}
     blocks = {s: -(-t // block_docs) for s, t in totals.items()}
-    plan = spark.createDataFrame(phases(blocks, weights, period) or [],
-                                 "p_source string, first_block bigint, end_block bigint, first_slot bigint, period bigint, slots array<bigint>")
+    plan = block_slots(spark, phases(blocks, weights, period))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    starts = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # the blocks of a bucket follow each other: their slots are an array, at most as long as the bucket
+    first = f"before div {block_docs}"
+    spans = starts.withColumn("p", F.explode(F.expr(f"sequence({first}, (before + n - 1) div {block_docs})")))
+    spans = spans.join(plan, F.col("s").eqNullSafe(F.col("p_source")) & (F.col("p") == F.col("p_block")))
+    spans = save(spans.groupBy("s", "b", "before").agg(F.array_sort(F.collect_list("p_slot")).alias("slots")), "mix-plan")
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
     ranked = rows.withColumn("nth", F.row_number().over(inside) - 1).join(
-        starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    ranked = ranked.withColumn("rank", F.col("before") + F.col("nth")).withColumn("block", F.expr(f"rank div {block_docs}"))
-    # the plan has a row for each source and phase: its size is bounded by MAX_SOURCES and PERIOD
-    placed = ranked.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("end_block")))
-    k = F.col("block") - F.col("first_block")
-    turn = F.size("slots")
-    slot = F.col("first_slot") + F.floor(k / turn) * F.col("period") + F.element_at("slots", (F.pmod(k, turn) + 1).cast("int"))
-    return placed.withColumn("slot", slot).select(
+        spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    placed = ranked.withColumn("rank", F.col("before") + F.col("nth")).withColumn("block", F.expr(f"rank div {block_docs}"))
+    placed = placed.withColumn("slot", F.expr(f"element_at(slots, cast(block - {first} + 1 as int))"))
+    return placed.select(
         "doc_id", "source", "block", "slot", (F.col("slot") * block_docs + F.pmod("rank", F.lit(block_docs))).alias("position"), *keep)
 
 
