@@ -95,3 +95,23 @@ def test_period_algebra():
     rg = Period.of_range(2024, 11, 2025, 1).previous()
     assert (rg.start, rg.end, rg.label) == (dt.date(2024, 8, 1), dt.date(2024, 10, 31), "Aug 2024 to Oct 2024")
     assert Period.of_month(2025, 3, store="X").previous().store == "X"
+
+
+def test_product_kpis_count_every_product(spark):
+    """60 dead, 25 accelerating and 30 decelerating products: more than the lists of L2 and L3 show."""
+    from tillpoint.operators.products import dead_stock, product_kpis, velocity_trends
+
+    rows = [(f"dead{i:02}", "2024-01-01", 1, 10.0) for i in range(60)]
+    for kind, n, units in (("up", 25, (1, 3)), ("down", 30, (3, 1))):
+        rows += [(f"{kind}{i:02}", day, u, 10.0) for i in range(n) for day, u in zip(("2025-03-10", "2025-06-30"), units)]
+    sales = spark.createDataFrame([(*r[:2], r[2], r[3], 4.0, 6.0, "b", "c", "s") for r in rows],
+                                  "product string, day string, quantity int, actual_revenue double, cost double, net_profit double, "
+                                  "brand_clean string, category_clean string, store_clean string")
+    sales = sales.selectExpr("*", "cast(day as date) as sale_date").drop("day")
+    k = product_kpis(sales).first()
+    assert (k.total_products, k.dead_stock_count, k.dead_stock_revenue) == (115, 60, 600.0)
+    assert (k.accelerating_count, k.decelerating_count) == (25, 30)
+    limited = product_kpis(sales, 50, 20).first()
+    assert (limited.dead_stock_count, limited.accelerating_count, limited.decelerating_count) == (50, 20, 20)
+    assert sorted(r["rank"] for r in dead_stock(sales, top_n=None).collect()) == list(range(1, 61))
+    assert velocity_trends(sales, top_n=None).count() == 55

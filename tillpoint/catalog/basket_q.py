@@ -143,5 +143,5 @@ ENTRIES = {
     "L1_abc_classification": (lambda s, sf: L.abc_classification(REG(s, sf)), L1_SQL),
     "L2_dead_stock": (lambda s, sf: L.dead_stock(REG(s, sf)), L2_SQL),
     "L3_velocity_trends": (lambda s, sf: L.velocity_trends(REG(s, sf)), L3_SQL),
-    "L4_product_kpis": (lambda s, sf: L.product_kpis(REG(s, sf)), L4_SQL),
+    "L4_product_kpis": (lambda s, sf: L.product_kpis(REG(s, sf), 50, 20), L4_SQL),
 }

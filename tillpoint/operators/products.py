@@ -36,9 +36,16 @@ def abc_classification(regular: DataFrame) -> DataFrame:
                     cls.alias("abc_class"), r(F.col("_cum"), 1).alias("cumulative_pct"))
 
 
-def dead_stock(regular: DataFrame, days: int = fixed.DEAD_STOCK_DAYS, top_n: int = 50,
+def _first(df: DataFrame, order: list, top_n: int | None) -> DataFrame:
+    """The first ``top_n`` rows (None: all) with their ``rank``."""
+    if top_n is None:
+        return global_running(df, order, index_col="rank")
+    return df.withColumn("rank", F.row_number().over(Window.orderBy(*order))).where(F.col("rank") <= top_n)
+
+
+def dead_stock(regular: DataFrame, days: int = fixed.DEAD_STOCK_DAYS, top_n: int | None = 50,
                grain: str = "product") -> DataFrame:
-    """L2: products with no sale in the last ``days`` days before the last sale date; top N by revenue."""
+    """L2: products with no sale in the last ``days`` days before the last sale date; top N by revenue (None: all)."""
     max_date = regular.agg(F.max("sale_date")).scalar()
     cutoff = F.date_sub(max_date, days)
     g = regular.where(F.col("product").isNotNull()).groupBy("product").agg(
@@ -47,16 +54,15 @@ def dead_stock(regular: DataFrame, days: int = fixed.DEAD_STOCK_DAYS, top_n: int
         F.countDistinct(F.when(F.col("sale_date") >= cutoff, F.col("store_clean"))).alias("stores_active"),
         F.countDistinct("store_clean").alias("_stores"))
     d = g.where(F.col("_last") < cutoff)
-    w = Window.orderBy(F.desc("total_revenue"), "product")
-    d = d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    d = _first(d, [F.desc("total_revenue"), F.col("product")], top_n)
     return d.select("rank", "product", "brand", "category", F.col("_last").cast("string").alias("last_sale_date"),
                     F.datediff(max_date, F.col("_last")).alias("days_since_sale"), r(F.col("total_revenue"), 2)
                     .alias("total_revenue"), "stores_active",
                     (F.col("_stores") - F.col("stores_active")).alias("stores_inactive"))
 
 
-def velocity_trends(regular: DataFrame, days: int = fixed.VELOCITY_WINDOW_DAYS, top_n: int = 20) -> DataFrame:
-    """L3: units/day in the last ``days`` days vs the ``days`` before; top N up and top N down."""
+def velocity_trends(regular: DataFrame, days: int = fixed.VELOCITY_WINDOW_DAYS, top_n: int | None = 20) -> DataFrame:
+    """L3: units/day in the last ``days`` days vs the ``days`` before; top N up and top N down (None: all)."""
     max_date = regular.agg(F.max("sale_date")).scalar()
     rs = F.date_sub(max_date, days)
     ps = F.date_sub(max_date, 2 * days)
@@ -71,27 +77,26 @@ def velocity_trends(regular: DataFrame, days: int = fixed.VELOCITY_WINDOW_DAYS,
     pv = F.col("_pu") / float(days)
     g = g.select("product", "brand", "category", rv.alias("_rv"), pv.alias("_pv")).where(F.col("_pv") > 0)
     g = g.withColumn("_chg", (F.col("_rv") - F.col("_pv")) / F.col("_pv") * 100)
-    up = g.where(F.col("_chg") > 0).withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.desc("_chg"), "product"))).where(F.col("rank") <= top_n) \
-        .withColumn("direction", F.lit("accelerating"))
-    down = g.where(F.col("_chg") < 0).withColumn(
-        "rank", F.row_number().over(Window.orderBy("_chg", "product"))).where(F.col("rank") <= top_n) \
-        .withColumn("direction", F.lit("decelerating"))
+    up = _first(g.where(F.col("_chg") > 0), [F.desc("_chg"), F.col("product")], top_n).withColumn("direction", F.lit("accelerating"))
+    down = _first(g.where(F.col("_chg") < 0), [F.col("_chg"), F.col("product")], top_n).withColumn("direction", F.lit("decelerating"))
     return up.unionByName(down).select("direction", "rank", "product", "brand", "category",
                                        r(F.col("_rv"), 3).alias("recent_velocity"),
                                        r(F.col("_pv"), 3).alias("prior_velocity"),
                                        r(F.col("_chg"), 1).alias("change_pct"))
 
 
-def product_kpis(regular: DataFrame) -> DataFrame:
-    """L4: product counts, ABC class counts, A revenue share, dead stock and trend counts."""
+def product_kpis(regular: DataFrame, dead_n: int | None = None, trend_n: int | None = None) -> DataFrame:
+    """L4: product counts, ABC class counts, A revenue share, dead stock and trend counts.
+
+    All dead and trending products count, unless ``dead_n`` and ``trend_n`` limit the lists as the reference does.
+    """
     abc = abc_classification(regular)
     k = abc.agg(F.count(F.lit(1)).alias("total_products"),
                 *[F.count(F.when(F.col("abc_class") == c, 1)).alias(f"{c.lower()}_count") for c in "ABCD"],
                 F.sum(F.when(F.col("abc_class") == "A", cents("revenue"))).alias("_ac"),
                 F.sum(cents("revenue")).alias("_tc"))
-    ds = dead_stock(regular).agg(F.count(F.lit(1)).alias("n"), F.sum(cents("total_revenue")).alias("c"))
-    vt = velocity_trends(regular).groupBy().agg(F.count(F.when(F.col("direction") == "accelerating", 1)).alias("a"),
+    ds = dead_stock(regular, top_n=dead_n).agg(F.count(F.lit(1)).alias("n"), F.sum(cents("total_revenue")).alias("c"))
+    vt = velocity_trends(regular, top_n=trend_n).groupBy().agg(F.count(F.when(F.col("direction") == "accelerating", 1)).alias("a"),
                                                 F.count(F.when(F.col("direction") == "decelerating", 1)).alias("d"))
     return k.select("total_products", "a_count", "b_count", "c_count", "d_count",
                     r(safe_div(F.coalesce(F.col("_ac"), F.lit(0)), F.col("_tc")) * 100, 1).alias("a_revenue_pct"),
