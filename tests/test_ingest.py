@@ -76,3 +76,20 @@ def test_later_corrected_and_late_files(spark):
     rows = incremental_ingest(spark, d, table + "/sales", ck).collect()
     assert {(r.receipt_id, r.actual_revenue) for r in rows} == {("r1", 12.0), ("r2", 5.0), ("r0", 3.0)}
     assert {(r.category_clean, r.brand_clean) for r in rows} == {("PRE ROLL", "Acme")}
+
+
+def test_columns_past_the_128th(spark, tmp_path):
+    """A wanted column far to the right is read; where the width is fixed (the stream), its rows are reported."""
+    from tillpoint.sources.pos_csv import as_cells, cell_schema, name_cells, read_csv_files
+
+    names = ["Alpha", "Beta", "Gamma"]
+    pad = [f"p{i}" for i in range(200)]
+    (tmp_path / "sales wide 2025-01-01 2025-01-31.csv").write_text(
+        "\n".join([",".join(["Alpha", "Beta", *pad, "Gamma"]), ",".join(["1", "2", *[""] * 200, "3"])]) + "\n")
+    (tmp_path / "sales slim 2025-01-01 2025-01-31.csv").write_text("Gamma,Beta,Alpha\n6,5,4\n")
+    got = sorted(tuple(r) for r in read_csv_files(spark, str(tmp_path), names).select(*names, "_corrupt_record").collect())
+    assert got == [("1", "2", "3", None), ("4", "5", "6", None)]
+    raw = spark.read.schema(cell_schema()).csv(str(tmp_path))
+    wanted = ["Alpha", "Beta", "p0", "Gamma"]
+    fixed_width = name_cells(as_cells(raw), wanted).where("file_name like '%wide%'").collect()
+    assert len(fixed_width) == 1 and fixed_width[0].Gamma is None and fixed_width[0]._corrupt_record is not None

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tillpoint.functions import clean, fixed
 
-#: Columns a file may have at most.
+#: Columns read of a file, or as many as its header line has; in a stream, whose files are not known beforehand, no more.
 MAX_COLUMNS = 128
 
 FILE_DATES = r"(\d{4}-\d{2}-\d{2})\s+(\d{4}-\d{2}-\d{2})"
@@ -39,40 +39,55 @@ def name_cells(cells: DataFrame, headers) -> DataFrame:
 
     A header row is one with at least three of the wanted names (or all, if fewer); the first of a file counts. Columns
     may stand in any order, unknown ones are left out, missing ones are null; a row with more cells than its
-    file's header keeps them as ``_corrupt_record``. The header table has one row a file.
+    file's header keeps them as ``_corrupt_record``. The last cell is one more than is read: a row that fills it, and
+    every row of a file whose header does, is a ``_corrupt_record`` too. The header table has one row a file.
     """
+    over = F.element_at("cells", -1).isNotNull()
     wanted = F.array(*(F.lit(h) for h in headers))
     trimmed = F.transform("cells", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
     cells = cells.withColumn("_is_header", F.size(F.array_intersect(trimmed, wanted)) >= min(3, len(list(headers))))
     places = F.struct(*(F.array_position(trimmed, F.lit(h)).cast("int").alias(f"h{i}") for i, h in enumerate(headers)),
-                      F.size(F.filter("cells", lambda c: c.isNotNull())).alias("width"))
+                      F.size(F.filter("cells", lambda c: c.isNotNull())).alias("width"), over.alias("over"))
     head = cells.where("_is_header").groupBy(F.col("file_name").alias("_file")).agg(F.first(places).alias("_at"))
     rows = cells.where(~F.col("_is_header")).join(head, F.col("file_name") == F.col("_file"), "left")
-    extra = F.exists(F.slice("cells", F.coalesce(F.col("_at.width"), F.lit(0)) + 1, MAX_COLUMNS), lambda c: c.isNotNull())
+    extra = F.exists(F.slice("cells", F.coalesce(F.col("_at.width"), F.lit(0)) + 1, F.size("cells")), lambda c: c.isNotNull())
+    extra = extra | over | F.coalesce(F.col("_at.over"), F.lit(False))
     value = lambda i: F.when(F.col(f"_at.h{i}") > 0, F.get("cells", F.col(f"_at.h{i}") - 1))
     return rows.select(*(value(i).alias(h) for i, h in enumerate(headers)), "file_name", "file_mtime",
                        F.when(F.col("_file").isNull() | extra, F.array_join("cells", ",", "")).alias("_corrupt_record"))
 
 
-def cell_schema() -> StructType:
-    return raw_schema([f"_c{i}" for i in range(MAX_COLUMNS)])
+def cell_schema(width: int = MAX_COLUMNS) -> StructType:
+    """`width` positional columns and one more, which shows rows that are wider."""
+    return raw_schema([f"_c{i}" for i in range(width + 1)])
 
 
 def as_cells(df: DataFrame) -> DataFrame:
     """Positional columns -> (cells, file_name, file_mtime)."""
-    return df.select(F.array(*(F.col(f"_c{i}") for i in range(MAX_COLUMNS))).alias("cells"),
+    return df.select(F.array(*(F.col(c) for c in df.columns)).alias("cells"),
                      F.url_decode(F.col("_metadata.file_name")).alias("file_name"), F.col("_metadata.file_modification_time").alias("file_mtime"))
 
 
+def header_width(spark: SparkSession, inbox: str, headers: list[str]) -> int:
+    """Cells of the widest line that can be a header row, MAX_COLUMNS at least (commas inside quotes count, too)."""
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*")
+             .option("ignoreCorruptFiles", True).text(inbox))
+    named = sum((F.col("value").contains(h).cast("int") for h in headers), F.lit(0))
+    widest = lines.where(named >= min(3, len(headers))).agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    return max(MAX_COLUMNS, widest or 0)
+
+
 def read_csv_files(spark: SparkSession, inbox: str, headers, keywords=None, exclude=None) -> DataFrame:
     """A2 + A6 + A7: recursive discovery of *.csv / *.csv.gz, keyword filter on the file name, columns bound by
     header name. Unreadable files are skipped here and listed by `skipped_files`."""
-    raw = (spark.read.option("header", False).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.csv*").option("ignoreCorruptFiles", True).schema(cell_schema()).csv(inbox))
+    headers = list(headers)
+    width = header_width(spark, inbox, headers)
+    raw = (spark.read.option("header", False).option("maxColumns", max(20480, width + 1)).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.csv*").option("ignoreCorruptFiles", True).schema(cell_schema(width)).csv(inbox))
     cells = as_cells(raw)
     if keywords:
         cells = cells.where(_keyword_filter(F.col("file_name"), keywords, exclude))
-    return name_cells(cells, list(headers))
+    return name_cells(cells, headers)
 
 
 def skipped_files(spark: SparkSession, inbox: str, read: DataFrame) -> DataFrame:
