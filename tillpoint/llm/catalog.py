@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.llm import fingerprints, jaccard_join, language_id, mixing, packing, quality_model, quality_rules, token_counts, token_files, url_filter
+from tillpoint.llm import fingerprints, jaccard_join, language_id, mixing, packing, quality_model, quality_rules, ranked_search, spelling, token_counts, token_files, url_filter, vector_links
 
 #: (verdict, host + path) of the url rules of the query.
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -65,6 +65,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 _RULE_ROWS = ", ".join(f"('{v}', '{s[:s.index('/')]}', '{s[s.index('/'):]}')" for v, s in URL_RULES)
 
 OP6_SQL = f"""
@@ -83,10 +95,48 @@ from parts p left join fit f on f.page_id = p.page_id and f.nth = 1
 """
 
 
+OP11_SQL = f"""
+with recursive sound as (
+  select vec_id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x)))
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= {vector_links.THRESHOLD}),
+reached(a, b) as (select vec_id, vec_id from embeddings union select r.a, l.b from reached r join links l on r.b = l.a),
+component as (select a, min(b) as component_id from reached group by a),
+degree as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(d.n, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join component c on c.a = e.vec_id left join degree d on d.a = e.vec_id
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12_SQL = f"""
+with found as (
+  select doc_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '{_TERM}')) as term from documents),
+tf as (select doc_id, term, count(*) as tf from found group by doc_id, term),
+sizes as (select doc_id, sum(tf) as n from tf group by doc_id),
+totals as (select count(*) as n_docs, sum(n) as l from sizes),
+df as (select term, count(*) as df from tf group by term),
+weights as (select term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::bigint as w from df, totals),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}'), '{_TERM}')) as term from benchmark),
+scored as (
+  select a.item_id, f.doc_id, sum(w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (100 - 50 + ((50 * s.n * n_docs) // l)))))::bigint as score
+  from asked a join weights using (term) join tf f using (term) join sizes s on s.doc_id = f.doc_id, totals
+  group by a.item_id, f.doc_id),
+placed as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from scored where score > 0)
+select item_id, rank, doc_id, score from placed where rank <= {ranked_search.TOP}
+"""
+
+
 def registry() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     return {
         "op1_token_files": (op1, None), "op2_token_counts": (op2, None), "op3_language_id": (op3, None),
         "op4_quality_classifier": (op4, None), "op5_jaccard_join": (op5, None), "op6_url_filter": (op6, OP6_SQL),
         "op7_best_two_fit_packing": (op7, None), "op8_source_mixing": (op8, None), "op9_quality_rules": (op9, None),
-        "op10_fingerprints": (op10, None),
+        "op10_fingerprints": (op10, None), "op11_vector_links": (op11, OP11_SQL), "op12_ranked_search": (op12, OP12_SQL),
+        "op13_spelling_variants": (op13, None),
     }

@@ -17,14 +17,38 @@ BATCH_ROWS = 512
 BLANKS = " \t\n\x0b\f\r"
 
 
+#: Has Spark drop a query's shuffle files as soon as the query ends.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write `df` once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The written table takes the place of the shuffles behind it, so their files go when it is written.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `save` wrote and nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch of this session's Python stages."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -49,6 +73,24 @@ def stable_sample(df: DataFrame, key: Column, n: int, by: str | None = None, sal
         totals, F.lit(False)))
 
 
+def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of rows with equal `keys`; rows of a key follow each other. Keys must not be null."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        starts = [0, *(i for i in range(1, len(values)) if values[i] != values[i - 1]), len(values)]
+        for lo, hi in zip(starts, starts[1:]):
+            if held and values[lo] != key:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = values[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def crc_mod(key: str, m: int) -> Column:
     """crc32 of an id written as text, modulo `m`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % m
