@@ -74,6 +74,33 @@ def test_links_on_the_corpus(spark):
     check(docs, [tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def near_copies(n, words=120, seed=2):
+    """`n` copies of a text with 0 to 8 words changed each."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        for at in rng.sample(range(words), rng.randrange(9)):
+            copy[at] = f"x{rng.randrange(10 ** 6)}"
+        out.append((i, " ".join(copy)))
+    return out
+
+
+def test_links_in_a_large_group_of_near_copies(spark, monkeypatch):
+    """Buckets and groups of many blocks: every link is found, in a fixed number of rounds."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 64)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 32)
+    rows = near_copies(500) + [(1000 + i, t.replace("w1 ", "y ")) for i, t in near_copies(150, seed=3)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), rows)
+
+
+def test_links_of_repeated_rows(spark):
+    """Rows with equal text and no id are one text, counted as often as they stand there."""
+    rows = [(None, f"{k} " + " ".join(map(str, range(40)))) for k in range(3) for _ in range(30)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string"), rows)
+
+
 def test_links_edge(spark, edge, empty):
     check(edge, [r[:2] for r in EDGE])
     assert jaccard_join.link_documents(empty).count() == 0
@@ -165,5 +192,5 @@ def test_packing_keeps_the_mix(spark):
         assert spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     leading = [r.doc_id for k in sorted(by_sequence) for r in by_sequence[k]][:2048]
     assert abs(sum(i < 4000 for i in leading) - 2048 * 2 / 3) < 32
-    order = {r.doc_id: r.position for r in corpus_pipeline.mixing.written_order(mixed).collect()}
+    order = {r.row.doc_id: r.position for r in corpus_pipeline.mixing.written_order(mixed).collect()}
     assert sorted(order.values()) == list(range(5000)) and {order[i] for i in leading} == set(range(2048))

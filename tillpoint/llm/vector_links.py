@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillpoint.llm.common import key_runs, save, small_batches
-from tillpoint.llm.components import components
+from tillpoint.llm.components import Joined, components
 
 THRESHOLD, RECALL = 0.93, 0.995
 #: Neighbours that each vector is compared with in a pass; vectors of one task's stretch of the order; a side of a verified block.
@@ -103,42 +103,6 @@ def _codes(numbers: list[int]):
     return run
 
 
-class Joined:
-    """Which of `n` rows are connected, from blocks of a boolean matrix of pairs."""
-
-    def __init__(self, n: int):
-        self.head = np.arange(n)
-
-    def add(self, start: int, pairs: np.ndarray) -> None:
-        """pairs[i, j]: row start + i is linked with row start + j."""
-        rows, columns = pairs.shape
-        old = self.head[start:start + columns]
-        now, most = old.copy(), len(self.head)
-        while True:
-            new = now.copy()
-            new[:rows] = np.minimum(new[:rows], np.where(pairs, now[None, :], most).min(1))
-            new = np.minimum(new, np.where(pairs, new[:rows, None], most).min(0))
-            if (new == now).all():
-                break
-            now = new
-        up: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while x in up:
-                x = up[x]
-            return x
-
-        for a, b in {(a, b) for a, b in zip(old.tolist(), now.tolist()) if a != b}:
-            a, b = top(a), top(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        if up:
-            heads = np.arange(most)
-            for x in up:
-                heads[x] = top(x)
-            self.head = heads[self.head]
-
-
 def _compare_windows(threshold: float, window: int):
     """Rows of a chunk, by rank -> (a, b): a hangs on b, such that all that are close in a window are connected."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
