@@ -1,8 +1,11 @@
 """Operators 3, 4, 6, 8, 9 and 10: brute force, held-out accuracy, and defined edge results."""
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,39 +93,76 @@ def test_url_oracle_sql_is_registered():
     assert "rules" in OP6_SQL
 
 
+def every_block(counts, weights):
+    """[(slot, source)] of all blocks, by slot."""
+    plan = mixing.by_source(mixing.phases(counts, weights))
+    got = sorted((t, str(s), k) for s, n in counts.items() for k, t in enumerate(mixing.slot_of(plan, s, np.arange(n)).tolist()))
+    assert [t for t, *_ in got] == list(range(sum(counts.values())))  # each slot has one block
+    return [(t, s) for t, s, _ in got]
+
+
+def most_deviation(got, weights, upto):
+    """Blocks that a source ever has more or less than its exact share of the slots so far."""
+    total, seen, most = sum(weights.values()), dict.fromkeys(map(str, weights), 0), 0
+    for t, s in got[:upto]:
+        seen[s] += 1
+        most = max(most, *(abs(seen[str(x)] - Fraction(t + 1) * w / total) for x, w in weights.items())) if t % 7 == 0 or t < 3000 else most
+    return most
+
+
 def test_pfair_deviation_below_one_block(spark, docs, empty):
     got = sorted(mixing.mix_order(docs, block_docs=2).select("slot", "source").distinct().collect())
     total = docs.count()
     assert mixing.mix_order(docs).select("position").distinct().count() == total
-    counts = {r.source: -(-r.n // 2) for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    weights = mixing.tempered({r.source: r.n for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}, 0.5)
-    rows = mixing.phases(counts, weights, 1000)
-    shares = mixing.quantised(weights, 1000)
-    first_end = min(p for p in {r[3] for r in rows} if p > 0) if len({r[3] for r in rows}) > 1 else len(got)
-    seen = Counter()
-    for t, g in enumerate(got[:first_end], 1):
-        assert g.slot == t - 1
-        seen[g.source] += 1
-        assert all(abs(seen[s] - t * shares[s] / 1000) < 1 for s in shares)
+    sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    weights = mixing.tempered({s: n ** 0.5 for s, n in sizes.items()}, 1)
+    first_end = next(iter(mixing.phases({s: -(-n // 2) for s, n in sizes.items()}, weights)))
+    blocks = Counter(g.source for g in got)
+    assert blocks == {s: -(-n // 2) for s, n in sizes.items()} and [g.slot for g in got] == list(range(len(got)))
+    upto = sum(end for _, end, _ in first_end[2].values())
+    assert most_deviation([(g.slot, str(g.source)) for g in got], weights, upto) < 1
     assert mixing.mix_order(empty).count() == 0
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.7, "b": 0.2995, None: 0.0005}, {f"s{i}": i ** 0.5 for i in range(1, 40)}])
-def test_pfair_deviation_over_many_periods(spark, weights):
-    """Every source stays less than two blocks from its exact weight, over 30 periods and more."""
-    total = sum(weights.values())
-    counts = {s: max(1, round(60_000 * w / total)) for s, w in weights.items()}
-    rows = mixing.phases(counts, weights, 1000)
-    got = [tuple(r) for r in mixing.block_slots(spark, rows).collect()]
-    assert sorted(t for *_, t in got) == list(range(sum(counts.values())))
-    assert Counter(s for s, *_ in got) == counts and len({g[:2] for g in got}) == len(got)
-    first_end = sum(r[2] - r[1] for r in rows if r[3] == 0)
-    assert first_end > 30_000
-    seen = Counter()
-    for t, (_, _, s) in enumerate(sorted((t, k, s) for s, k, t in got)[:first_end], 1):
-        seen[s] += 1
-        if t % 7 == 0 or t < 3000:
-            assert all(abs(seen[s] - t * w / total) < 2 for s, w in weights.items())
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.7, "b": 0.2995, None: 0.0005}, {f"s{i}": i for i in range(1, 40)}, {"a": Fraction(1, 3), "b": Fraction(2, 3)}])
+def test_pfair_deviation_over_many_periods(weights):
+    """Every source stays less than one block from its exact weight, over 30 hyperperiods and more."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    whole, total = mixing.whole_weights(weights), sum(exact.values())
+    assert all(Fraction(whole[s], sum(whole.values())) == w / total for s, w in exact.items())
+    length = 31 * sum(whole.values())
+    counts = {s: max(1, math.ceil(length * w / total)) for s, w in exact.items()}
+    got = every_block(counts, whole)
+    assert most_deviation(got, exact, 30 * sum(whole.values())) < 1
+
+
+def test_pfair_phases():
+    """Each phase follows the weights of the sources that are left, from its first slot on."""
+    counts, weights = {"a": 90, "b": 40, "c": 7, "d": 1}, {"a": 3, "b": 3, "c": 5, "d": 2}
+    got = every_block(counts, weights)
+    for start, _, sources in mixing.phases(counts, weights):
+        n = sum(end - first for first, end, _ in sources.values())
+        assert most_deviation([(t - start, s) for t, s in got[start:start + n]], {s: weights[s] for s in sources}, n) < 1
+
+
+def test_mixing_two_thousand_sources(spark):
+    rows = [(None, "big" if i % 3 == 0 else f"s{i % 2000}" if i % 2000 else None) for i in range(9000)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, source string")
+    got = mixing.mix_order(frame, block_docs=1).collect()
+    assert Counter(g.source for g in got) == Counter(s for _, s in rows) and len({g.position for g in got}) == 9000
+    assert sorted(g.position for g in got) == list(range(9000))
+    # the pool's sources keep their places from the first to the last
+    light = [g.position for g in got if g.source != "big"]
+    assert abs(sum(light) / len(light) - 4500) < 2500
+
+
+def test_mixing_clashing_names(spark):
+    names = ["h", "bucket", "rank", "nth", "slot", "block", "position", "before", "slots", "s", "row", "code", "own", "n", "k", "at"]
+    rows = [(i, f"t{i}", "ab"[i % 2], *range(i, i + len(names))) for i in range(60)]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id bigint, text string, source string", *(f"`{n}` int" for n in names)]))
+    out = mixing.mixed(frame, block_docs=2)
+    assert out.columns == frame.columns and sorted(map(tuple, out.collect())) == rows
+    assert mixing.mix_order(frame).count() == 60
 
 
 def test_mixing_keeps_every_row(spark, edge):

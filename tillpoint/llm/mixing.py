@@ -1,178 +1,210 @@
 """Operator 8: mixing sources to target weights by Pfair scheduling of source blocks.
 
-Each source's documents are dealt into blocks of equal size. Time is cut into periods; until the end of
-period j a source of weight w has had w * (j + 1) * period blocks, rounded by largest remainders, so what
-rounding takes or adds in one period is made up in the next. A period's k-th of n blocks of a source is
-released at slot floor(k * period / n) of it and due by ceil((k + 1) * period / n); earliest deadline first
-among the released blocks keeps every source less than one block from the period's line, and less than two
-from its exact weight at every slot, however many there are. A period follows from the weights and its number
-alone: the driver computes one for each phase, the executors all. When a source runs out, the weights of the
-rest are scaled up and a new phase begins, so every document is placed and none twice.
-
-A null source is a source of its own; null, repeated or tied doc_ids are placed like any other (ties in
-hash order are broken arbitrarily but each row gets its own place); an empty table gives no rows;
-other columns are ignored by `mix_order` and kept by `mixed`.
+Each source's documents are dealt into blocks of equal size. Weights are integers, W their sum; the k-th block of a source of
+weight w is released at slot floor(k * W / w) and due by ceil((k + 1) * W / w). Earliest deadline first among the
+released blocks meets all deadlines, so at every slot each source has less than one block more or less than
+its exact share. After W slots all begins anew, without remainder: the driver computes that much once, at
+most MAX_PERIOD slots, and the executors find any block's slot from it. When a source runs out, the weights of the rest
+stand against their own sum and a new phase begins, so every document is placed and none twice.
+
+Whole and fractional weights are taken exactly, as far as their common denominator gives no more than MAX_PERIOD
+slots, else rounded to that; without weights, tempered sizes are rounded once to integers, and those are the target.
+The MAX_SOURCES sources with a weight of their own are given ones and then the largest; all others
+share the weight of a pool, in which the blocks of each are spread evenly from its first place to its last.
+
+A null source is a source of its own; documents are numbered as they are read, so null, repeated or tied doc_ids are placed
+like any other; an empty table gives no rows. `mix_order` ignores other columns, `mixed` keeps them, whatever their names.
 """
 from __future__ import annotations
 
 import heapq
 import math
 import re
-from bisect import bisect
+from bisect import bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import save
+from tillpoint.llm.common import save, small_batches
 
-#: Slots of one period (at least four for each source, and two for the lightest), documents of a block, and the most sources.
-PERIOD, BLOCK_DOCS, MAX_SOURCES = 1000, 16, 1024
+#: Least sum of tempered weights, documents of a block, sources with a weight of their own, and slots of a hyperperiod at most.
+PERIOD, BLOCK_DOCS, MAX_SOURCES, MAX_PERIOD = 1000, 16, 1024, 1 << 20
 
 
-def quantised(weights: dict, period: int) -> dict:
-    """Slots of each source among the first `period` ones: largest remainders."""
-    total = sum(weights.values())
-    exact = {s: period * w / total for s, w in weights.items()}
-    slots = {s: math.floor(x) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (slots[s] - exact[s], str(s)))
-    for s in by_rest[:period - sum(slots.values())]:
-        slots[s] += 1
-    return slots
-
-
-def one_period(slots: dict, period: int) -> dict:
-    """source -> its slots in one period, by release times, deadlines and earliest deadline first."""
-    names = {s: i for i, s in enumerate(sorted(slots, key=lambda s: (str(s), s is None)))}
-    jobs = sorted(((k * period) // n, -(-(k + 1) * period // n), names[s], s) for s, n in slots.items() for k in range(n))
-    ready, out, at = [], {s: [] for s in slots}, 0
-    for t in range(period):
-        while at < len(jobs) and jobs[at][0] <= t:
-            release, due, name, s = jobs[at]
-            heapq.heappush(ready, (due, name, release, at))
-            at += 1
-        out[jobs[heapq.heappop(ready)[3]][3]].append(t)
-    return out
+def whole_weights(weights: dict) -> dict:
+    """Integers in the proportion of `weights`, exactly if their sum stays within MAX_PERIOD; a weight of 0 counts as the least other."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    least = min((x for x in exact.values() if x > 0), default=Fraction(1))
+    exact = {s: x if x > 0 else least for s, x in exact.items()}
+    common = math.lcm(*(x.denominator for x in exact.values()))
+    parts = {s: int(x * common) for s, x in exact.items()}
+    shared = math.gcd(*parts.values())
+    parts = {s: n // shared for s, n in parts.items()}
+    total = sum(parts.values())
+    return parts if total <= MAX_PERIOD else {s: max(1, n * (MAX_PERIOD - len(parts)) // total) for s, n in parts.items()}
 
 
-def nth_period(weights: dict, period: int, j: int) -> tuple[dict, dict]:
-    """(source -> its blocks before period j, source -> its slots in period j)."""
-    before, after = quantised(weights, j * period), quantised(weights, (j + 1) * period)
-    return before, one_period({s: after[s] - before[s] for s in weights}, period)
+def tempered(counts: dict, power: float, period: int = PERIOD) -> dict:
+    """Integer weights in proportion to a power of the sources' sizes, whose sum is about `period` or four a source."""
+    raw = {s: n ** power for s, n in counts.items()}
+    scale = max(period, 4 * len(raw)) / max(sum(raw.values()), 1e-300)
+    return {s: max(1, round(x * scale)) for s, x in raw.items()}
 
 
-def phases(blocks: dict, weights: dict, period: int) -> list[tuple]:
-    """Rows (source, first block, last block + 1, first slot, slots in a period, weight): one for each source and
-    phase, maybe without blocks; a phase ends with the block after which a source has none left."""
-    left, done, slot0, rows = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    left = {s: n for s, n in left.items() if n}
+def schedule(weights: dict, blocks: dict) -> dict:
+    """source -> the slots of its blocks in the first hyperperiod, up to the slot after which a source has none left."""
+    total = sum(weights.values())
+    names = sorted(weights, key=lambda s: (s is None, str(s)))
+    w = [weights[s] for s in names]
+    have = [blocks[s] for s in names]
+    out: list[list[int]] = [[] for _ in names]
+    # by time: the next release of each source; by deadline: released blocks (one a source, as windows follow each other)
+    release = [(0, i) for i in range(len(names))]
+    ready: list[tuple[int, int]] = []
+    for t in range(total):
+        while release and release[0][0] <= t:
+            i = heapq.heappop(release)[1]
+            heapq.heappush(ready, (-(-(len(out[i]) + 1) * total // w[i]), i))
+        i = heapq.heappop(ready)[1]
+        out[i].append(t)
+        k = len(out[i])
+        if k == have[i]:
+            break
+        if k < w[i]:
+            heapq.heappush(release, (k * total // w[i], i))
+    return dict(zip(names, out))
+
+
+def phases(blocks: dict, weights: dict) -> list[tuple]:
+    """Rows (first slot, slots of a hyperperiod, {source: (first block, last block + 1, slots of its blocks in a hyperperiod)})."""
+    left, done, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
     while left:
-        total = sum(weights[s] for s in left)
-        shares = {s: weights[s] / total for s in left}
-        p = max(period, 4 * len(left))
-        # from two blocks a period on, the rounded counts never fall from one period to the next
-        p = max(p, min(math.ceil(2 / min(shares.values())), sum(left.values())))
-        # the period in which the first source has its last block
-        j = max(0, math.floor(min((n - 1) / (shares[s] * p) for s, n in left.items())) - 1)
-        while all(c < left[s] for s, c in quantised(shares, (j + 1) * p).items()):
-            j += 1
-        before, table = nth_period(shares, p, j)
-        end = min(table[s][n - before[s] - 1] + 1 for s, n in left.items() if n <= before[s] + len(table[s]))
-        for s in list(left):
-            had = before[s] + bisect(table[s], end - 1)
-            rows.append((s, done[s], done[s] + had, slot0, p, shares[s]))
-            done[s] += had
-            left[s] -= had
-            if not left[s]:
-                del left[s]
-        slot0 += j * p + end
-    return rows
-
-
-def block_slots(spark: SparkSession, plan: list[tuple]) -> DataFrame:
-    """(p_source, p_block, p_slot) of all blocks, from the rows of `phases`; periods are dealt to the executors."""
-    grouped = {}
-    for source, first, end, slot0, p, share in plan:
-        grouped.setdefault((slot0, p), {})[source] = (share, first, end)
-    starts, n = [], 0  # the first period of each phase, counted through
-    for (_, p), sources in grouped.items():
-        starts.append(n)
-        n += -(-sum(end - first for _, first, end in sources.values()) // p)
-    shared = spark.sparkContext.broadcast((starts, list(grouped.items())))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, grouped = shared.value
-        for batch in batches:
-            for i in batch.column("id").to_pylist():
-                phase = bisect(starts, i) - 1
-                (slot0, p), sources = grouped[phase]
-                j = i - starts[phase]
-                before, table = nth_period({s: x[0] for s, x in sources.items()}, p, j)
-                out = [(s, first + k, slot0 + j * p + t) for s, (_, first, end) in sources.items()
-                       for k, t in enumerate(table[s], before[s]) if first + k < end]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], ["p_source", "p_block", "p_slot"])
+        period = sum(weights[s] for s in left)
+        mine = {s: weights[s] for s in left}
+        # whole hyperperiods before the one in which a source runs out; what is left for that one
+        whole = min((n - 1) // mine[s] for s, n in left.items())
+        rest = {s: n - whole * mine[s] for s, n in left.items()}
+        table = schedule(mine, dict.fromkeys(left, math.inf) if whole else rest)
+        end = min(table[s][n - 1] for s, n in rest.items() if n <= len(table[s]))
+        had = {s: whole * mine[s] + bisect_right(table[s], end) for s in left}
+        out.append((start, period, {s: (done[s], done[s] + had[s], np.array(table[s], np.int64)) for s in left}))
+        start += sum(had.values())
+        for s, n in had.items():
+            done[s] += n
+            left[s] -= n
+        left = {s: n for s, n in left.items() if n}
+    return out
 
-    return spark.range(n).mapInArrow(deal, "p_source string, p_block bigint, p_slot bigint")
 
+def slot_of(plan: dict, source: int, block: np.ndarray) -> np.ndarray:
+    """Slots of blocks of a source, from `by_source`."""
+    starts, parts = plan[source]
+    out = np.empty(len(block), np.int64)
+    at = np.searchsorted(starts, block, "right") - 1
+    for p in np.unique(at):
+        first, slot0, period, table = parts[p]
+        mine = at == p
+        k = block[mine] - first
+        out[mine] = slot0 + k // len(table) * period + table[k % len(table)]
+    return out
 
-def tempered(counts: dict, power: float) -> dict:
-    """Weights in proportion to a power of the sources' sizes."""
-    return {s: n ** power for s, n in counts.items()}
 
+def by_source(rows: list[tuple]) -> dict:
+    """source -> (first blocks of its phases, [(first block, first slot, hyperperiod, slots of its blocks in one)])."""
+    out: dict = {}
+    for slot0, period, sources in rows:
+        for s, (first, end, table) in sources.items():
+            if end > first:
+                parts = out.setdefault(s, ([], []))
+                parts[0].append(first)
+                parts[1].append((first, slot0, period, table))
+    return out
 
-def mix_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_docs: int = BLOCK_DOCS, period: int = PERIOD,
-              keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, block, slot, position, *keep); position is unique and counts up from 0 nearly without gaps.
 
-    `weights` gives the target of each source (others weigh as the smallest); without it they are tempered sizes.
-    """
+def _place(plan, block_docs: int):
+    """(code, bucket, before, n) -> (code, bucket, before, slots): slots of the blocks that a bucket's documents fall into."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, before, n = (batch.column(c).to_numpy() for c in ("code", "before", "n"))
+            slots = [slot_of(plan.value, c, np.arange(b // block_docs, (b + k - 1) // block_docs + 1)) for c, b, k in zip(code.tolist(), before.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("code"), batch.column("bucket"), batch.column("before"), pa.array(slots, pa.list_(pa.int64()))],
+                                             ["code", "bucket", "before", "slots"])
+    return run
+
+
+def placed(docs: DataFrame, weights: dict | None, power: float, block_docs: int, period: int, columns: list[str]) -> DataFrame:
+    """(row, block, slot, position): `row` is a struct of the `columns` of each document; position is unique."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", *keep)
-    n = rows.count()
-    # about sqrt(n) buckets a source, so neither a bucket nor the list of buckets of a hot source is large
-    n_buckets = max(1, math.isqrt(n))
-    order = F.xxhash64("doc_id", F.lit(8))
-    rows = rows.withColumn("h", order).withColumn("bucket", F.pmod("h", F.lit(n_buckets)))
-    sizes = save(rows.groupBy("source", "bucket").agg(F.count("*").alias("n")), "mix-sizes")
-    totals = {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them before mixing")
+    small_batches(spark)
+    rows = save(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col("source").cast("string").alias("source")).select(
+        "*", F.monotonically_increasing_id().alias("nth")), "mix-rows")
+    totals = save(rows.groupBy("source").agg(F.count("*").alias("n")), "mix-sources")
+    asked = [s for s in (weights or {}) if s is not None]
+    first = F.coalesce(F.col("source").isin(asked), F.lit(None in (weights or {})))
+    own = totals.orderBy(F.desc(first), F.desc("n"), F.asc_nulls_first("source")).limit(MAX_SOURCES).collect()
+    counts = {i: r.n for i, r in enumerate(own)}
+    names = {r.source: i for i, r in enumerate(own)}
+    codes = spark.createDataFrame([(r.source, i) for i, r in enumerate(own)], "s string, own int")  # at most MAX_SOURCES rows
+    coded = totals.join(F.broadcast(codes), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "n", "own")
+    pool = coded.where("own is null").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(power))).alias("w")).first()
+    n_all = sum(counts.values()) + (pool.n or 0)
     if weights is None:
-        weights = tempered(totals, power)
-    weights = {s: weights.get(s, min(weights.values(), default=1.0)) for s in totals}
-    blocks = {s: -(-t // block_docs) for s, t in totals.items()}
-    plan = block_slots(spark, phases(blocks, weights, period))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("source").alias("s"), F.col("bucket").alias("b"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    # the blocks of a bucket follow each other: their slots are an array, at most as long as the bucket
-    first = f"before div {block_docs}"
-    spans = starts.withColumn("p", F.explode(F.expr(f"sequence({first}, (before + n - 1) div {block_docs})")))
-    spans = spans.join(plan, F.col("s").eqNullSafe(F.col("p_source")) & (F.col("p") == F.col("p_block")))
-    spans = save(spans.groupBy("s", "b", "before").agg(F.array_sort(F.collect_list("p_slot")).alias("slots")), "mix-plan")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
-    ranked = rows.withColumn("nth", F.row_number().over(inside) - 1).join(
-        spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    placed = ranked.withColumn("rank", F.col("before") + F.col("nth")).withColumn("block", F.expr(f"rank div {block_docs}"))
-    placed = placed.withColumn("slot", F.expr(f"element_at(slots, cast(block - {first} + 1 as int))"))
-    return placed.select(
-        "doc_id", "source", "block", "slot", (F.col("slot") * block_docs + F.pmod("rank", F.lit(block_docs))).alias("position"), *keep)
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
+        mass = {i: n ** power for i, n in counts.items()} | ({-1: pool.w} if pool.k else {})
+        share = tempered(mass, 1, period)
+    else:
+        least = min(weights.values())
+        share = whole_weights({i: weights.get(s, least) for s, i in names.items()} | ({-1: Fraction(str(least)) * pool.k} if pool.k else {}))
+    if pool.k:
+        counts[-1] = pool.n
+    plan = by_source(phases({i: -(-n // block_docs) for i, n in counts.items()}, share)) if n_all else {}
+    # about sqrt(n) buckets a source, so neither a bucket nor the list of buckets of a hot source is large
+    n_buckets = max(1, math.isqrt(n_all))
+    mixed_up = F.xxhash64("nth", F.lit(8))
+    keyed = rows.join(F.broadcast(codes), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    known = keyed.where("own is not null").select("row", "nth", F.col("own").alias("code"), mixed_up.alias("h"), F.pmod(mixed_up, F.lit(n_buckets)).alias("bucket"))
+    if pool.k:
+        # a pooled source's documents are spread evenly: the k-th of n stands at (k + 1/2) / n of the pool
+        other = keyed.where("own is null").drop("own").withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(mixed_up)))
+        sizes = coded.where("own is null").select(F.col("source").alias("s"), F.col("n"))
+        other = other.join(sizes, F.col("source").eqNullSafe(F.col("s"))).withColumn("at", (F.col("k") - 0.5) / F.col("n"))
+        known = known.union(other.select("row", "nth", F.lit(-1).alias("code"), (F.col("at") * (1 << 52)).cast("bigint").alias("h"),
+                                         F.least(F.floor(F.col("at") * n_buckets), F.lit(n_buckets - 1)).cast("bigint").alias("bucket")))
+    sizes = known.groupBy("code", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("code").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    spans = save(sizes.select("code", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "mix-sizes")
+    shared = spark.sparkContext.broadcast(plan)
+    spans = save(spans.mapInArrow(_place(shared, block_docs), "code int, bucket bigint, before bigint, slots array<bigint>"), "mix-plan")
+    inside = Window.partitionBy("code", "bucket").orderBy("h", "nth")
+    ranked = known.withColumn("in_bucket", F.row_number().over(inside) - 1).join(spans, ["code", "bucket"])
+    rank = F.col("before") + F.col("in_bucket")
+    ranked = ranked.withColumn("rank", rank).withColumn("block", F.expr(f"rank div {block_docs}"))
+    slot = F.expr(f"element_at(slots, cast(block - before div {block_docs} + 1 as int))")
+    return ranked.withColumn("slot", slot).select("row", "block", "slot", (F.col("slot") * block_docs + F.pmod("rank", F.lit(block_docs))).alias("position"))
+
+
+def mix_order(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
+    """(doc_id, source, block, slot, position); position is unique and counts up from 0 nearly without gaps.
+
+    `weights` gives the target of each source (others weigh as the smallest); without it they are tempered sizes.
+    """
+    place = placed(docs, weights, power, block_docs, period, ["doc_id", "source"])
+    return place.select("row.doc_id", "row.source", "block", "slot", "position")
+
+
+def mixed(docs: DataFrame, weights: dict | None = None, power: float = 0.5, block_docs: int = BLOCK_DOCS, period: int = PERIOD) -> DataFrame:
     """The documents, all columns, written out in mixed order: range partitions of position, sorted inside."""
-    columns = docs.columns
-    rest = tuple(c for c in columns if c not in ("doc_id", "source"))
-    place = mix_order(docs, keep=rest, **options)
-    return place.repartitionByRange("position").sortWithinPartitions("position").select(*columns)
+    place = placed(docs, weights, power, block_docs, period, docs.columns).select("row", "position")
+    return place.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
 
 
 def written_order(docs: DataFrame) -> DataFrame:
-    """`docs`, read from files that `mixed` wrote, with the `position` (0, 1, ...) of each row in that order."""
-    file, columns = F.col("_metadata.file_name").alias("_file"), docs.columns
-    sizes = {r[0]: r[1] for r in docs.groupBy(file).count().collect()}  # one row a file
+    """(row, position): a struct of each row of `docs`, read from files that `mixed` wrote, and its place (0, 1, ...) in that order."""
+    file = F.col("_metadata.file_name")
+    sizes = {r[0]: r[1] for r in docs.groupBy(file.alias("_file")).count().collect()}  # one row a file
 
     def place(name: str) -> tuple:
         part = re.match(r"part-(\d+)\b.*?[-.]c(\d+)\b", name)
@@ -182,6 +214,6 @@ def written_order(docs: DataFrame) -> DataFrame:
     for name in sorted(sizes, key=place):
         starts.append((name, at))
         at += sizes[name]
-    starts = docs.sparkSession.createDataFrame(starts, "_file string, _start bigint")
-    return docs.select("*", file, F.col("_metadata.row_index").alias("_row")).join(F.broadcast(starts), "_file").select(
-        *(F.col(f"`{c}`") for c in columns if c != "position"), (F.col("_start") + F.col("_row")).alias("position"))
+    starts = docs.sparkSession.createDataFrame(starts, "file string, start bigint")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), file.alias("file"), F.col("_metadata.row_index").alias("nth"))
+    return rows.join(F.broadcast(starts), "file").select("row", (F.col("start") + F.col("nth")).alias("position"))
