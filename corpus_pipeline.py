@@ -43,7 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in sequences of at most 2048 tokens, numbered in the order of the mix."""
-    return packing.pack_in_order(mixing.written_order(docs), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=SEQUENCE)
+    ordered = mixing.written_order(docs).select("row.doc_id", "row.text", "position")
+    return packing.pack_in_order(ordered, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=SEQUENCE)
 
 
 STAGES = [("quality_classifier", quality_classifier), ("quality_rules", rules), ("ngram_jaccard_join", near_duplicates),
