@@ -200,13 +200,69 @@ def test_rule_counts(spark, docs, rows, edge, empty):
 
 
 def test_vote_model_recovers_chances():
+    """Votes drawn from known chances, both ways and abstaining: the estimates come near them and so does the balance."""
     import random
     rng, patterns = random.Random(3), Counter()
+    truth = {True: [(0.02, 0.08, 0.9), (0.01, 0.04, 0.95), (0.05, 0.15, 0.8), (0.02, 0.03, 0.95), (0.01, 0.29, 0.7)],
+             False: [(0.6, 0.2, 0.2), (0.5, 0.1, 0.4), (0.7, 0.1, 0.2), (0.4, 0.2, 0.4), (0.5, 0.3, 0.2)]}
     for _ in range(20_000):
         good = rng.random() < 0.8
-        patterns[tuple((1 if (rng.random() < a) == good else -1) if rng.random() < 0.9 else 0 for a in (0.95, 0.9, 0.8, 0.7, 0.85))] += 1
-    model = quality_rules.VoteModel(list("abcde"), 0.8, {1: 6.0, -1: 6.0}).fit(list(patterns.items()))
-    assert all(abs(model.chance[k][1, True] - 0.9 * a) < 0.05 for k, a in zip("abcde", (0.95, 0.9, 0.8, 0.7, 0.85)))
+        patterns[tuple(rng.choices((-1, 0, 1), x)[0] for x in truth[good])] += 1
+    model = quality_rules.VoteModel(list("abcde")).fit(list(patterns.items()))
+    assert abs(model.good - 0.8) < 0.03
+    for good, rules in truth.items():
+        for k, chances in zip("abcde", rules):
+            assert all(abs(model.chance[k][v, good] - x) < 0.06 for v, x in zip((-1, 0, 1), chances))
+
+
+def brute_posterior(votes):
+    """The documents' posteriors by expectation-maximisation over documents, one by one, in plain loops."""
+    n, k = len(votes), len(votes[0])
+    prior, more = quality_rules.PRIOR_VOTE, quality_rules.PRIOR_SHARE * len(votes)
+    chance, good = [dict(prior) for _ in range(k)], quality_rules.PRIOR_GOOD
+
+    def post(v):
+        a, b = good, 1 - good
+        for i, x in enumerate(v):
+            a *= chance[i][x, True]
+            b *= chance[i][x, False]
+        return a / (a + b)
+
+    for _ in range(quality_rules.ROUNDS):
+        q = [post(v) for v in votes]
+        new = []
+        for i in range(k):
+            new.append({(x, c): (sum((p if c else 1 - p) for p, v in zip(q, votes) if v[i] == x) + more * prior[x, c]) / (sum(p if c else 1 - p for p in q) + more)
+                        for x in (-1, 0, 1) for c in (True, False)})
+        good, chance = (sum(q) + more * quality_rules.PRIOR_GOOD) / (n + more), new
+    return [post(v) for v in votes]
+
+
+def test_posterior_by_brute_force(spark, docs):
+    got = quality_rules.judge_documents(docs).collect()
+    votes = [tuple(g[f"vote_{k}"] for k in quality_rules.votes()) for g in got]
+    assert all(abs(g.posterior - p) < 1e-6 for g, p in zip(got, brute_posterior(votes)))
+    assert all(g.kept == (not g.base_failed and g.posterior >= quality_rules.KEEP_FROM) for g in got)
+
+
+def test_estimates_leave_their_start_and_decide(spark):
+    """On the real table: balance and chances move off the prior, and one weak bad vote does not reject a document."""
+    counted = quality_rules.with_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")).drop("text")
+    cast = counted.select("doc_id", "n_words", *(v.alias(f"vote_{k}") for k, v in quality_rules.votes().items())).cache()
+    model = quality_rules.fit_votes(cast)
+    assert abs(model.good - quality_rules.PRIOR_GOOD) > 0.005
+    moved = [abs(model.chance[k][v, c] - x) for k in model.names for (v, c), x in quality_rules.PRIOR_VOTE.items()]
+    assert sum(m > 0.02 for m in moved) > 0.8 * len(moved)
+    bad = sum((F.col(f"vote_{k}") < 0).cast("int") for k in model.names)
+    judged = cast.withColumn("bad", bad).withColumn("good", model.column() >= quality_rules.KEEP_FROM).where("n_words >= 50")
+    assert judged.where("bad > 0 and good").count() > 0
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = judged.join(labels, "doc_id").select("quality", "good", "bad").collect()
+    right = sum(r.good == (r.quality == 1) for r in rows)
+    assert right >= sum((r.bad == 0) == (r.quality == 1) for r in rows) and right > 0.99 * len(rows)
+    # a document between the zones of most rules is rejected without a bad vote
+    assert model.posterior(tuple(0 for _ in model.names)) < quality_rules.KEEP_FROM
+    cast.unpersist()
 
 
 def test_rules_keep_clean_and_reject_junk(spark):

@@ -1,9 +1,14 @@
 """Operator 9: quality rules by weak supervision, in DataFrame functions only.
 
-Each rule votes 1 (good), -1 (bad) or 0 (abstains) on counts of the document. Expectation-maximisation
-estimates how often each rule is right on good and on bad documents, from the counts of vote patterns
-over all documents (at most 3^11 rows, however many documents); the posterior that a document is good is
-then a column expression. It replaces the test that all rules must pass.
+Each rule looks at one count of the document and votes 1 (good), -1 (bad) or, between the two, 0 (abstains).
+Expectation-maximisation estimates the share of good documents and, for each rule, how often it casts each vote on good
+and on bad documents, from the counts of vote patterns over all documents (at most 3^11 rows, however many
+documents); the posterior that a document is good is then a column expression. It replaces the test that all rules must pass:
+one bad vote among good ones may be outweighed, and abstentions that are rare among good documents count against one.
+
+Two classes of documents can be told apart in many ways (by length, by language). What names the classes is a prior of
+PRIOR_SHARE of the documents: a rule votes good on most good documents and bad on a part of the bad ones, as junk
+breaks some rules, never all. It weighs the same at every size and leaves a corpus without junk as it is.
 
 Words are runs of anything but space, tab and the line and page breaks. Null text has no words and fails
 the base rules; so does an empty one. Null and repeated doc_ids keep a row each; other columns are
@@ -20,13 +25,12 @@ from pyspark.sql import functions as F
 from tillpoint.llm.common import save, words_column
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Chance of (vote, document is good) before any document is seen, for how many documents that counts, the share
-#: of good documents taken as given, and the most log odds that a good and a bad vote may add: what is wrong with a document
-#: seldom shows in more than one rule, so good votes of the others must not outweigh it.
-PRIOR_VOTE = {(-1, True): 0.004, (-1, False): 0.35, (1, True): 0.8, (1, False): 0.6}
-PRIOR_VOTES, PRIOR_GOOD, MOST_ODDS = 50.0, 0.85, {1: 0.5, -1: 6.0}
-#: Posterior from which a document is kept.
-KEEP_FROM = 0.5
+#: Chance of (vote, document is good) before any document is seen; as many more documents, as a share of all, for how much that
+#: counts in each class; the share of good documents at the start.
+PRIOR_VOTE = {(1, True): 0.85, (0, True): 0.13, (-1, True): 0.02, (1, False): 0.45, (0, False): 0.2, (-1, False): 0.35}
+PRIOR_SHARE, PRIOR_GOOD = 0.02, 0.9
+#: Posterior from which a document is kept, and rounds of estimation.
+KEEP_FROM, ROUNDS = 0.5, 100
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
@@ -35,7 +39,8 @@ def with_counts(docs: DataFrame) -> DataFrame:
     base = docs.withColumn("_words", words_column(F.col("text")))
     base = base.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != ""))
     n = F.size("_words")
-    window = lambda i: F.struct(F.xxhash64(*(F.get("_words", i + k) for k in range(3))).alias("h"), i.alias("at"))
+    base = base.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))  # once a word
+    window = lambda i: F.struct(F.xxhash64(*(F.get("_hashes", i + k) for k in range(3))).alias("h"), i.alias("at"))
     windows = F.when(n >= 3, F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), window)))
     base = base.withColumn("_windows", F.coalesce(windows, F.array().cast("array<struct<h:bigint,at:int>>")))
     same = lambda x, j: F.coalesce(F.get("_windows", j)["h"] == x["h"], F.lit(False))
@@ -44,78 +49,84 @@ def with_counts(docs: DataFrame) -> DataFrame:
     covered = F.aggregate("_starts", F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("n")),
                           lambda a, s: F.struct((s + 3).alias("end"), (a["n"] + 3 - F.greatest(F.lit(0), a["end"] - s)).alias("n")),
                           lambda a: a["n"])
-    next_same = F.size(F.filter("_words", lambda w, i: (i > 0) & (w == F.get("_words", i - 1))))
+    next_same = F.size(F.filter("_hashes", lambda w, i: (i > 0) & (w == F.get("_hashes", i - 1))))
     counts = {
         "n_words": n, "word_chars": F.length(F.array_join("_words", "")), "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)),
         "n_lines": F.size("_lines"), "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
-        "n_repeat_words": covered, "n_distinct": F.size(F.array_distinct("_words")), "n_next_same": next_same,
+        "n_repeat_words": covered, "n_distinct": F.size(F.array_distinct("_hashes")), "n_next_same": next_same,
         "n_uppers": F.regexp_count(text, F.lit(r"\p{Lu}")), "n_marks": F.regexp_count(text, F.lit("[!?]")),
         "n_others": F.regexp_count(text, F.lit(r"[^\p{L}\p{M}\x20\x09-\x0D]")),
         "n_wordless": F.size(F.filter("_words", lambda w: ~F.rlike(w, F.lit(r"\p{L}")))),
     }
-    return base.withColumns({k: v.cast("bigint") for k, v in counts.items()}).drop("_words", "_lines", "_windows", "_starts")
+    return base.withColumns({k: v.cast("bigint") for k, v in counts.items()}).drop("_words", "_hashes", "_lines", "_windows", "_starts")
 
 
 def votes() -> dict[str, Column]:
     """The rules: 1, -1 or 0 each, over the counts."""
     c = F.col
 
-    def rule(bad: Column, good: Column | None = None) -> Column:
-        vote = F.when(bad, F.lit(-1))
-        return (vote if good is None else vote.when(good, F.lit(1))).otherwise(F.lit(0)).cast("int")
+    def rule(bad: Column, good: Column) -> Column:
+        return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)).cast("int")
+
+    def at_most(count: str, of: str, good: int, bad: int) -> Column:
+        """Good up to one `good`-th of `of`, bad from one `bad`-th on."""
+        return rule((c(count) * bad >= c(of)) & (c(count) > 0), c(count) * good <= c(of))
 
     n, chars = c("n_words"), c("word_chars")
     return {
-        "length": rule(n < 20, n >= 100),
-        "word_length": rule((chars < 2 * n) | (chars > 15 * n), (chars >= 3 * n) & (chars <= 10 * n)),
-        "distinct": rule((n >= 50) & (c("n_distinct") * 10 <= n), (n >= 20) & (c("n_distinct") * 5 >= 2 * n)),
-        "symbols": rule(c("n_symbols") * 10 >= n),
-        "letters": rule((n >= 10) & (c("n_others") * 4 >= chars)),
-        "wordless": rule((n >= 10) & (c("n_wordless") * 5 >= n)),
-        "lines": rule((c("n_dup_lines") >= 2) & (c("n_dup_lines") * 10 >= 3 * c("n_lines"))),
-        "repeats": rule((n >= 20) & (c("n_repeat_words") * 10 >= 4 * n)),
-        "capitals": rule((n >= 20) & (c("n_uppers") * 4 >= chars)),
-        "marks": rule(c("n_marks") * 4 >= n),
-        "next_word": rule((n >= 20) & (c("n_next_same") * 5 >= n)),
+        "length": rule(n < 30, n >= 80),
+        "word_length": rule((chars < 3 * n) | (chars > 8 * n), (10 * chars >= 42 * n) & (10 * chars <= 65 * n)),
+        "distinct": rule((n >= 20) & (c("n_distinct") * 4 < n), c("n_distinct") * 5 >= 2 * n),
+        "symbols": at_most("n_symbols", "n_words", 50, 10),
+        "letters": at_most("n_others", "word_chars", 15, 8),
+        "wordless": at_most("n_wordless", "n_words", 30, 10),
+        "lines": rule((c("n_dup_lines") >= 2) & (c("n_dup_lines") * 10 >= 3 * c("n_lines")), c("n_dup_lines") * 20 <= c("n_lines")),
+        "repeats": rule((n >= 20) & (c("n_repeat_words") * 10 >= 3 * n), c("n_repeat_words") * 10 <= n),
+        "capitals": at_most("n_uppers", "word_chars", 12, 6),
+        "marks": at_most("n_marks", "n_words", 20, 5),
+        "next_word": at_most("n_next_same", "n_words", 20, 6),
     }
 
 
 class VoteModel:
-    """How often each rule votes good or bad on good and on bad documents; the share of good ones is given."""
+    """The share of good documents, and how often each rule casts each vote on good and on bad ones."""
 
-    def __init__(self, names: list[str], good: float = PRIOR_GOOD, most: dict[int, float] = MOST_ODDS):
-        self.names, self.good, self.most = names, good, most
+    def __init__(self, names: list[str]):
+        self.names, self.good = names, PRIOR_GOOD
         self.chance = {k: dict(PRIOR_VOTE) for k in names}
 
     def log_odds(self, name: str, vote: int) -> float:
-        """What a vote adds to the log odds of a good document, on the vote's side; an abstention adds nothing."""
-        if not vote:
-            return 0.0
-        z = math.log(self.chance[name][vote, True] / self.chance[name][vote, False])
-        return min(max(z * vote, 0.2), self.most[vote]) * vote
+        """What a vote adds to the log odds of a good document."""
+        return math.log(self.chance[name][vote, True] / self.chance[name][vote, False])
 
-    def posterior(self, pattern: tuple[int, ...]) -> float:
-        z = math.log(self.good / (1 - self.good)) + sum(self.log_odds(k, v) for k, v in zip(self.names, pattern))
-        return 1 / (1 + math.exp(-z))
+    def start(self) -> float:
+        return math.log(self.good / (1 - self.good))
 
-    def fit(self, patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> VoteModel:
-        """Expectation-maximisation over (pattern, number of documents), with the priors as PRIOR_VOTES more documents."""
-        for _ in range(rounds):
+    def posterior(self, pattern: tuple[int, ...]) -> float:
+        z = self.start() + sum(self.log_odds(k, v) for k, v in zip(self.names, pattern))
+        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+
+    def fit(self, patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> VoteModel:
+        """Expectation-maximisation over (pattern, number of documents); each class has the prior's documents on top."""
+        total = sum(n for _, n in patterns)
+        more = PRIOR_SHARE * total
+        for _ in range(rounds if total else 0):
             weights = [(p, n, self.posterior(p)) for p, n in patterns]
             of = {True: sum(n * q for _, n, q in weights), False: sum(n * (1 - q) for _, n, q in weights)}
+            self.good = (of[True] + more * PRIOR_GOOD) / (total + more)
             for i, k in enumerate(self.names):
-                cast = {key: PRIOR_VOTES * prior for key, prior in PRIOR_VOTE.items()}
+                cast = {key: more * prior for key, prior in PRIOR_VOTE.items()}
                 for p, n, q in weights:
-                    if p[i]:
-                        cast[p[i], True] += n * q
-                        cast[p[i], False] += n * (1 - q)
-                self.chance[k] = {(vote, good): c / (of[good] + PRIOR_VOTES) for (vote, good), c in cast.items()}
+                    cast[p[i], True] += n * q
+                    cast[p[i], False] += n * (1 - q)
+                self.chance[k] = {(vote, good): c / (of[good] + more) for (vote, good), c in cast.items()}
         return self
 
     def column(self) -> Column:
-        z = F.lit(math.log(self.good / (1 - self.good)))
+        z = F.lit(self.start())
         for k in self.names:
-            z = z + F.when(F.col(f"vote_{k}") > 0, F.lit(self.log_odds(k, 1))).when(F.col(f"vote_{k}") < 0, F.lit(self.log_odds(k, -1))).otherwise(F.lit(0.0))
+            vote = F.col(f"vote_{k}")
+            z = z + F.when(vote > 0, F.lit(self.log_odds(k, 1))).when(vote < 0, F.lit(self.log_odds(k, -1))).otherwise(F.lit(self.log_odds(k, 0)))
         return 1 / (1 + F.exp(-z))
 
 
