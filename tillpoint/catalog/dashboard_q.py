@@ -287,12 +287,51 @@ FROM x
 """)
 
 
+#: Monthly expenses of the registered query with opex.
+OPEX = {"labor": 120000.0, "rent": 45000.0, "utilities": 8000.0, "other_opex": 17000.0, "depreciation": 9000.0}
+
+F11_OPEX_SQL = oracle(f"""
+, g AS (SELECT {MS('actual_revenue')} AS revenue, {MS('cost')} AS cogs, greatest(count(DISTINCT (year, month)), 1) AS months FROM regular),
+h AS (SELECT *, round((revenue - cogs) * 100) / 100 AS gp, months * {sum(OPEX[k] for k in ('labor', 'rent', 'utilities', 'other_opex'))} AS opex,
+      months * {OPEX['depreciation']} AS da FROM g)
+SELECT true AS configured, CAST(months AS BIGINT) AS months, gp AS gross_profit, opex AS total_opex, gp - opex AS ebit, da AS depreciation,
+  gp - opex + da AS ebitda, {R(SD('gp - opex + da', 'revenue') + ' * 100')} AS ebitda_margin_pct FROM h
+""")
+
+
+def _s16_sql(year: int) -> str:
+    one_year = f"FROM regular WHERE year = {year}"
+    return oracle(MONTHLY_CTE.replace("FROM regular", one_year) + MIX_CTE.replace("FROM regular", one_year) + f"""
+, fl AS (SELECT min_by(margin, ym) AS fm, min_by(label, ym) AS fl, max_by(margin, ym) AS lm, max_by(label, ym) AS ll, count(*) AS n FROM monthly),
+ye AS (SELECT * FROM ({_ye_sql(year)}) WHERE prev_year IS NOT NULL)
+SELECT 0 AS rule_order, CASE WHEN margin_change_pts > 0.5 THEN 'success' WHEN margin_change_pts < -0.5 THEN 'warning' ELSE 'info' END AS type,
+  CASE WHEN margin_change_pts > 0.5 THEN 'Margin Up vs {year - 1}' WHEN margin_change_pts < -0.5 THEN 'Margin Down vs {year - 1}' ELSE 'Margin Flat vs {year - 1}' END AS title,
+  'Blended margin ' || CAST(blended_margin AS VARCHAR) || '% vs ' || CAST(margin_prev AS VARCHAR) || '% in {year - 1} (' ||
+    CASE WHEN margin_change_pts > 0.5 THEN '+' || CAST(margin_change_pts AS VARCHAR) || ' pts year-over-year'
+         WHEN margin_change_pts < -0.5 THEN CAST(margin_change_pts AS VARCHAR) || ' pts year-over-year' ELSE 'unchanged' END || ')' AS detail FROM ye
+UNION ALL
+SELECT 1, CASE WHEN lm - fm > 1 THEN 'success' WHEN lm - fm < -1 THEN 'warning' ELSE 'info' END,
+  CASE WHEN lm - fm > 1 THEN 'Margin Improved' WHEN lm - fm < -1 THEN 'Margin Declined' ELSE 'Margin Stable' END,
+  CASE WHEN abs(lm - fm) > 1 THEN printf('%.1f pts from %s (%.1f%%) to %s (%.1f%%)', abs(lm - fm), fl, fm, ll, lm)
+       ELSE printf('Less than 1 pt change from %s to %s', fl, ll) END FROM fl WHERE n >= 2
+UNION ALL
+SELECT 2, CASE WHEN full_price_pct < 30 THEN 'warning' ELSE 'info' END,
+  CASE WHEN full_price_pct < 30 THEN 'Discount Dependency' ELSE 'Discount Dependency Stable' END,
+  printf('%.1f%% of revenue from discounted sales', discounted_pct) FROM mix
+UNION ALL
+SELECT 3, CASE health WHEN 'healthy' THEN 'success' WHEN 'concern' THEN 'warning' ELSE 'info' END,
+  'Sales Mix ' || CASE health WHEN 'healthy' THEN 'Healthy Mix' WHEN 'watch' THEN 'Monitor Closely' ELSE 'Action Needed' END,
+  printf('%.1f%% full price, %.1f%% discounted', full_price_pct, discounted_pct) FROM mix
+""")
+
+
 ENTRIES = {
     "S1_monthly_groups": (lambda s, sf: S.monthly_groups(REG(s, sf)), S1_SQL),
     "F8_sales_mix": (lambda s, sf: S.sales_mix(REG(s, sf)), F8_SQL),
     "F9_excluded_breakdown": (lambda s, sf: S.excluded_breakdown(load_sales(s, sf)), F9_SQL),
     "F10_pnl": (lambda s, sf: S.pnl(REG(s, sf)), F10_SQL),
     "F11_ebitda_proxy": (lambda s, sf: S.ebitda_proxy(REG(s, sf)), F11_SQL),
+    "F11_ebitda_with_opex": (lambda s, sf: S.ebitda_proxy(REG(s, sf), OPEX), F11_OPEX_SQL),
     "S2_exec_kpis": (lambda s, sf: S.exec_kpis(load_sales(s, sf), REG(s, sf)), S2_SQL),
     "S3_best_worst_month": (lambda s, sf: S.best_worst_month(S.monthly_groups(REG(s, sf))), S3_SQL),
     "S4_top_categories": (lambda s, sf: S.top_categories(REG(s, sf), 8), S4_SQL),
@@ -304,5 +343,5 @@ ENTRIES = {
     "S10_store_performance": (lambda s, sf: S.store_performance(REG(s, sf)), S10_SQL),
     "S12_S13_company_growth": (lambda s, sf: S.company_sssg(REG(s, sf)), S12_SQL),
     "S14_year_end": (lambda s, sf: S.year_end(REG(s, sf), YEAR_END), _ye_sql(YEAR_END)),
-    "S16_year_end_insights": (lambda s, sf: S.year_end_insights(REG(s, sf), YEAR_END), None),
+    "S16_year_end_insights": (lambda s, sf: S.year_end_insights(REG(s, sf), YEAR_END), _s16_sql(YEAR_END)),
 }

@@ -60,7 +60,7 @@ cand AS (SELECT g.*, EXISTS (SELECT 1 FROM bs WHERE bs.brand = g.brand AND bs.st
 SELECT brand, store, category, category_revenue_at_store,
   CASE WHEN present THEN 'Category not carried at this store' ELSE 'Brand not carried' END AS opportunity
 FROM cand JOIN dm USING (store, category)
-WHERE (NOT present AND category_revenue_at_store > 0) OR (present AND category_revenue_at_store > 1000)
+WHERE (NOT present AND category_revenue_at_store > 0) OR (present AND category_revenue_at_store > 0)
 """)
 R6_SQL = G(BR + STORES + """
 , g AS (SELECT brand, list_sort(list(DISTINCT store_clean)) AS stores_present FROM b WHERE store_clean IS NOT NULL GROUP BY 1)

@@ -60,7 +60,7 @@ FROM x
 COHORT = ACT + """
 , last AS (SELECT max(idx) AS last FROM act),
 sizes AS (SELECT first_idx, first_ym, count(*) AS cohort_size FROM act WHERE idx = first_idx
-          GROUP BY 1, 2 HAVING count(*) >= 5),
+          GROUP BY 1, 2),
 counts AS (SELECT first_idx, idx - first_idx AS month_offset, count(*) AS active FROM act GROUP BY 1, 2),
 grid AS (SELECT s.*, o.month_offset FROM sizes s, last,
          LATERAL (SELECT unnest(range(0, last.last - s.first_idx + 1)) AS month_offset) o),
@@ -129,6 +129,13 @@ SELECT CAST(count(*) AS BIGINT) AS at_risk_customers,
 FROM r WHERE round(rc, 2) < pavg * 0.5 AND n > 6
 """)
 
+J8_SQL = f"""
+SELECT k.*, l.new_customers AS latest_new_customers, l.returning_customers AS latest_returning_customers,
+  l.returning_pct AS latest_returning_pct, c.churn_rate AS latest_churn_rate, a.at_risk_customers, a.at_risk_monthly_revenue
+FROM ({J5_SQL}) k, (SELECT * FROM ({J1_SQL}) ORDER BY year DESC, month DESC LIMIT 1) l,
+  (SELECT * FROM ({J2_SQL}) ORDER BY year DESC, month DESC LIMIT 1) c, ({J7_SQL}) a
+"""
+
 ENTRIES = {
     "J1_new_vs_returning": (lambda s, sf: J.new_vs_returning(REG(s, sf)), J1_SQL),
     "J2_churn_3m": (lambda s, sf: J.churn_3m(REG(s, sf)), J2_SQL),
@@ -137,5 +144,5 @@ ENTRIES = {
     "J5_customer_ltv": (lambda s, sf: J.ltv_kpis(REG(s, sf)), J5_SQL),
     "J6_ltv_by_tenure": (lambda s, sf: J.ltv_by_tenure(REG(s, sf)), _j6_sql()),
     "J7_revenue_at_risk": (lambda s, sf: J.revenue_at_risk(REG(s, sf)), J7_SQL),
-    "J8_retention_kpis": (lambda s, sf: J.retention_kpis(REG(s, sf)), None),
+    "J8_retention_kpis": (lambda s, sf: J.retention_kpis(REG(s, sf)), J8_SQL),
 }

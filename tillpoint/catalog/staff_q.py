@@ -22,7 +22,7 @@ STAFF = f"""
     avg(CASE WHEN regexp_matches(upper(coalesce(order_type, '')), '{fixed.F2F_PATTERN}') THEN 1.0 ELSE 0.0 END) * 100 AS f
   FROM sales WHERE sold_by IS NOT NULL GROUP BY 1
 ), st AS (SELECT staff.*, coalesce(f2f.f, 0.0) AS face_to_face_pct FROM staff LEFT JOIN f2f USING (budtender)),
-el AS (SELECT * FROM st WHERE num_transactions >= {fixed.BT_MIN_TRANSACTIONS}),
+el AS (SELECT * FROM st),
 mm AS (SELECT min(avg_cart_value) AS cmin, max(avg_cart_value) AS cmax, min(avg_units_per_cart) AS umin,
        max(avg_units_per_cart) AS umax, max(loyalty_enrollments) AS lmax, count(*) AS n FROM el),
 scored AS (
@@ -32,7 +32,7 @@ scored AS (
       + (100 - pct_sales_discounted) / 100 * {fixed.BT_WEIGHT_DISCOUNT}
       + CASE WHEN lmax > 0 THEN loyalty_enrollments / lmax * {fixed.BT_WEIGHT_LOYALTY} ELSE 0.0 END
       + face_to_face_pct / 100 * {fixed.BT_WEIGHT_F2F}, 0) ELSE 0.0 END AS sales_score
-  FROM st, mm WHERE st.num_transactions >= {fixed.BT_MIN_TRANSACTIONS} OR mm.n = 0
+  FROM st, mm
 ), tiered AS (
   SELECT * EXCLUDE (face_to_face_pct), {R('face_to_face_pct', 4)} AS face_to_face_pct,
     CASE WHEN sales_score >= {fixed.BT_TIER_TOP} THEN 'Top Performer' WHEN sales_score >= {fixed.BT_TIER_SOLID} THEN 'Solid'

@@ -85,9 +85,23 @@ FROM rows
 """)
 
 
+O1_SQL = oracle(f"""
+, x AS (
+  SELECT *, CASE WHEN ym = 200106 THEN 'current' ELSE 'prior' END AS side FROM regular WHERE ym IN (200105, 200106)
+), t AS (SELECT side, CAST(round(sum(round(actual_revenue * 100))) AS BIGINT) AS tc FROM x GROUP BY side),
+g AS (
+  SELECT side, category_clean AS category, CAST(sum(round(actual_revenue * 100)) AS BIGINT) AS rc, CAST(sum(round(cost * 100)) AS BIGINT) AS cc,
+    CAST(sum(quantity) AS BIGINT) AS quantity, CAST(sum(round(discounts * 100)) AS BIGINT) AS dc
+  FROM x WHERE category_clean IS NOT NULL GROUP BY 1, 2
+)
+SELECT side, category, rc / 100 AS revenue, cc / 100 AS cost, quantity, dc / 100 AS discounts, (rc + dc) / 100 AS pre_discount_revenue,
+  CASE WHEN tc <> 0 THEN rc / tc * 100 ELSE 0.0 END AS share, {SD('rc - cc', 'rc')} * 100 AS margin,
+  {SD('rc / 100', 'quantity')} AS revenue_per_unit, {SD('cc / 100', 'quantity')} AS cost_per_unit, {SD('dc', 'rc + dc')} * 100 AS discount_rate
+FROM g JOIN t USING (side)
+""")
+
 ENTRIES = {
-    "O1_category_stats": (lambda s, sf: O.category_stats(REG(s, sf), PERIOD).select("side", "category", "revenue",
-                                                                                       "cost", "quantity"), None),
+    "O1_category_stats": (lambda s, sf: O.category_stats(REG(s, sf), PERIOD), O1_SQL),
     "O3_waterfall_effects": (lambda s, sf: O.waterfall_effects(REG(s, sf), PERIOD), o3_sql(False)),
     "O4_waterfall_detail": (lambda s, sf: O.waterfall_detail_view(REG(s, sf), PERIOD), o4_sql(False)),
     "O5_waterfall_default_prior": (lambda s, sf: O.waterfall_effects(REG(s, sf), None), o3_sql(True)),

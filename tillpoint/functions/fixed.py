@@ -146,6 +146,8 @@ BT_TIER_TOP = 70
 BT_TIER_SOLID = 50
 BT_TIER_DEVELOPING = 30
 BT_MIN_TRANSACTIONS = 5
+COHORT_MIN_SIZE = 5
+GAP_MIN_DEMAND = 1000.0
 
 # Monthly operating expenses for the EBITDA proxy (zeros = not configured).
 MONTHLY_OPEX = {"labor": 0, "rent": 0, "utilities": 0, "other_opex": 0, "depreciation": 0}

@@ -96,6 +96,6 @@ def category_pairs(regular: DataFrame, min_baskets: int = 1) -> DataFrame:
 
 
 def receipt_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """K6: deterministic sample of whole receipts (hash of receipt id); off unless asked for."""
-    buckets = 1_000_000
-    return df.where(F.pmod(F.xxhash64(F.col("receipt_id"), F.lit(seed)), F.lit(buckets)) < int(fraction * buckets))
+    """K6: deterministic sample of whole receipts (md5 of receipt id and seed); off unless asked for."""
+    digest = F.md5(F.concat(F.coalesce(F.col("receipt_id"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < int(fraction * (1 << 32)))

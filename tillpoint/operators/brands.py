@@ -67,9 +67,10 @@ def distribution_scorecard(regular: DataFrame) -> DataFrame:
                     .otherwise(F.lit(0.0)).alias("brand_share_pct"))
 
 
-def store_gaps(regular: DataFrame) -> DataFrame:
+def store_gaps(regular: DataFrame, min_demand: float = 0.0) -> DataFrame:
     """(a) brand absent from a store whose demand in a brand category is > 0;
-    (b) brand present at the store but not in that category, demand > 1000."""
+    (b) brand present at the store but not in that category, demand > ``min_demand`` (fixed.GAP_MIN_DEMAND
+    for the usual report)."""
     stores = _all_stores(regular)
     b = _b(regular).where(F.col("category_clean").isNotNull())
     bc = b.select("brand", F.col("category_clean").alias("category")).distinct()
@@ -85,7 +86,7 @@ def store_gaps(regular: DataFrame) -> DataFrame:
     x = cand.join(demand, ["store", "category"])
     present = F.coalesce(F.col("_present"), F.lit(False))
     x = x.where((~present & (F.col("category_revenue_at_store") > 0)) |
-                (present & (F.col("category_revenue_at_store") > 1000)))
+                (present & (F.col("category_revenue_at_store") > min_demand)))
     return x.select("brand", "store", "category", "category_revenue_at_store",
                     F.when(present, F.lit("Category not carried at this store")).otherwise(F.lit("Brand not carried"))
                     .alias("opportunity"))

@@ -78,8 +78,8 @@ def churn_3m(regular: DataFrame) -> DataFrame:
                     r(rate, 1).alias("churn_rate"), r(100 - rate, 1).alias("retention_rate"))
 
 
-def cohort_retention(regular: DataFrame, min_size: int = 5) -> DataFrame:
-    """Cohorts (first month) of at least ``min_size``; active count and % at every offset.
+def cohort_retention(regular: DataFrame, min_size: int = 1) -> DataFrame:
+    """Cohorts (first month) of at least ``min_size`` (fixed.COHORT_MIN_SIZE for the usual report); active count and % at every offset.
 
     The dense grid is generated per cohort with ``sequence(0, last - idx)``
     (no cross join); counts come from one aggregation of the activity table.
@@ -97,7 +97,7 @@ def cohort_retention(regular: DataFrame, min_size: int = 5) -> DataFrame:
                     r(safe_div(F.col("active"), F.col("cohort_size")) * 100, 1).alias("retention_pct"))
 
 
-def cohort_summary(regular: DataFrame, min_size: int = 5) -> DataFrame:
+def cohort_summary(regular: DataFrame, min_size: int = 1) -> DataFrame:
     """Retention % at months 1, 3, 6, 12 per cohort (null when not reached)."""
     c = cohort_retention(regular, min_size)
     aggs = [F.max(F.when(F.col("month_offset") == k, F.col("retention_pct"))).alias(f"m{k}") for k in (1, 3, 6, 12)]

@@ -37,8 +37,9 @@ def face_to_face_pct(sales: DataFrame) -> DataFrame:
 
 
 def sales_scores(staff: DataFrame, sales: DataFrame | None = None,
-                 min_transactions: int = fixed.BT_MIN_TRANSACTIONS) -> DataFrame:
-    """P2 + P3: 0-100 sales score from five weighted parts, and the tier.
+                 min_transactions: int = 0) -> DataFrame:
+    """P2 + P3: 0-100 sales score from five weighted parts, and the tier, of every seller with at least
+    ``min_transactions`` (fixed.BT_MIN_TRANSACTIONS for the usual report).
 
     Min/max of the eligible rows are scalar subqueries (one row each); if no
     row is eligible every row scores 0.
