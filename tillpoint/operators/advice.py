@@ -12,7 +12,7 @@ from tillpoint.functions import fixed
 from tillpoint.functions.expr import cents, isum, msum, r, safe_div
 from tillpoint.operators.margin import brand_category_breakdown, brand_margin_summary, brand_summary_aggs, brand_summary_ratios
 from tillpoint.operators.velocity import velocity_by_category
-from tillpoint.plans.period import Period
+from tillpoint.plans.period import Period, in_periods, period_calendar
 
 
 def _sold(regular: DataFrame) -> DataFrame:
@@ -61,6 +61,29 @@ def comparison(regular: DataFrame, current: Period, other: Period | None) -> Dat
     return each.where("current is not null and previous is not null").withColumn("change", r(F.col("current") - F.col("previous"), 2))
 
 
+def comparison_by_period(regular: DataFrame) -> DataFrame:
+    """R10 for every month, quarter and year against the one before it, for brands with lines in both: one job.
+
+    The facts are read once, into a row a brand and month; months join the calendar of periods.
+    """
+    lines = regular.where("brand_clean is not null")
+    full = F.when(~F.col("has_discount"), cents("actual_revenue"))
+    monthly = lines.groupBy(F.col("brand_clean").alias("brand"), "year", "month").agg(
+        F.sum(cents("actual_revenue")).alias("revenue"), F.sum("quantity").alias("units"), F.sum(cents("cost")).alias("cost"),
+        F.sum(cents("net_profit")).alias("profit"), F.sum(full).alias("full"))
+    monthly = monthly.withColumn("first_day", F.make_date("year", "month", F.lit(1)))
+    sums = in_periods(monthly, period_calendar(regular), "first_day").groupBy("grain", "period", "brand", "side").agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("revenue", "units", "cost", "profit", "full")))
+    money = lambda c: F.col(c).cast("double") / 100
+    values = {"Revenue": money("revenue"), "Units": F.col("units").cast("double"),
+              "Margin %": r(safe_div(money("revenue") - money("cost"), money("revenue")) * 100, 1),
+              "Full Price %": r(safe_div(money("full"), money("revenue")) * 100, 1), "Profit": money("profit")}
+    pairs = F.array(*(F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()))
+    each = sums.select("grain", "period", "brand", "side", F.inline(pairs)).groupBy("grain", "period", "brand", "metric").agg(
+        *(F.max(F.when(F.col("side") == s, F.col("value"))).alias(s) for s in ("current", "previous")))
+    return each.where("current is not null and previous is not null").withColumn("change", r(F.col("current") - F.col("previous"), 2))
+
+
 def _standing(summary: DataFrame, breakdown: DataFrame) -> DataFrame:
     """A brand's summary beside its place in its primary category."""
     primary = breakdown.where("is_primary").select("brand", F.col("category").alias("primary_category"), F.col("category_avg_margin").alias("cat_margin"), "rank")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.expr import cents, r, safe_div
-from tillpoint.plans.period import Period
+from tillpoint.plans.period import Period, in_periods, period_calendar
 
 EFFECTS = ["Mix Effect", "Price Effect", "Cost Effect", "Discount Effect"]
 
@@ -85,6 +85,38 @@ def waterfall_detail_view(regular: DataFrame, period: Period | None = None) -> D
                     r(F.col("cm"), 2).alias("current_margin"), r(F.col("contribution"), 2).alias("contribution_pts"))
 
 
+def effects_by_period(regular: DataFrame) -> DataFrame:
+    """O3 for every month, quarter and year against the one before it, where both have sales: one job.
+
+    The facts are read once, into a row a category and month; months join the calendar of periods.
+    """
+    monthly = regular.groupBy(F.col("category_clean").alias("category"), "year", "month").agg(
+        F.sum(cents("actual_revenue")).alias("rc"), F.sum(cents("cost")).alias("cc"), F.sum("quantity").alias("q"), F.sum(cents("discounts")).alias("dc"))
+    monthly = monthly.withColumn("first_day", F.make_date("year", "month", F.lit(1)))
+    sums = in_periods(monthly, period_calendar(regular), "first_day").groupBy("grain", "period", "category").agg(
+        *(F.sum(F.when(F.col("side") == s, F.col(c))).alias(f"{s[0]}_{c}") for s in ("current", "previous") for c in ("rc", "cc", "q", "dc")))
+    whole = sums.groupBy("grain", "period").agg(*(F.sum(f"{s}_{c}").alias(f"t{s}_{c}") for s in "cp" for c in ("rc", "cc", "dc")))
+    x = sums.where("category is not null").join(whole, ["grain", "period"])
+
+    def side(s: str) -> tuple[Column, ...]:
+        rc, cc, q, total = F.col(f"{s}_rc"), F.col(f"{s}_cc"), F.col(f"{s}_q"), F.col(f"t{s}_rc")
+        share = F.when(rc.isNotNull() & (total != 0), rc / total * 100 / 100).otherwise(F.lit(0.0))
+        return share, safe_div(rc - cc, rc) * 100, safe_div(rc / 100, q), safe_div(cc / 100, q)
+
+    (cs, cm, crpu, ccpu), (ps, pm, prpu, pcpu) = side("c"), side("p")
+    x = x.select("grain", "period", ((cs - ps) * pm).alias("mix"), F.when(crpu != 0, cs * (crpu - prpu) / crpu * cm).otherwise(F.lit(0.0)).alias("price"),
+                 F.when(crpu != 0, cs * (pcpu - ccpu) / crpu * 100).otherwise(F.lit(0.0)).alias("costfx"))
+    sums = x.groupBy("grain", "period").agg(*(F.sum(c).alias(c) for c in ("mix", "price", "costfx")))
+    margin = lambda s: safe_div(F.col(f"t{s}_rc") - F.col(f"t{s}_cc"), F.col(f"t{s}_rc")) * 100
+    rate = lambda s: safe_div(F.col(f"t{s}_dc"), F.col(f"t{s}_rc") + F.col(f"t{s}_dc")) * 100
+    y = whole.where("tp_rc is not null and tc_rc is not null").join(sums, ["grain", "period"], "left").fillna(0.0, ["mix", "price", "costfx"])
+    y = y.withColumn("disc", (rate("c") - rate("p")) * -1)
+    total = margin("c") - margin("p")
+    return y.select("grain", "period", r(margin("p"), 2).alias("prior_margin"), r(margin("c"), 2).alias("current_margin"), r(total, 2).alias("total_change_pts"),
+                    *(r(F.col(c), 2).alias(f"{n}_pts") for c, n in (("mix", "mix"), ("price", "price"), ("costfx", "cost"), ("disc", "discount"))),
+                    r(total - (F.col("mix") + F.col("price") + F.col("costfx") + F.col("disc")), 2).alias("residual_pts"))
+
+
 def waterfall_effects(regular: DataFrame, period: Period | None = None) -> DataFrame:
     """O2 + O3: blended margins and discount rates per side, the four effects and the residual."""
     cur, pri = _windows(regular, period)

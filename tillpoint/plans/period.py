@@ -125,14 +125,47 @@ def brand_filter(df: DataFrame, brand: str) -> DataFrame:
     return df.where(F.upper(F.col("brand_clean")) == F.lit(brand.upper()))
 
 
-def month_calendar(sales: DataFrame) -> DataFrame:
-    """C5 for every month at once: one row a month present, with its calendar predecessor.
+#: Months of each grain of the calendar.
+GRAINS = {"month": 1, "quarter": 3, "year": 12}
 
-    Columns: ym, year, month, start, end, prev_ym, prev_start, prev_end (one row a month, so a join with
-    it is small).
+
+def _day(month_no: Column) -> Column:
+    """First day of a month number (year * 12 + month - 1)."""
+    return F.make_date(F.floor(month_no / 12).cast("int"), (F.pmod(month_no, F.lit(12)) + 1).cast("int"), F.lit(1))
+
+
+def period_calendar(sales: DataFrame, grains: tuple[str, ...] = tuple(GRAINS)) -> DataFrame:
+    """C5 for every period at once: (grain, period, start, end, prev_start, prev_end) of each month, quarter and year
+    that has a sale, with the span of equal length before it."""
+    months = sales.select((F.col("year") * 12 + F.col("month") - 1).alias("m")).distinct()
+    sizes = F.array(*(F.struct(F.lit(g).alias("grain"), F.lit(GRAINS[g]).alias("n")) for g in grains))
+    spans = months.select("m", F.inline(sizes)).select("grain", "n", (F.col("m") - F.pmod("m", F.col("n"))).alias("first")).distinct()
+    year, first = F.floor(F.col("first") / 12).cast("string"), F.pmod("first", F.lit(12))
+    name = (F.when(F.col("grain") == "year", year).when(F.col("grain") == "quarter", F.concat(year, F.lit("-Q"), (F.floor(first / 3) + 1).cast("string")))
+            .otherwise(F.concat(year, F.lit("-"), F.lpad((first + 1).cast("string"), 2, "0"))))
+    start, after, before = _day(F.col("first")), _day(F.col("first") + F.col("n")), _day(F.col("first") - F.col("n"))
+    return spans.select("grain", name.alias("period"), start.alias("start"), F.date_sub(after, 1).alias("end"),
+                        before.alias("prev_start"), F.date_sub(start, 1).alias("prev_end"))
+
+
+def spans_of_days(days: DataFrame, length: int, anchor: dt.date, grain: str) -> DataFrame:
+    """The same rows for spans of `length` days counted from `anchor`, each that holds a `sale_date` of `days`."""
+    start = F.date_add(F.lit(anchor), (F.floor(F.datediff("sale_date", F.lit(anchor)) / length) * length).cast("int"))
+    return days.select(start.alias("start")).distinct().select(
+        F.lit(grain).alias("grain"), F.col("start").cast("string").alias("period"), "start", F.date_add("start", length - 1).alias("end"),
+        F.date_sub("start", length).alias("prev_start"), F.date_sub("start", 1).alias("prev_end"))
+
+
+def in_periods(facts: DataFrame, calendar: DataFrame, day: str = "sale_date") -> DataFrame:
+    """Interval join: each row of `facts` once for every period of `calendar` that it falls in (side 'current') or whose
+    predecessor it falls in ('previous'), as (grain, period, side, *facts).
+
+    A period is cut into the months it touches, so the join is an equality on the month (a shuffle or a size-checked broadcast,
+    never a nested loop) with the bounds as the rest of the condition. A month-grain table joins by its months' first days.
     """
-    start = F.make_date("year", "month", F.lit(1))
-    before = F.add_months(start, -1)
-    return sales.select("year", "month").distinct().select(
-        (F.col("year") * 100 + F.col("month")).alias("ym"), "year", "month", start.alias("start"), F.last_day(start).alias("end"),
-        (F.year(before) * 100 + F.month(before)).alias("prev_ym"), before.alias("prev_start"), F.last_day(before).alias("prev_end"))
+    sides = F.array(F.struct(F.lit("current").alias("side"), F.col("start").alias("a"), F.col("end").alias("b")),
+                    F.struct(F.lit("previous").alias("side"), F.col("prev_start").alias("a"), F.col("prev_end").alias("b")))
+    spans = calendar.select("grain", "period", F.inline(sides))
+    cut = spans.select("grain", "period", "side", "a", "b", F.explode(F.sequence(F.trunc("a", "MM"), F.trunc("b", "MM"), F.expr("interval 1 month"))).alias("_month"))
+    inside = (F.trunc(facts[day], "MM") == cut["_month"]) & facts[day].between(cut["a"], cut["b"])
+    return facts.join(cut, inside).select("grain", "period", "side", *(facts[c] for c in facts.columns))
