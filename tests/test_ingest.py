@@ -2,6 +2,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillpoint.functions import fixed
@@ -37,7 +38,7 @@ def test_csv_and_stream(spark):
     _write(d, "unrelated.csv", [_row("r9", "X", "01/05/2025 03:04:05 PM", "1.00")])
     raw = read_sales_csv(spark, d)
     assert raw.count() == 4  # unrelated.csv excluded by keyword
-    q = {r.file_name: (r.rows_read, r.dropped_dates) for r in load_quality(raw).collect()}
+    q = {r.file_name: (r.rows_read, r.refused_date) for r in load_quality(raw).collect()}
     assert q["margin report 2025-01-01 2025-01-31.csv"] == (2, 1)
     table = tempfile.mkdtemp(prefix="run-table-", dir="/tmp")
     ck = tempfile.mkdtemp(prefix="run-ck-", dir="/tmp")
@@ -61,7 +62,7 @@ def test_columns_are_bound_by_name(spark):
     raw = read_sales_csv(spark, d)
     r, = raw.collect()
     assert (r.receipt_id, r.product, r.category, r.brand, r.quantity, r.actual_revenue) == ("r1", "Gummy", "Pre-Rolls", None, 2, 10.0)
-    assert r._corrupt_record is None
+    assert r.refused is None
     assert [x.file_name for x in skipped_files(spark, d, raw).collect()] == ["margin report broken.csv.gz"]
 
 
@@ -79,17 +80,90 @@ def test_later_corrected_and_late_files(spark):
 
 
 def test_columns_past_the_128th(spark, tmp_path):
-    """A wanted column far to the right is read; where the width is fixed (the stream), its rows are reported."""
-    from tillpoint.sources.pos_csv import as_cells, cell_schema, name_cells, read_csv_files
+    """A wanted column far to the right is read, and wider rows than the header are refused; there is no most."""
+    from tillpoint.sources.pos_csv import read_csv_files
 
     names = ["Alpha", "Beta", "Gamma"]
-    pad = [f"p{i}" for i in range(200)]
+    pad = [f"p{i}" for i in range(3000)]
     (tmp_path / "sales wide 2025-01-01 2025-01-31.csv").write_text(
-        "\n".join([",".join(["Alpha", "Beta", *pad, "Gamma"]), ",".join(["1", "2", *[""] * 200, "3"])]) + "\n")
+        "\n".join([",".join(["Alpha", "Beta", *pad, "Gamma"]), ",".join(["1", "2", *[""] * 3000, "3"]), ",".join(["1", "2", *[""] * 3000, "3", "4"])]) + "\n")
     (tmp_path / "sales slim 2025-01-01 2025-01-31.csv").write_text("Gamma,Beta,Alpha\n6,5,4\n")
-    got = sorted(tuple(r) for r in read_csv_files(spark, str(tmp_path), names).select(*names, "_corrupt_record").collect())
-    assert got == [("1", "2", "3", None), ("4", "5", "6", None)]
-    raw = spark.read.schema(cell_schema()).csv(str(tmp_path))
-    wanted = ["Alpha", "Beta", "p0", "Gamma"]
-    fixed_width = name_cells(as_cells(raw), wanted).where("file_name like '%wide%'").collect()
-    assert len(fixed_width) == 1 and fixed_width[0].Gamma is None and fixed_width[0]._corrupt_record is not None
+    got = sorted((tuple(r) for r in read_csv_files(spark, str(tmp_path), names).select(*names, "refused").collect()), key=repr)
+    assert got == [("1", "2", "3", "width"), ("1", "2", "3", None), ("4", "5", "6", None)]
+
+
+def test_cells(spark, tmp_path):
+    """Quoted commas, doubled quotes, empty cells at either end, blanks, line ends, a byte order mark, unpaired quotes."""
+    from tillpoint.sources.pos_csv import read_csv_files
+
+    names = ["Alpha", "Beta", "Gamma"]
+    lines = ['\ufeffAlpha,Beta,Gamma', 'a,"b, ""c""",d', ',,', '" x ",,', '', '   ', '"", "",""', 'short', '"open,b,c', 'a"b,c,d', f'"{"long " * 20000}",b,c']
+    (tmp_path / "x.csv").write_bytes("\r\n".join(lines).encode())
+    (tmp_path / "headless.csv").write_text("1,2,3\n")
+    got = read_csv_files(spark, str(tmp_path), names).collect()
+    rows = {r.line[:20]: (r.Alpha, r.Beta, r.Gamma, r.refused) for r in got}
+    assert rows['a,"b, ""c""",d'] == ("a", 'b, "c"', "d", None) and rows[",,"] == (None, None, None, None)
+    assert rows['" x ",,'] == (" x ", None, None, None) and rows["short"] == ("short", None, None, None)
+    assert rows['"open,b,c'][3] == rows['a"b,c,d'][3] == "quotes" and rows["1,2,3"][3] == "header"
+    assert [r.Alpha for r in got if r.refused is None and r.Alpha and len(r.Alpha) > 99] == ["long " * 20000]
+    assert len(got) == 9
+
+
+def _broken_inbox():
+    d = tempfile.mkdtemp(prefix="run-inbox-", dir="/tmp")
+    good = [_row(f"r{i}", "Gummy", f"01/0{i}/2025 03:04:05 PM", f"{i}.00") for i in range(1, 6)]
+    _write(d, "margin report 2025-01-01 2025-01-31.csv", [*good, _row("x1", "Cart", "bad date", "5.00"), good[0] + ',"more"', '"' + good[1]])
+    _write(d, "margin report 2025-02-01 2025-02-28.csv", [_row("r1", "Gummy", "01/01/2025 03:04:05 PM", "12.00"), _row("r9", "Cart", "02/01/2025 10:00:00 AM", "7.00")])
+    return d
+
+
+WANT = {("r1", 12.0), ("r2", 2.0), ("r3", 3.0), ("r4", 4.0), ("r5", 5.0), ("r9", 7.0)}
+
+
+def test_refused_lines_reconcile(spark):
+    from tillpoint.sources.pos_csv import refused_lines
+
+    parsed = read_sales_csv(spark, _broken_inbox())
+    q = {r.file_name[14:24]: r for r in load_quality(parsed).collect()}
+    jan = q["2025-01-01"]
+    assert (jan.rows_read, jan.rows_kept, jan.rows_refused, jan.refused_date, jan.refused_width, jan.refused_quotes) == (8, 5, 3, 1, 1, 1)
+    assert all(r.rows_read == r.rows_kept + r.rows_refused for r in q.values())
+    assert sorted(r.reason for r in refused_lines(parsed).collect()) == ["date", "quotes", "width"]
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_batch_that_dies_counts_once(spark, monkeypatch, when):
+    """Ended before or after its log entry is written, a batch is in the table once, and its raw lines too."""
+    from tillpoint.streaming import ingest
+
+    d = _broken_inbox()
+    root, ck = (tempfile.mkdtemp(prefix="run-", dir="/tmp") for _ in range(2))
+    real, died = ingest._commit, []
+
+    def commit(spark, table, batch, entry):
+        if when == "after":
+            real(spark, table, batch, entry)
+        if len(died) < 2 and batch not in died:
+            died.append(batch)
+            raise RuntimeError("the driver is gone")
+        if when == "before":
+            real(spark, table, batch, entry)
+
+    monkeypatch.setattr(ingest, "_commit", commit)
+    for _ in range(2):
+        with pytest.raises(Exception):
+            ingest.incremental_ingest(spark, d, root, ck, files_per_batch=1)
+        rows = {(r.receipt_id, r.actual_revenue) for r in ingest.read_ingested(spark, root).collect()}
+        assert rows <= WANT | {("r1", 1.0)}  # whole batches only
+    out = ingest.incremental_ingest(spark, d, root, ck, files_per_batch=1)
+    assert {(r.receipt_id, r.actual_revenue) for r in out.collect()} == WANT and out.count() == 6
+    assert ingest.read_raw(spark, root).count() == 7 and ingest.read_raw(spark, root, "refused").count() == 3
+    assert len(died) == 2
+
+
+def test_unreadable_file_does_not_stop_the_stream(spark):
+    d = _broken_inbox()
+    with open(os.path.join(d, "margin report broken.csv.gz"), "wb") as f:
+        f.write(b"\x1f\x8bnot a gzip file")
+    root, ck = (tempfile.mkdtemp(prefix="run-", dir="/tmp") for _ in range(2))
+    assert {(r.receipt_id, r.actual_revenue) for r in incremental_ingest(spark, d, root, ck).collect()} == WANT

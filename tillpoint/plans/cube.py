@@ -65,20 +65,39 @@ def range_rollup(regular: DataFrame, start_ym: int, end_ym: int, exact: bool = T
         F.sum("revenue").alias("revenue"), F.hll_sketch_estimate(F.hll_union_agg("sk")).alias("customers_approx"))
 
 
-def sanitize(df: DataFrame) -> DataFrame:
-    """A10: NaN/Inf -> 0 on floating columns (column-wise, JVM side)."""
-    from pyspark.sql.types import DoubleType, FloatType
+def _clean(value, kind):
+    """A value without NaN and infinities, at any depth; null if nothing of its type can hold one."""
+    from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
+
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(0.0).cast(kind)).otherwise(value)
+    if isinstance(kind, ArrayType):
+        inner = _clean(F.lit(None), kind.elementType) is not None
+        return F.transform(value, lambda x: _clean(x, kind.elementType)) if inner else None
+    if isinstance(kind, MapType):
+        odd_key = isinstance(kind.keyType, (DoubleType, FloatType))
+        if odd_key:  # such a key names nothing
+            value = F.map_filter(value, lambda k, v: ~F.isnan(k) & (F.abs(k) != float("inf")))
+        inner = _clean(F.lit(None), kind.valueType) is not None
+        return F.transform_values(value, lambda k, v: _clean(v, kind.valueType)) if inner else value if odd_key else None
+    if isinstance(kind, StructType):
+        fields = [(f.name, _clean(value.getField(f.name), f.dataType)) for f in kind.fields]
+        if all(c is None for _, c in fields):
+            return None
+        made = F.struct(*((value.getField(n) if c is None else c).alias(n) for n, c in fields))
+        return F.when(value.isNotNull(), made)
+    return None
+
 
+def sanitize(df: DataFrame) -> DataFrame:
+    """A10: NaN and infinities -> 0 in all floating values, inside arrays, maps and structs too; map keys that are none go."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (DoubleType, FloatType)):
-            c = F.col(f.name)
-            cols.append(F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(0.0)).otherwise(c).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
+        c = _clean(F.col(f"`{f.name}`"), f.dataType)
+        cols.append(F.col(f"`{f.name}`") if c is None else c.alias(f.name))
     return df.select(*cols)
 
 
-def write_view(df: DataFrame, path: str, fmt: str = "json", partition_by=("period",)) -> None:
-    """Write a view partitioned by its period key (one job, no per-key loop)."""
-    sanitize(df).write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(path)
+def keyed(entries: str):
+    """A10: a map from an array of (key, value) structs, without those that have no key."""
+    return F.map_from_entries(F.filter(entries, lambda e: e["key"].isNotNull()))

@@ -1,28 +1,20 @@
-"""POS CSV sources (A1-A7): discovery, tolerant all-string reads, typing.
+"""POS CSV sources (A1-A7): discovery, tolerant all-string reads, typing, refused lines.
 
-Files are read as cells without schema inference; columns are bound by the names in
-each file's header row, never by position. The file name and its end date come
+Files are read as lines and cut into cells by one expression, however many there are, the same in batches and in streams;
+columns are bound by the names in each file's header row, never by position. The file name and its end date come
 from the ``_metadata`` column, so discovery, dedup ranking and "latest file
-only" are column expressions rather than driver-side file loops.
+only" are column expressions rather than driver-side file loops. Every line that is not used keeps its file, text and reason.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from tillpoint.functions import clean, fixed
 
-#: Columns read of a file, or as many as its header line has; in a stream, whose files are not known beforehand, no more.
-MAX_COLUMNS = 128
-
 FILE_DATES = r"(\d{4}-\d{2}-\d{2})\s+(\d{4}-\d{2}-\d{2})"
 
 
-def raw_schema(headers) -> StructType:
-    return StructType([StructField(h, StringType(), True) for h in headers])
-
-
 def _keyword_filter(col, keywords, exclude=None):
     name = F.lower(col)
     inc = F.lit(False)
@@ -34,67 +26,63 @@ def _keyword_filter(col, keywords, exclude=None):
     return inc
 
 
-def name_cells(cells: DataFrame, headers) -> DataFrame:
-    """Raw cells (`cells` array, file_name, file_mtime) -> one column a header, by the names in each file's own header row.
+#: A cell with the comma before it: quoted (a doubled quote stands for one), or without quotes.
+CELL = r',("[^"]*(?:""[^"]*)*"|[^,"]*)'
 
-    A header row is one with at least three of the wanted names (or all, if fewer); the first of a file counts. Columns
-    may stand in any order, unknown ones are left out, missing ones are null; a row with more cells than its
-    file's header keeps them as ``_corrupt_record``. The last cell is one more than is read: a row that fills it, and
-    every row of a file whose header does, is a ``_corrupt_record`` too. The header table has one row a file.
-    """
-    over = F.element_at("cells", -1).isNotNull()
-    wanted = F.array(*(F.lit(h) for h in headers))
-    trimmed = F.transform("cells", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
-    cells = cells.withColumn("_is_header", F.size(F.array_intersect(trimmed, wanted)) >= min(3, len(list(headers))))
-    places = F.struct(*(F.array_position(trimmed, F.lit(h)).cast("int").alias(f"h{i}") for i, h in enumerate(headers)),
-                      F.size(F.filter("cells", lambda c: c.isNotNull())).alias("width"), over.alias("over"))
-    head = cells.where("_is_header").groupBy(F.col("file_name").alias("_file")).agg(F.first(places).alias("_at"))
-    rows = cells.where(~F.col("_is_header")).join(head, F.col("file_name") == F.col("_file"), "left")
-    extra = F.exists(F.slice("cells", F.coalesce(F.col("_at.width"), F.lit(0)) + 1, F.size("cells")), lambda c: c.isNotNull())
-    extra = extra | over | F.coalesce(F.col("_at.over"), F.lit(False))
-    value = lambda i: F.when(F.col(f"_at.h{i}") > 0, F.get("cells", F.col(f"_at.h{i}") - 1))
-    return rows.select(*(value(i).alias(h) for i, h in enumerate(headers)), "file_name", "file_mtime",
-                       F.when(F.col("_file").isNull() | extra, F.array_join("cells", ",", "")).alias("_corrupt_record"))
 
+def file_lines(reader, inbox: str) -> DataFrame:
+    """A2 + A6: (line, file_name, file_mtime) of all *.csv and *.csv.gz files below `inbox`, from ``spark.read`` or ``spark.readStream``."""
+    lines = (reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").option("ignoreCorruptFiles", True).text(inbox))
+    return lines.select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.url_decode(F.col("_metadata.file_name")).alias("file_name"),
+                        F.col("_metadata.file_modification_time").alias("file_mtime"))
 
-def cell_schema(width: int = MAX_COLUMNS) -> StructType:
-    """`width` positional columns and one more, which shows rows that are wider."""
-    return raw_schema([f"_c{i}" for i in range(width + 1)])
 
+def _cell(raw: Column) -> Column:
+    """A cell's text: quotes taken off, null if nothing is left."""
+    bare = F.when(raw.startswith('"'), F.replace(raw.substr(F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+    return F.nullif(bare, F.lit(""))
 
-def as_cells(df: DataFrame) -> DataFrame:
-    """Positional columns -> (cells, file_name, file_mtime)."""
-    return df.select(F.array(*(F.col(c) for c in df.columns)).alias("cells"),
-                     F.url_decode(F.col("_metadata.file_name")).alias("file_name"), F.col("_metadata.file_modification_time").alias("file_mtime"))
 
+def name_lines(lines: DataFrame, headers) -> DataFrame:
+    """Lines (line, file_name, file_mtime) -> one column a header, by the names in each file's own header row, with line_no, line and ``refused``.
 
-def header_width(spark: SparkSession, inbox: str, headers: list[str]) -> int:
-    """Cells of the widest line that can be a header row, MAX_COLUMNS at least (commas inside quotes count, too)."""
-    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*")
-             .option("ignoreCorruptFiles", True).text(inbox))
-    named = sum((F.col("value").contains(h).cast("int") for h in headers), F.lit(0))
-    widest = lines.where(named >= min(3, len(headers))).agg(F.max(F.size(F.split("value", ",")))).first()[0]
-    return max(MAX_COLUMNS, widest or 0)
+    A header row is one with at least three of the wanted names (or all, if fewer); the first of a file counts. Columns
+    may stand in any order, unknown ones are left out, missing ones are null. Blank lines and header rows are no rows.
+    A row is refused ('quotes', 'header' or 'width') if its quotes do not pair, its file has no header row, or it has more
+    cells than the header. The header table has one row a file. ``line_no`` rises within a file.
+    """
+    headers = list(headers)
+    least = min(3, len(headers))
+    raw = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(CELL), F.lit(1))
+    lines = lines.where(F.trim("line") != "").withColumn("_no", F.monotonically_increasing_id()).withColumn("_raw", raw)
+    named = sum((F.contains("line", F.lit(h)).cast("int") for h in headers), F.lit(0)) >= least
+    trimmed = F.transform("_raw", lambda c: F.trim(_cell(c)))
+    # only lines that hold the names are looked at cell by cell
+    is_header = F.when(named, F.size(F.array_intersect(trimmed, F.array(*(F.lit(h) for h in headers)))) >= least).otherwise(F.lit(False))
+    lines = lines.withColumn("_is_header", is_header)
+    places = F.struct(*(F.array_position(trimmed, F.lit(h)).cast("int").alias(f"h{i}") for i, h in enumerate(headers)), F.size("_raw").alias("width"))
+    head = lines.where("_is_header").groupBy(F.col("file_name").alias("_file")).agg(F.min_by(places, "_no").alias("_at"))
+    rows = lines.where(~F.col("_is_header")).join(head, F.col("file_name") == F.col("_file"), "left")
+    refused = (F.when(F.length(F.array_join("_raw", ",")) != F.length("line"), "quotes").when(F.col("_file").isNull(), "header")
+               .when(F.size("_raw") > F.col("_at.width"), "width"))
+    value = lambda i: F.when(F.col(f"_at.h{i}") > 0, _cell(F.get("_raw", F.col(f"_at.h{i}") - 1)))
+    return rows.select(*(value(i).alias(h) for i, h in enumerate(headers)), "file_name", "file_mtime", F.col("_no").alias("line_no"), "line", refused.alias("refused"))
 
 
 def read_csv_files(spark: SparkSession, inbox: str, headers, keywords=None, exclude=None) -> DataFrame:
     """A2 + A6 + A7: recursive discovery of *.csv / *.csv.gz, keyword filter on the file name, columns bound by
     header name. Unreadable files are skipped here and listed by `skipped_files`."""
-    headers = list(headers)
-    width = header_width(spark, inbox, headers)
-    raw = (spark.read.option("header", False).option("maxColumns", max(20480, width + 1)).option("mode", "PERMISSIVE").option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.csv*").option("ignoreCorruptFiles", True).schema(cell_schema(width)).csv(inbox))
-    cells = as_cells(raw)
+    lines = file_lines(spark.read, inbox)
     if keywords:
-        cells = cells.where(_keyword_filter(F.col("file_name"), keywords, exclude))
-    return name_cells(cells, headers)
+        lines = lines.where(_keyword_filter(F.col("file_name"), keywords, exclude))
+    return name_lines(lines, headers)
 
 
 def skipped_files(spark: SparkSession, inbox: str, read: DataFrame) -> DataFrame:
     """Files of the inbox (file_name, length) of which no row was read: unreadable, empty or without a known header."""
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").load(inbox)
               .select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file_name"), "length"))
-    return listed.join(read.select("file_name").distinct(), "file_name", "left_anti")
+    return listed.join(read.where("refused is null or refused != 'header'").select("file_name").distinct(), "file_name", "left_anti")
 
 
 def file_end_date(file_name_col) -> F.Column:
@@ -110,23 +98,36 @@ def read_sales_csv(spark: SparkSession, inbox: str, keywords=None, exclude=None)
 
 
 def typed_sales(named: DataFrame) -> DataFrame:
-    """Named text columns -> internal names and types; row_seq is the line's place in its file."""
-    out = named.select(*[F.col(f"`{k}`").alias(v) for k, v in fixed.COLUMN_MAP.items()], "file_name", "_corrupt_record",
-                       F.monotonically_increasing_id().alias("row_seq"))
+    """Named text columns -> internal names and types; row_seq is the line's place in its file. A row without a readable
+    time is refused, too ('date')."""
+    out = named.select(*[F.col(f"`{k}`").alias(v) for k, v in fixed.COLUMN_MAP.items()], "file_name", "line_no", "line", "refused")
     return out.select(
         "receipt_id", "order_type", "sold_by", clean.parse_timestamp(F.col("completed_at")).alias("completed_at"),
-        F.col("completed_at").alias("_completed_at_text"), "customer_id", "customer_name", "store", "product",
+        "customer_id", "customer_name", "store", "product",
         "category", "brand", clean.coerce_quantity(F.col("quantity")).alias("quantity"),
         *[clean.parse_currency(F.col(c)).alias(c) for c in fixed.MONEY_COLS], "deals_used", "inline_discounts", "file_name",
-        file_end_date(F.col("file_name")).alias("file_end"), "row_seq", "_corrupt_record")
+        file_end_date(F.col("file_name")).alias("file_end"), F.col("line_no").alias("row_seq"), "line",
+        F.coalesce("refused", F.when(clean.parse_timestamp(F.col("completed_at")).isNull(), "date")).alias("refused"))
+
+
+def accepted(parsed: DataFrame) -> DataFrame:
+    """The rows of `typed_sales` that are used, ready for curation."""
+    return parsed.where("refused is null").drop("refused", "line")
+
+
+def refused_lines(parsed: DataFrame) -> DataFrame:
+    """(file_name, line_no, reason, line) of the rows that are not used."""
+    return parsed.where("refused is not null").select("file_name", F.col("row_seq").alias("line_no"), F.col("refused").alias("reason"), "line")
+
+
+REASONS = ["quotes", "header", "width", "date"]
 
 
-def load_quality(sales_raw: DataFrame) -> DataFrame:
-    """Per file rows read, unparseable dates (dropped later), corrupt rows."""
-    return sales_raw.groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("rows_read"),
-        F.count(F.when(F.col("completed_at").isNull(), 1)).alias("dropped_dates"),
-        F.count(F.when(F.col("_corrupt_record").isNotNull(), 1)).alias("corrupt_rows"))
+def load_quality(parsed: DataFrame) -> DataFrame:
+    """Rows read, kept and refused of each file, by reason; read = kept + refused."""
+    return parsed.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("rows_read"), F.count(F.when(F.col("refused").isNull(), 1)).alias("rows_kept"), F.count("refused").alias("rows_refused"),
+        *(F.count(F.when(F.col("refused") == x, 1)).alias(f"refused_{x}") for x in REASONS))
 
 
 STAFF_HEADERS = ["Name", "Store", "Average Cart Value (pre-tax)", "Total Units Sold", "Average Units Per Cart",
@@ -136,7 +137,7 @@ STAFF_HEADERS = ["Name", "Store", "Average Cart Value (pre-tax)", "Total Units S
 
 def _latest_only(df: DataFrame) -> DataFrame:
     """Keep rows of the newest file (by end date in the name, then modification time)."""
-    df = df.withColumn("_end", file_end_date(F.col("file_name")))
+    df = df.where("refused is null").withColumn("_end", file_end_date(F.col("file_name")))
     best = df.agg(F.max_by("file_name", F.struct(F.col("_end"), F.col("file_mtime")))).scalar()
     return df.where(F.col("file_name") == best).drop("_end")
 
