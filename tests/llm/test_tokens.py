@@ -38,6 +38,16 @@ def test_units_join_to_the_ids_of_the_text(path, texts):
         assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == ids_of(path, texts)
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_encoder_that_forgets(docs, path):
+    """Few remembered units, whole documents and short ones: the same ids as the library's, call after call."""
+    enc = UnitEncoder(path, keep=50)
+    texts = [r.text or "" for r in docs.collect()][:60] + ["", " ", "a  b", "\0", "one two", "one two", "x" * 500 + " y " + "x" * 500]
+    for i in (1, 7, 60):
+        got = [b for at in range(0, len(texts), i) for b in enc.encode(texts[at:at + i])]
+        assert [np.frombuffer(b, enc.dtype).tolist() for b in got] == ids_of(path, texts)
+
+
 def check_files(spark, frame, rows):
     got = token_files.read_token_digests(spark, token_files.write_token_files(frame, WORD, 1)).collect()
     assert len(got) == len(rows)

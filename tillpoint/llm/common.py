@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tillpoint.session import scratch_path
 
 #: Rows an Arrow batch may hold on its way to a Python worker; texts can be long.
-BATCH_ROWS = 512
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+#: The same for encoders, which cut and look up the more texts at once the better, and the characters they take at once.
+ENCODE_ROWS, ENCODE_CHARS = 2048, 6_000_000
 
 #: Words of a text: runs of anything but space, tab and the line and page breaks.
 BLANKS = " \t\n\x0b\f\r"
@@ -50,10 +52,9 @@ def drop(*tables: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch of this session's Python stages."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    """Bound the rows and bytes of an Arrow batch of this session's Python stages."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def stable_sample(df: DataFrame, key: Column, n: int, by: str | None = None, salt: int = 17) -> DataFrame:

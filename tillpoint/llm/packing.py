@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import save, small_batches, text_chunks
+from tillpoint.llm.common import ENCODE_CHARS, ENCODE_ROWS, save, small_batches, text_chunks
 from tillpoint.llm.units import encoder
 from tillpoint.plans.prefix import global_running
 
@@ -43,12 +43,12 @@ def token_pieces(docs: DataFrame, vocab: str, end_id: int, size: int, keep: tupl
 
     `nth` numbers the pieces of one length within one writing task; `keep` are bigint columns of the documents.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ENCODE_ROWS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(vocab), TaskContext.get().partitionId(), Counter()
         end = np.array([end_id], "<u4").tobytes()
-        for batch, texts in text_chunks(batches, "text", 2_000_000):
+        for batch, texts in text_chunks(batches, "text", ENCODE_CHARS):
             out, row = [[] for _ in range(6)], []
             for i, (doc_id, raw) in enumerate(zip(batch.column("doc_id").to_pylist(), enc.encode(texts))):
                 ids = np.frombuffer(raw, enc.dtype).astype("<u4").tobytes() + end
@@ -139,7 +139,8 @@ def assign_sequences(pieces: DataFrame, size: int) -> DataFrame:
     table = spark.sparkContext.broadcast(places(best_two_fit(histogram, size)))
     tasks = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("task", "length", F.coalesce(F.sum("n").over(tasks), F.lit(0)).alias("ranks_before"))
-    ranked = pieces.join(base, ["task", "length"]).withColumn("rank", F.col("ranks_before") + F.col("nth"))
+    # tasks x lengths grow with the table: shuffled, never broadcast
+    ranked = pieces.join(base.hint("merge"), ["task", "length"]).withColumn("rank", F.col("ranks_before") + F.col("nth"))
     columns = [c for c in pieces.columns if c not in ("task", "nth")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillpoint.llm.common import small_batches, stable_sample, text_chunks
+from tillpoint.llm.common import ENCODE_CHARS, ENCODE_ROWS, small_batches, stable_sample, text_chunks
 from tillpoint.llm.units import encoder
 from tillpoint.session import scratch_path
 
@@ -76,7 +76,7 @@ def _writer(vocab: str, end_id: int, dictionary: bytes, dict_hash: str, level: i
             names = ["shard", "block", "dict_hash", "width", "doc_ids", "starts", "counts", "offsets", "payload"]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
 
-        for batch, texts in text_chunks(batches, "text"):
+        for batch, texts in text_chunks(batches, "text", ENCODE_CHARS):
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), enc.encode(texts)):
                 n = len(raw) // enc.dtype.itemsize + 1
                 frame = made.compress(raw + end)
@@ -95,7 +95,7 @@ def _writer(vocab: str, end_id: int, dictionary: bytes, dict_hash: str, level: i
 def write_token_files(docs: DataFrame, vocab: str, end_id: int, path: str | None = None, level: int = 3) -> str:
     """Encode every whole text and write the format above; returns its folder."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, ENCODE_ROWS)
     path = path or scratch_path(spark, "token-files")
     base = docs.select("doc_id", "text")
     dictionary = train_dictionary(base, vocab)

@@ -12,6 +12,8 @@ import struct
 from functools import cached_property, lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters; longer units are encoded but not remembered.
 LONG_UNIT = 200
@@ -64,7 +66,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class UnitEncoder:
-    """Encodes texts; remembers units in two generations of at most about `keep` each, so memory is bounded.
+    """Encodes texts; remembers at most about `keep` units, and words in two generations of as many, so memory is bounded.
 
     A unit that is new is put together from its words, marks and line breaks where it is plain, so that only
     words not seen before reach the vocabulary's model; other units go through the whole tokenizer.
@@ -80,7 +82,9 @@ class UnitEncoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "HI"[self.dtype.itemsize // 2 - 1]
-        self.keep, self.now, self.before = keep, {}, {}
+        self.keep, self.now, self.before = keep, {}, {}  # words and marks that units are made of
+        # known units, the number of ids of each, and all of these ids
+        self.units, self.size, self.every = pa.array([], pa.large_string()), np.empty(0, np.int64), np.empty(0, self.dtype)
         # whether the model sees words as they are, or lower-cased without the space
         self.folds = None
         for folds in (False, True):
@@ -123,28 +127,82 @@ class UnitEncoder:
     def line_break(self) -> bytes:
         return self._whole(["\n"])[0]
 
+    def _ids_of(self, units: list[str]) -> list[bytes]:
+        """Ids of distinct units."""
+        out = [self._composed(u) if len(u) <= LONG_UNIT else None for u in units]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for at in range(0, len(new), 8192):
+            some = new[at:at + 8192]
+            for i, ids in zip(some, self._whole([units[i] for i in some])):
+                out[i] = ids
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids (`self.dtype`) of each text, without added special tokens."""
-        parts, seen = units_of(texts)
+        """Little-endian ids (`self.dtype`) of each text, without added special tokens.
+
+        Texts are cut, and their units told apart and looked up among those known, in Arrow; only new units are encoded, each
+        once. Units that no call has used since there were more than `keep` are forgotten.
+        """
+        if not texts:
+            return []
         if len(self.now) > self.keep:
             self.before, self.now = self.now, {}
-        now, before, new = self.now, self.before, []
-        for unit in seen.difference(now):
-            ids = before.get(unit)
-            if ids is None and len(unit) <= LONG_UNIT:
-                ids = self._composed(unit)
-            if ids is None:
-                new.append(unit)
-            else:
-                now[unit] = ids
-        for i in range(0, len(new), 8192):
-            now.update(zip(new[i:i + 8192], self._whole(new[i:i + 8192])))
-        out = [b"".join(map(now.__getitem__, p)) for p in parts]
-        for unit in new:
-            if len(unit) > LONG_UNIT:
-                del now[unit]
+        # large_string: the texts of a call may hold more than 2 GB
+        parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), " ", "\0 "), "\0")
+        out, odd = self._encode_cut(parts.flatten(), parts.offsets.to_numpy())
+        # blanks in runs or at the ends, or a \0 of the text's own: these texts are cut with more care
+        odd |= np.fromiter(("\0" in t for t in texts), bool, len(texts))
+        if odd.any():
+            at = np.flatnonzero(odd).tolist()
+            cut = [split_units(texts[i]) for i in at]
+            rows = np.concatenate([[0], np.cumsum([len(c) for c in cut])])
+            careful, _ = self._encode_cut(pa.array([u for c in cut for u in c], pa.large_string()), rows, blanks=True)
+            for i, ids in zip(at, careful):
+                out[i] = ids
         return out
 
+    def _encode_cut(self, cut: pa.Array, rows: np.ndarray, blanks: bool = False) -> tuple[list[bytes], np.ndarray]:
+        """(ids, whether it has a blank unit) of each text i, whose units are `cut` from rows[i] to rows[i + 1] (one at least).
+        Blank units have no ids unless `blanks`; they are never remembered."""
+        unique = cut.dictionary_encode()
+        codes, units = unique.indices.to_numpy(), unique.dictionary
+        at = pc.index_in(units, value_set=self.units).fill_null(-1).to_numpy().copy()
+        fresh = np.flatnonzero(at < 0)
+        new = units.take(pa.array(fresh)).to_pylist()
+        is_blank = np.fromiter((not u or u.isspace() for u in new), bool, len(new))
+        got = [b""] * len(new)
+        todo = np.flatnonzero(~is_blank | blanks).tolist()
+        for i, ids in zip(todo, self._ids_of([new[i] for i in todo])):
+            got[i] = ids
+        size = np.concatenate([self.size, np.fromiter(map(len, got), np.int64, len(got)) // self.dtype.itemsize])
+        every = np.concatenate([self.every, np.frombuffer(b"".join(got), self.dtype)])
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        at[fresh] = np.arange(len(self.units), len(size))
+        mine = at[codes]
+        ends = np.concatenate([[0], np.cumsum(size[mine])])
+        joined = every[np.repeat(first[mine] - ends[:-1], size[mine]) + np.arange(ends[-1])].tobytes()
+        edges = (ends[rows] * self.dtype.itemsize).tolist()
+        blank = np.zeros(len(units), bool)
+        blank[fresh] = is_blank
+        odd = np.add.reduceat(blank[codes], rows[:-1]) > 0
+        self._remember(units, at, fresh, np.fromiter((len(u) <= LONG_UNIT for u in new), bool, len(new)) & ~is_blank, size, every, first)
+        return [joined[a:b] for a, b in zip(edges, edges[1:])], odd
+
+    def _remember(self, units: pa.Array, at: np.ndarray, fresh: np.ndarray, short: np.ndarray, size: np.ndarray, every: np.ndarray, first: np.ndarray) -> None:
+        """Adds the new units that are short; above `keep`, only what this call used stays."""
+        known = len(self.units)
+        if known + int(short.sum()) <= self.keep:
+            keep = np.concatenate([np.arange(known), known + np.flatnonzero(short)])
+            self.units = pa.concat_arrays([self.units, units.take(pa.array(fresh[short]))])
+        else:
+            used = np.ones(len(units), bool)
+            used[fresh[~short]] = False
+            keep, self.units = at[used], units.filter(pa.array(used))
+        n = size[keep]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        self.every = every[np.repeat(first[keep] - ends[:-1], n) + np.arange(ends[-1])]
+        self.size = n
+
     def counts(self, units: list[str]) -> list[int]:
         """Number of ids of each unit."""
         return [len(e.ids) for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
