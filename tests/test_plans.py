@@ -114,3 +114,16 @@ def test_slugs_as_chosen_in_turn(spark):
     accented = spark.createDataFrame([("Café Noir", 2), ("cafe noir", 1)], "name string, revenue int")
     assert rows(brand_slugs(accented)) == [("Café Noir", "cafe-noir"), ("cafe noir", "cafe-noir-2")]
     assert brand_slugs(accented.limit(0)).count() == 0
+
+
+def test_median_by_selection(spark):
+    from statistics import median
+
+    from tillpoint.plans.prefix import median_of, value_at
+
+    rng = random.Random(6)
+    for values in ([5], [5, 5], [1, 2], [-3, 10**12, 7, 7], [rng.randrange(-10**9, 10**9) for _ in range(501)], [rng.randrange(3) for _ in range(400)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "v bigint")
+        assert median_of(df, "v") == median(values)
+        assert value_at(df, "v", len(values), min(values), max(values)) == max(values) and value_at(df, "v", 1, min(values), max(values)) == min(values)
+    assert median_of(spark.createDataFrame([(None,)], "v bigint"), "v") is None

@@ -36,16 +36,21 @@ def expand_deals(df: DataFrame, allocation: str = "even") -> DataFrame:
     )
 
 
+def _split_sum(x: str):
+    """Sum of split values, to 4 decimals: added up as whole millionths of a cent, so the order of lines does not matter."""
+    return r(F.sum(F.rint(F.col(x) * 1e8).cast("bigint")).cast("double") / 1e8, 4)
+
+
 def _deal_aggs(uses_name: str = "times_used") -> list:
     # split values are sums of fractions of cents: shown to 4 decimals
     return [
         F.countDistinct("receipt_id").alias(uses_name),
-        r(F.sum("quantity"), 4).alias("units"),
-        r(F.sum("revenue"), 4).alias("revenue"),
-        r(F.sum("discounts"), 4).alias("discounts"),
-        r(F.sum("cost"), 4).alias("cost"),
-        r(F.sum("profit"), 4).alias("profit"),
-        r(F.sum("pre_discount_revenue"), 4).alias("pre_discount_revenue"),
+        _split_sum("quantity").alias("units"),
+        _split_sum("revenue").alias("revenue"),
+        _split_sum("discounts").alias("discounts"),
+        _split_sum("cost").alias("cost"),
+        _split_sum("profit").alias("profit"),
+        _split_sum("pre_discount_revenue").alias("pre_discount_revenue"),
     ]
 
 
@@ -116,9 +121,9 @@ def promo_lift(regular: DataFrame) -> DataFrame:
 def promo_effectiveness(regular: DataFrame, top_n: int = 20) -> DataFrame:
     """Per brand x deal uses, margin, depth; top N per brand."""
     g = (expand_deals(regular).where(F.col("brand").isNotNull()).groupBy("brand", "deal_name").agg(
-        F.countDistinct("receipt_id").alias("uses"), r(F.sum("revenue"), 4).alias("revenue"),
-        r(F.sum("discounts"), 4).alias("discounts"), r(F.sum("quantity"), 4).alias("units"),
-        r(F.sum("cost"), 4).alias("cost")))
+        F.countDistinct("receipt_id").alias("uses"), _split_sum("revenue").alias("revenue"),
+        _split_sum("discounts").alias("discounts"), _split_sum("quantity").alias("units"),
+        _split_sum("cost").alias("cost")))
     g = g.select("*", r(safe_div(F.col("revenue") - F.col("cost"), F.col("revenue")) * 100, 1).alias("margin"),
                  discount_rate(F.col("discounts"), F.col("revenue")).alias("discount_depth"))
     w = Window.partitionBy("brand").orderBy(F.desc("uses"), "deal_name")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tillpoint.functions.expr import count_if, month_label, msum
+from tillpoint.plans.prefix import global_running
 
 
 def stores(sales: DataFrame) -> DataFrame:
@@ -23,9 +24,10 @@ def brands(regular: DataFrame, top_n: int | None = None) -> DataFrame:
     """Brands by regular revenue, descending (ties by name); optional top N."""
     g = regular.where(F.col("brand_clean").isNotNull()).groupBy(F.col("brand_clean").alias("brand")).agg(
         msum("actual_revenue").alias("revenue"))
-    w = Window.orderBy(F.desc("revenue"), "brand")
-    out = g.withColumn("position", F.row_number().over(w))
-    return out.where(F.col("position") <= top_n) if top_n else out
+    order = [F.desc("revenue"), F.col("brand")]
+    if not top_n:  # all brands are numbered in range partitions, not in one task
+        return global_running(g, order, index_col="position").withColumn("position", F.col("position").cast("int"))
+    return g.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") <= top_n)
 
 
 def periods_available(sales: DataFrame) -> DataFrame:

@@ -1,31 +1,38 @@
 """Retention.
 
-Everything derives from one customer-month activity table
-(customer_id, ym, idx, revenue, lines) where ``idx`` is the position of the
+Everything derives from one customer-month table, one aggregation of the facts, which callers may make once and hand to
+several reports. The activity table adds ``idx``: ``idx`` is the position of the
 month among months present in the data (months with no sales do not
 consume an index). No per-customer sets are ever collected: churn expands
 each activity row to the three following month indexes and anti-joins.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tillpoint.functions import fixed
 from tillpoint.functions.expr import cents, msum, r, safe_div
-from tillpoint.plans.prefix import exact_median
+from tillpoint.plans.curate import materialize
+from tillpoint.plans.prefix import median_of
 
 
 def _label(ym):
     return F.format_string("%d-%02d", F.expr(f"{ym} div 100"), F.col(ym) % 100)
 
 
-def activity(regular: DataFrame) -> DataFrame:
-    """(customer_id, ym, idx, rev_c, lines, first_idx, first_ym): one row per active customer-month."""
-    base = regular.where(F.col("customer_id").isNotNull())
-    cm = base.groupBy("customer_id", "ym").agg(F.sum(cents("actual_revenue")).alias("rev_c"),
-                                              F.count(F.lit(1)).alias("lines"))
+def customer_months(regular: DataFrame) -> DataFrame:
+    """(customer_id, ym, rev_c, lines, first_at, last_at): one row per active customer-month; the reports' only read of the facts."""
+    return regular.where(F.col("customer_id").isNotNull()).groupBy("customer_id", "ym").agg(
+        F.coalesce(F.sum(cents("actual_revenue")), F.lit(0)).alias("rev_c"), F.count(F.lit(1)).alias("lines"),
+        F.min("completed_at").alias("first_at"), F.max("completed_at").alias("last_at"))
+
+
+def activity(cm: DataFrame) -> DataFrame:
+    """(customer_id, ym, idx, rev_c, lines, first_idx, first_ym) of the customer-months."""
     months = cm.select("ym").distinct()
     # one row per month present: a bounded table (hundreds of rows), ranked in one task
     months = months.withColumn("idx", F.row_number().over(Window.orderBy("ym")) - 1)
@@ -34,9 +41,9 @@ def activity(regular: DataFrame) -> DataFrame:
     return x.withColumn("first_idx", F.min("idx").over(w)).withColumn("first_ym", F.min("ym").over(w))
 
 
-def new_vs_returning(regular: DataFrame) -> DataFrame:
+def new_vs_returning(regular: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """Per month total/new/returning customers and revenue."""
-    a = activity(regular)
+    a = activity(customer_months(regular) if months is None else months)
     new = F.col("ym") == F.col("first_ym")
     g = a.groupBy("ym").agg(
         F.count(F.lit(1)).alias("total_customers"), F.count(F.when(new, 1)).alias("new_customers"),
@@ -52,13 +59,13 @@ def new_vs_returning(regular: DataFrame) -> DataFrame:
         "total_revenue", "new_revenue", "returning_revenue")
 
 
-def churn_3m(regular: DataFrame) -> DataFrame:
+def churn_3m(regular: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """From the 4th present month, customers active in the prior 3 present months and absent now.
 
     Also emits ``reactivated``: active now, active before the 3-month window,
     but not inside it.
     """
-    a = activity(regular).select("customer_id", "ym", "idx", "first_idx")
+    a = activity(customer_months(regular) if months is None else months).select("customer_id", "ym", "idx", "first_idx")
     months = a.select("ym", "idx").distinct()
     prior = (a.select("customer_id", F.explode(F.sequence(F.col("idx") + 1, F.col("idx") + 3)).alias("t"))
              .distinct())
@@ -84,7 +91,7 @@ def cohort_retention(regular: DataFrame, min_size: int = 1) -> DataFrame:
     The dense grid is generated per cohort with ``sequence(0, last - idx)``
     (no cross join); counts come from one aggregation of the activity table.
     """
-    a = activity(regular)
+    a = activity(customer_months(regular))
     last = a.agg(F.max("idx")).scalar()
     sizes = (a.where(F.col("idx") == F.col("first_idx")).groupBy("first_idx", "first_ym")
              .agg(F.count(F.lit(1)).alias("cohort_size")).where(F.col("cohort_size") >= min_size))
@@ -104,12 +111,11 @@ def cohort_summary(regular: DataFrame, min_size: int = 1) -> DataFrame:
     return c.groupBy(F.col("cohort_label").alias("cohort"), F.col("cohort_size").alias("size")).agg(*aggs)
 
 
-def customer_ltv(regular: DataFrame) -> DataFrame:
+def customer_ltv(regular: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """J5 (per customer): revenue, first/last purchase, tenure in whole days, active months."""
-    base = regular.where(F.col("customer_id").isNotNull())
-    g = base.groupBy("customer_id").agg(
-        msum("actual_revenue").alias("total_revenue"), F.min("completed_at").alias("first_purchase"),
-        F.max("completed_at").alias("last_purchase"), F.countDistinct("ym").alias("transaction_months"))
+    g = (customer_months(regular) if months is None else months).groupBy("customer_id").agg(
+        (F.sum("rev_c").cast("double") / 100).alias("total_revenue"), F.min("first_at").alias("first_purchase"),
+        F.max("last_at").alias("last_purchase"), F.count(F.lit(1)).alias("transaction_months"))
     secs = F.unix_timestamp(F.col("last_purchase").cast("timestamp")) - F.unix_timestamp(
         F.col("first_purchase").cast("timestamp"))
     return g.select("customer_id", "total_revenue", "first_purchase", "last_purchase",
@@ -117,10 +123,15 @@ def customer_ltv(regular: DataFrame) -> DataFrame:
                     (F.col("total_revenue") / F.greatest(F.col("transaction_months"), F.lit(1))).alias("monthly_value"))
 
 
-def ltv_kpis(regular: DataFrame) -> DataFrame:
-    """J5 (summary): customers, mean and exact median LTV, mean tenure and monthly value."""
-    ltv = customer_ltv(regular)
-    med = exact_median(ltv, "total_revenue", "customer_id")
+def ltv_kpis(regular: DataFrame, months: DataFrame | None = None) -> DataFrame:
+    """J5 (summary): customers, mean and exact median LTV, mean tenure and monthly value.
+
+    The customers' values are written once; the median is found by refining a histogram of them, not by sorting.
+    """
+    ltv = customer_ltv(regular, months).select(cents("total_revenue").alias("_c"), "total_revenue", "tenure_days", "monthly_value")
+    ltv = materialize(regular.sparkSession, ltv, "ltv", None)
+    middle = median_of(ltv, "_c")
+    med = F.lit(None if middle is None else middle / 100).cast("double")
     g = ltv.agg(F.count(F.lit(1)).alias("total_unique_customers"), F.avg("total_revenue").alias("_avg"),
                 F.avg("tenure_days").alias("_t"), F.avg("monthly_value").alias("_mv"))
     return g.select("total_unique_customers", r(F.col("_avg"), 2).alias("avg_ltv"), r(med, 2).alias("median_ltv"),
@@ -145,14 +156,14 @@ def ltv_by_tenure(regular: DataFrame) -> DataFrame:
                     (F.col("_c").cast("double") / 100).alias("total_revenue"))
 
 
-def revenue_at_risk(regular: DataFrame) -> DataFrame:
+def revenue_at_risk(regular: DataFrame, customer_month: DataFrame | None = None) -> DataFrame:
     """Customers whose last-3-month spend is below half their prior average line value.
 
     Prior window = month indexes n-9..n-4 (or all but the last 3 when fewer
     than 9 months); requires more than 6 months. ``mode='reference'``
     compares a 3-month sum with a per-line mean, as the reference does.
     """
-    base = regular.where(F.col("customer_id").isNotNull()).select("customer_id", "ym", "actual_revenue")
+    base = customer_months(regular) if customer_month is None else customer_month
     months = base.select("ym").distinct()
     months = months.withColumn("idx", F.row_number().over(Window.orderBy("ym")) - 1)
     n = months.agg(F.count(F.lit(1))).scalar()
@@ -160,9 +171,8 @@ def revenue_at_risk(regular: DataFrame) -> DataFrame:
     recent = F.col("idx") >= n - 3
     prior = (F.col("idx") < n - 3) & (F.col("idx") >= F.when(n >= 9, n - 9).otherwise(F.lit(0)))
     g = x.groupBy("customer_id").agg(
-        F.sum(F.when(recent, cents("actual_revenue"))).alias("_rc"),
-        F.sum(F.when(prior, cents("actual_revenue"))).alias("_pc"),
-        F.count(F.when(prior, 1)).alias("_pn"))
+        F.sum(F.when(recent, F.col("rev_c"))).alias("_rc"), F.sum(F.when(prior, F.col("rev_c"))).alias("_pc"),
+        F.coalesce(F.sum(F.when(prior, F.col("lines"))), F.lit(0)).alias("_pn"))
     g = g.where(F.col("_rc").isNotNull() & (F.col("_pn") > 0))
     pavg = F.col("_pc") / 100 / F.col("_pn")
     risk = g.where((F.col("_rc") / 100 < pavg * 0.5) & (F.lit(n) > 6))
@@ -171,17 +181,16 @@ def revenue_at_risk(regular: DataFrame) -> DataFrame:
 
 
 def retention_kpis(regular: DataFrame) -> DataFrame:
-    """Headline retention KPIs (one row)."""
-    k = ltv_kpis(regular)
-    nv = new_vs_returning(regular)
-    latest = nv.orderBy(F.desc("year"), F.desc("month")).limit(1)
-    ch = churn_3m(regular).orderBy(F.desc("year"), F.desc("month")).limit(1)
-    risk = revenue_at_risk(regular)
-    return k.select(
-        "*",
-        latest.select("new_customers").scalar().alias("latest_new_customers"),
-        latest.select("returning_customers").scalar().alias("latest_returning_customers"),
-        latest.select("returning_pct").scalar().alias("latest_returning_pct"),
-        ch.select("churn_rate").scalar().alias("latest_churn_rate"),
-        risk.select("at_risk_customers").scalar().alias("at_risk_customers"),
-        risk.select("at_risk_monthly_revenue").scalar().alias("at_risk_monthly_revenue"))
+    """Headline retention KPIs (one row). The facts are read once, into the customer-months that all parts start from."""
+    months = materialize(regular.sparkSession, customer_months(regular), "customer-months", None)
+    last = [F.desc("year"), F.desc("month")]
+    parts = [
+        ltv_kpis(regular, months),
+        new_vs_returning(regular, months).orderBy(*last).limit(1).select(
+            F.col("new_customers").alias("latest_new_customers"), F.col("returning_customers").alias("latest_returning_customers"),
+            F.col("returning_pct").alias("latest_returning_pct")),
+        churn_3m(regular, months).orderBy(*last).limit(1).select(F.col("churn_rate").alias("latest_churn_rate")),
+        revenue_at_risk(regular, months)]
+    # one row each, or none where there is no such month
+    one = lambda df: df.select(F.lit(1).alias("_one"), "*")
+    return reduce(lambda a, b: a.join(one(b), "_one", "left"), parts[1:], one(parts[0])).drop("_one")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tillpoint.functions import fixed
 from tillpoint.functions.clean import extract_reward_name
 from tillpoint.functions.expr import cents, isum, msum, msum_if, r, safe_div
+from tillpoint.plans.prefix import global_running
 
 
 def staff_table(sales: DataFrame) -> DataFrame:
@@ -153,5 +154,5 @@ def markouts_by_employee(sales: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("product")).alias("_p3"))
     x = g.join(ps, "customer_name", "left").join(pr, "customer_name", "left")
     prods = F.concat(F.concat_ws(", ", F.col("_p3")), F.when(F.col("_np") > 3, F.lit("...")).otherwise(F.lit("")))
-    return x.select("customer_name", "redemptions", "units", "cost", "primary_store", prods.alias("products"),
-                    F.row_number().over(Window.orderBy(F.desc("cost"), "customer_name")).alias("rank"))
+    x = x.select("customer_name", "redemptions", "units", "cost", "primary_store", prods.alias("products"))
+    return global_running(x, [F.desc("cost"), F.col("customer_name")], index_col="rank").withColumn("rank", F.col("rank").cast("int"))

@@ -46,11 +46,36 @@ def global_running(df: DataFrame, order: list[Column], value: str | None = None,
     return out.drop(*drop)
 
 
-def exact_median(df: DataFrame, value: str, tie: str) -> Column:
-    """Exact median of ``value`` (mean of the two middle values for even n) as a scalar Column."""
-    idx = global_running(df.select(value, tie), [F.col(value), F.col(tie)])
-    n = df.agg(F.count(F.lit(1))).scalar()
-    lo = F.floor((n + 1) / 2)
-    hi = F.floor(n / 2) + 1
-    mid = idx.where((F.col("global_index") == lo) | (F.col("global_index") == hi))
-    return mid.agg(F.avg(value)).scalar()
+#: Buckets of one histogram of `value_at`.
+BUCKETS = 1024
+
+
+def value_at(df: DataFrame, value: str, rank: int, low: int, high: int) -> int:
+    """The `rank`-th smallest (from 1) of a bigint column whose values lie from `low` to `high`.
+
+    Each round counts BUCKETS equal stretches and goes on in the one that holds the rank: one aggregation a round, at most
+    BUCKETS rows on the driver, and as many rounds as the span has powers of BUCKETS (four for 10^12 values).
+    """
+    while low < high:
+        width = -(-(high - low + 1) // BUCKETS)
+        inside = df.where(F.col(value).between(low, high))
+        counts = inside.groupBy(F.floor((F.col(value) - low) / F.lit(width)).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy("b").collect()
+        for b, n in counts:
+            if rank <= n:
+                low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+                break
+            rank -= n
+    return low
+
+
+def median_of(df: DataFrame, value: str) -> float | None:
+    """Exact median of a bigint column (mean of the two middle values for an even number); None without values."""
+    n, low, high = df.agg(F.count(value), F.min(value), F.max(value)).first()
+    if not n:
+        return None
+    middle = value_at(df, value, (n + 1) // 2, low, high)
+    if n % 2:
+        return float(middle)
+    # the next value is the same one, if it occurs past the middle, or the least above it
+    upto, above = df.agg(F.count(F.when(F.col(value) <= middle, 1)), F.min(F.when(F.col(value) > middle, F.col(value)))).first()
+    return (middle + (middle if upto > n // 2 else above)) / 2
