@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from tillpoint.functions import fixed
 from tillpoint.functions.expr import (count_if, isum, month_key, month_label, msum, msum_if, pct_change, r,
                                       safe_div)
+from tillpoint.plans.curate import compact
 
 
 def _m(x) -> Column:
@@ -164,6 +165,7 @@ def insights(regular: DataFrame, top: int | None = None) -> DataFrame:
 
     Each rule is a filtered one-row (or per-store) frame; union + row_number.
     """
+    regular = compact(regular, "store_clean", "year", "month", "has_discount")
     k = regular.agg(msum("actual_revenue").alias("rev"), msum("net_profit").alias("profit"))
     k = k.select(r(safe_div(_m("profit"), _m("rev")) * 100, 1).alias("margin"))
     mix = sales_mix(regular)
@@ -279,19 +281,26 @@ def yoy_matrix(regular: DataFrame, n_years: int = 3) -> DataFrame:
                     r(_m("y1_margin") - _m("y2_margin"), 1).alias("margin_change_pts"))
 
 
-def store_performance(regular: DataFrame, history: DataFrame | None = None) -> DataFrame:
+def store_performance(regular: DataFrame, history: DataFrame | None = None, counts: bool = True) -> DataFrame:
     """Store ranking, share, margin status, top brand/category, same-store growth.
 
     ``regular`` is the period slice; ``history`` is the full regular table the
     prior-year months are read from (defaults to ``regular``). The prior
     months are the slice's months shifted one year back (a left-semi join to
-    a table of at most a few hundred months).
+    a table of at most a few hundred months). The facts are read once for all sums and once for the distinct
+    counts (not at all without ``counts``).
     """
-    history = regular if history is None else history
+    dims = ["store_clean", "brand_clean", "category_clean", "year", "month"]
+    lines, regular = regular, compact(regular, *dims)
+    history = regular if history is None else compact(history, *dims)
     g = regular.where(F.col("store_clean").isNotNull()).groupBy(F.col("store_clean").alias("name")).agg(
         msum("actual_revenue").alias("revenue"), msum("net_profit").alias("profit"), msum("cost").alias("cost"),
-        isum("quantity").alias("units"), F.countDistinct("receipt_id").alias("transactions"),
-        F.countDistinct("customer_id").alias("unique_customers"), msum("discounts").alias("discounts"))
+        isum("quantity").alias("units"), msum("discounts").alias("discounts"))
+    if counts:
+        g = g.join(lines.where(F.col("store_clean").isNotNull()).groupBy(F.col("store_clean").alias("name")).agg(
+            F.countDistinct("receipt_id").alias("transactions"), F.countDistinct("customer_id").alias("unique_customers")), "name")
+    else:
+        g = g.withColumns({c: F.lit(None).cast("bigint") for c in ("transactions", "unique_customers")})
     trev = regular.agg(msum("actual_revenue")).scalar()
     tprofit = regular.agg(msum("net_profit")).scalar()
     prior_keys = regular.select((F.col("year") - 1).alias("year"), "month").distinct()
@@ -323,7 +332,7 @@ def _top_by(regular: DataFrame, col: str, name: str) -> DataFrame:
 
 def company_sssg(regular: DataFrame, history: DataFrame | None = None) -> DataFrame:
     """S12 company line + S13 top/bottom performer."""
-    sp = store_performance(regular, history=history)
+    sp = store_performance(regular, history, counts=False)
     return sp.agg(
         msum("revenue").alias("revenue"), msum("prior_revenue").alias("prior_revenue"),
         F.max_by("name", F.struct(_m("revenue"), F.lit(0) - _m("rank"))).alias("top_performer"),
@@ -381,6 +390,7 @@ def year_end(regular_all: DataFrame, year: int) -> DataFrame:
 
 def year_end_insights(regular_all: DataFrame, year: int) -> DataFrame:
     """Margin drift, discount dependency, mix health, YoY margin insight."""
+    regular_all = compact(regular_all.where(F.col("year").isin(year, year - 1)), "store_clean", "brand_clean", "year", "month", "has_discount")
     cur = regular_all.where(F.col("year") == year)
     mon = monthly_groups(cur)
     fl = mon.agg(F.min_by(F.struct("margin", "label"), "ym").alias("f"), F.max_by(F.struct("margin", "label"), "ym")

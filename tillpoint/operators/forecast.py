@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tillpoint.functions.expr import msum, r, safe_div
+from tillpoint.plans.curate import compact
 
 
 def _abbr(m):
@@ -29,7 +30,7 @@ def _indexed(regular: DataFrame) -> DataFrame:
 
 def growth_trajectory(regular: DataFrame) -> DataFrame:
     """Last 3 vs previous 3 months (6+ months), else last 3 vs the first max(n-3, 1); +-2 % classes."""
-    m = _indexed(regular)
+    m = _indexed(compact(regular, "year", "month"))
     n = m.agg(F.count(F.lit(1))).scalar()
     cur = F.avg(F.when(F.col("k") <= 3, F.col("revenue")))
     prior = F.when(n >= 6, F.avg(F.when((F.col("k") > 3) & (F.col("k") <= 6), F.col("revenue")))) \
@@ -43,7 +44,7 @@ def growth_trajectory(regular: DataFrame) -> DataFrame:
 
 def seasonal_factors(regular: DataFrame) -> DataFrame:
     """Month revenue / mean month of the latest complete (12-month) year; all data if none; else 1.0."""
-    m = monthly_revenue(regular)
+    m = monthly_revenue(compact(regular, "year", "month"))
     yrs = m.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     base_year = yrs.where(F.col("n") == 12).agg(F.max("year")).scalar()
     base = m.where(base_year.isNull() | (F.col("year") == base_year))
@@ -58,6 +59,7 @@ def seasonal_factors(regular: DataFrame) -> DataFrame:
 
 def forecast_3m(regular: DataFrame) -> DataFrame:
     """Next 3 months = trailing-3 mean x factor (same month last year / that year's mean, else N3)."""
+    regular = compact(regular, "year", "month")
     m = _indexed(regular)
     n = m.agg(F.count(F.lit(1))).scalar()
     last = m.where(F.col("k") == 1)

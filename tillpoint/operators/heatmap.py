@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tillpoint.functions import fixed
 from tillpoint.functions.expr import day_name, msum, r, safe_div
+from tillpoint.plans.curate import compact
 
 
 def hour_label(h):
@@ -56,26 +57,26 @@ def store_traffic_grid(regular: DataFrame) -> DataFrame:
 
 def traffic_kpis(regular: DataFrame) -> DataFrame:
     """M5 + M6: busiest/quietest day, busiest hour, and the peak window description."""
-    p = _parts(regular)
-    d = p.groupBy("day").agg(F.sum(F.rint(F.col("actual_revenue") * 100).cast("long")).alias("c"))
-    h = p.groupBy("hour").agg(F.sum(F.rint(F.col("actual_revenue") * 100).cast("long")).alias("c"))
+    cells = compact(_parts(regular), "day", "hour")  # at most 7 x 24 rows
+    d = cells.groupBy("day").agg(F.sum(F.rint(F.col("actual_revenue") * 100).cast("long")).alias("c"))
+    h = cells.groupBy("hour").agg(F.sum(F.rint(F.col("actual_revenue") * 100).cast("long")).alias("c"))
     busiest_day = d.agg(F.max_by("day", F.struct(F.col("c"), -F.col("day")))).scalar()
     quietest_day = d.agg(F.min_by("day", F.struct(F.col("c"), -F.col("day")))).scalar()
     busiest_hour = h.agg(F.max_by("hour", F.struct(F.col("c"), -F.col("hour")))).scalar()
     return regular.sparkSession.range(1).select(
         day_name(busiest_day).alias("busiest_day"), busiest_hour.alias("busiest_hour"),
         hour_label(busiest_hour).alias("busiest_hour_label"), day_name(quietest_day).alias("quietest_day"),
-        peak_window(regular).select("description").scalar().alias("peak_description"))
+        peak_window(regular, cells).select("description").scalar().alias("peak_description"))
 
 
-def peak_window(regular: DataFrame) -> DataFrame:
+def peak_window(regular: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """M6: contiguous hours around the peak cell (same day) with revenue >= 50 % of the peak.
 
     Gaps-and-islands: keep cells at or above the threshold on the peak's day,
     island key = hour - row_number(); keep the peak's island.
     """
-    g = _parts(regular).groupBy("day", "hour").agg(F.sum(F.rint(F.col("actual_revenue") * 100).cast("long"))
-                                                   .alias("c"))
+    cells = compact(_parts(regular), "day", "hour") if cells is None else cells
+    g = cells.select("day", "hour", F.rint(F.col("actual_revenue") * 100).cast("long").alias("c"))
     peak = g.agg(F.max_by(F.struct("day", "hour", "c"), F.struct(F.col("c"), -F.col("day"), -F.col("hour")))
                  .alias("p"))
     pd_, ph, pc = (peak.select("p.day").scalar(), peak.select("p.hour").scalar(), peak.select("p.c").scalar())

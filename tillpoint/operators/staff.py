@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tillpoint.functions import fixed
 from tillpoint.functions.clean import extract_reward_name
 from tillpoint.functions.expr import cents, isum, msum, msum_if, r, safe_div
+from tillpoint.plans.curate import materialize
 from tillpoint.plans.prefix import global_running
 
 
@@ -50,6 +51,7 @@ def sales_scores(staff: DataFrame, sales: DataFrame | None = None,
     else:
         st = staff.withColumn("face_to_face_pct", F.lit(0.0))
     st = st.withColumn("face_to_face_pct", F.coalesce(F.col("face_to_face_pct"), F.lit(0.0)))
+    st = materialize(staff.sparkSession, st, "staff", None)  # a row a seller and store, looked at several times
     elig = st.where(F.col("num_transactions") >= min_transactions)
     n_elig = elig.agg(F.count(F.lit(1))).scalar()
     mm = elig.agg(F.min("avg_cart_value").alias("cmin"), F.max("avg_cart_value").alias("cmax"),

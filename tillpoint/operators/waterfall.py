@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillpoint.functions.expr import cents, r, safe_div
+from tillpoint.plans.curate import compact
 from tillpoint.plans.period import Period, in_periods, period_calendar
 
 EFFECTS = ["Mix Effect", "Price Effect", "Cost Effect", "Discount Effect"]
@@ -78,8 +79,15 @@ def waterfall_detail(regular: DataFrame, period: Period | None = None) -> DataFr
         (F.col("cs") * F.col("cm") - F.col("ps") * F.col("pm")).alias("contribution"))
 
 
+def _days(regular: DataFrame, period: Period | None) -> DataFrame:
+    """The facts a day and category, of the two periods alone where they are known: the waterfall's only read of them."""
+    if period is not None:
+        regular = regular.where(period.predicate() | period.previous().predicate())
+    return compact(regular, "sale_date", "year", "month", "store_clean", "category_clean")
+
+
 def waterfall_detail_view(regular: DataFrame, period: Period | None = None) -> DataFrame:
-    d = waterfall_detail(regular, period)
+    d = waterfall_detail(_days(regular, period), period)
     return d.select("category", r(F.col("ps") * 100, 2).alias("prior_share"), r(F.col("cs") * 100, 2)
                     .alias("current_share"), r(F.col("pm"), 2).alias("prior_margin"),
                     r(F.col("cm"), 2).alias("current_margin"), r(F.col("contribution"), 2).alias("contribution_pts"))
@@ -119,6 +127,7 @@ def effects_by_period(regular: DataFrame) -> DataFrame:
 
 def waterfall_effects(regular: DataFrame, period: Period | None = None) -> DataFrame:
     """O2 + O3: blended margins and discount rates per side, the four effects and the residual."""
+    regular = _days(regular, period)
     cur, pri = _windows(regular, period)
     tot = regular.where(cur | pri).agg(
         F.sum(F.when(cur, cents("actual_revenue"))).alias("cr"), F.sum(F.when(cur, cents("cost"))).alias("cc"),

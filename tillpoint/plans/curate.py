@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.functions import clean
+from tillpoint.functions.expr import msum
 from tillpoint.plans.dedup import dedup_latest_file
 from tillpoint.session import scratch_path
 
@@ -99,6 +100,18 @@ def load_customer_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testmodel.customer_attributes(spark, sf_dir)
 
 
+def compact(lines: DataFrame, *dims: str) -> DataFrame:
+    """Lines added up over all but `dims`, written once: a small table for reports that look at the same facts several times.
+
+    Money (exact to the cent) and quantity keep their names, so it stands in for the lines wherever only sums over `dims` are taken; receipts
+    and customers cannot be counted in it and are null.
+    """
+    money = ["actual_revenue", "net_profit", "cost", "discounts", "pre_discount_revenue"]
+    out = lines.groupBy(*dims).agg(*(msum(c).alias(c) for c in money), F.sum("quantity").alias("quantity"))
+    out = materialize(lines.sparkSession, out, "compact", None)
+    return out.select("*", *(F.lit(None).cast("string").alias(c) for c in ("receipt_id", "customer_id") if c not in dims))
+
+
 def regular(sales: DataFrame) -> DataFrame:
     """Regular sales only."""
     return sales.where(F.col("transaction_type") == "REGULAR")
