@@ -7,22 +7,28 @@ from pyspark.sql.window import Window
 
 from tillpoint.functions.clean import customer_segment
 from tillpoint.functions.expr import discount_rate, isum, msum, r, safe_div
+from tillpoint.plans.curate import materialize
 
 
 def customer_metrics(regular: DataFrame, attributes: DataFrame | None = None) -> DataFrame:
     """Per customer receipts, spend, units, primary store (mode), mean receipt value, segment.
 
-    Two aggregations keyed by customer (per-customer sums, per-(customer,
-    store) line counts for the mode) joined on the customer key; null
-    customers are dropped as in a pandas group-by.
+    The lines are hash-aggregated once, to a row a customer, receipt and store; names (of the first receipt), sums and the
+    stores' line counts for the mode all come from that table. Null customers are dropped as in a pandas group-by.
     """
-    base = regular.where(F.col("customer_id").isNotNull())
+    base = regular.where(F.col("customer_id").isNotNull()).groupBy("customer_id", "receipt_id", "customer_name", "store_clean").agg(
+        F.min("completed_at").alias("completed_at"), F.count(F.lit(1)).alias("lines"), msum("actual_revenue").alias("actual_revenue"),
+        msum("discounts").alias("discounts"), isum("quantity").alias("quantity"))
+    base = materialize(regular.sparkSession, base, "customer-receipts", None)
     sums = base.groupBy("customer_id").agg(
-        F.min_by("customer_name", F.struct("completed_at", "receipt_id")).alias("customer_name"),
         F.countDistinct("receipt_id").alias("transactions"), msum("actual_revenue").alias("total_spent"),
-        msum("discounts").alias("total_discounts"), isum("quantity").alias("total_units"))
+        msum("discounts").alias("total_discounts"), isum("quantity").alias("total_units"), F.min("completed_at").alias("_first"))
+    # the first receipt's name: ties at one time go to the least receipt, so few rows are ordered
+    first = base.select("customer_id", F.col("completed_at").alias("_first"), "receipt_id", "customer_name").join(
+        sums.select("customer_id", "_first"), ["customer_id", "_first"]).groupBy("customer_id").agg(F.min_by("customer_name", "receipt_id").alias("customer_name"))
+    sums = sums.drop("_first").join(first, "customer_id", "left")
     sc = base.where(F.col("store_clean").isNotNull()).groupBy("customer_id", "store_clean").agg(
-        F.count(F.lit(1)).alias("_n"))
+        F.sum("lines").alias("_n"))
     w = Window.partitionBy("customer_id").orderBy(F.desc("_n"), "store_clean")
     mode = sc.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == 1).select(
         "customer_id", F.col("store_clean").alias("primary_store"))
@@ -63,6 +69,7 @@ def customer_summary(regular: DataFrame, attributes: DataFrame | None = None) ->
 def segment_summary(cust: DataFrame, regular: DataFrame) -> DataFrame:
     """Customers and revenue by segment with shares."""
     total_rev = regular.agg(msum("actual_revenue")).scalar()
+    cust = materialize(cust.sparkSession, cust.select("segment", "total_spent", "total_discounts"), "segments", None)
     total_cust = cust.agg(F.count(F.lit(1))).scalar()
     g = cust.groupBy("segment").agg(F.count(F.lit(1)).alias("customers"), msum("total_spent").alias("total_revenue"),
                                     msum("total_discounts").alias("total_discounts"))
