@@ -1,13 +1,14 @@
-"""Every registered query against its DuckDB oracle on sf0.001 (values to 9 significant places)."""
+"""Every registered report query against its DuckDB oracle on sf0.001 (values to 9 significant places)."""
 import math
 
 import pytest
 
 import __spark_entry__ as E
 from conftest import SF
+from tillpoint.catalog import registry
 
 ORACLE = E.oracle_sql()
-NAMES = sorted(E.queries())
+NAMES = sorted(registry())
 
 
 def _norm(v):

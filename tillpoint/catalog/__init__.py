@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["margin_q", "deals_q", "dashboard_q", "brands_q", "retention_q", "basket_q", "heatmap_q", "waterfall_q", "staff_q", "reports_q", "advice_q", "cube_q", "period_q", "ingest_q"]
+MODULES = ["margin_q", "deals_q", "dashboard_q", "brands_q", "retention_q", "basket_q", "heatmap_q", "waterfall_q", "staff_q", "reports_q", "advice_q", "cube_q", "period_q", "ingest_q", "rows_q"]
 
 
 def registry() -> dict:
