@@ -167,6 +167,23 @@ def test_pipeline_stages(spark):
     assert kept["best_fit_packing"].select("doc_id").distinct().count() == kept["source_mixing"].select("doc_id").distinct().count()
 
 
+def test_pipeline_edge(spark, edge, docs, tmp_path):
+    """Null, repeated, blank and very long rows, and columns with clashing names, through all stages."""
+    extra = [c for c in edge.columns if c not in docs.columns]
+    more = docs.withColumns({c: F.lit(None).cast(edge.schema[c].dataType) for c in extra}).select(*edge.columns)
+    edge.union(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = corpus_pipeline.scratch_path(spark, f"edge-{name}")
+        stage(spark, rows, str(tmp_path)).write.parquet(path)
+        kept = spark.read.parquet(path)
+        assert kept.columns == edge.columns and kept.exceptAll(rows).isEmpty()
+        rows = kept
+    last = corpus_pipeline.STAGES[-1][1](spark, rows, str(tmp_path)).collect()
+    assert {r.doc_id for r in last} == {r.doc_id for r in rows.select("doc_id").collect()}
+
+
 def test_pipeline_of_nothing(spark, empty, tmp_path):
     for t in ("documents", "labels"):
         frame = empty if t == "documents" else spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
