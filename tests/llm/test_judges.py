@@ -17,6 +17,75 @@ SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def grams(text):
+    """Buckets of the 1- to 3-grams, one by one, in whole numbers."""
+    c, m, out = [ord(x) for x in text.lower()], 1 << 32, Counter()
+    one = [x * 2654435761 % m for x in c]
+    for i, x in enumerate(one):
+        out[x >> 32 - language_id.BITS] += 1
+        if i + 1 < len(one):
+            two = ((x ^ one[i + 1] >> 7) * 2246822519 + 1) % m
+            out[two >> 32 - language_id.BITS] += 1
+            if i + 2 < len(one):
+                out[((two ^ one[i + 2] >> 11) * 3266489917 + 2) % m >> 32 - language_id.BITS] += 1
+    return out
+
+
+def test_tf_idf_by_brute_force(spark, docs, rows):
+    idf = language_id.inverse_frequencies(docs.select("text"))
+    bags = [grams(r.text or "") for r in rows]
+    df = Counter(b for bag in bags for b in bag)
+    assert all(abs(idf[b] - (math.log((1 + len(bags)) / (1 + df[b])) + 1)) < 1e-12 for b in range(0, language_id.BUCKETS, 7))
+    for r, bag in list(zip(rows, bags))[:40]:
+        at, x = language_id.tf_idf(r.text or "", idf)
+        want = {b: (1 + math.log(n)) * idf[b] for b, n in bag.items()}
+        norm = math.sqrt(sum(v * v for v in want.values())) or 1
+        assert dict(zip(at.tolist(), x.round(9).tolist())) == {b: round(v / norm, 9) for b, v in want.items()}
+
+
+def test_ftrl_by_brute_force():
+    """Every step in plain loops: gradients of the softmax, per-coordinate rates, the proximal weights."""
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(50, 6, replace=False)), rng.random(6)) for _ in range(30)]
+    classes, k = rng.integers(0, 3, 30), 3
+    alpha, beta, l1, l2 = language_id.ALPHA, language_id.BETA, language_id.L1, language_id.L2
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(b, c):
+        x = z[b, c]
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((beta + math.sqrt(n[b, c])) / alpha + l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(30):
+            at, x = rows[i]
+            score = [sum(v * weight(b, c) for b, v in zip(at, x)) for c in range(k)]
+            e = [math.exp(s - max(score)) for s in score]
+            steps = []
+            for b, v in zip(at, x):
+                for c in range(k):
+                    g = v * (e[c] / sum(e) - (classes[i] == c))
+                    steps.append((b, c, g, (math.sqrt(n[b, c] + g * g) - math.sqrt(n[b, c])) / alpha * weight(b, c)))
+            for b, c, g, pull in steps:
+                z[b, c] += g - pull
+                n[b, c] += g * g
+    got = language_id.fit_ftrl(rows, classes, k, epochs=2)
+    assert all(abs(got[b, c] - weight(b, c)) < 1e-9 for b in range(50) for c in range(k))
+    assert (got[50:] == 0).all() and (got[:50] == 0).any()
+
+
+def test_temperature_by_grid():
+    rng = np.random.default_rng(2)
+    classes = rng.integers(0, 4, 400)
+    logits = rng.normal(0, 1, (400, 4)) + 2 * np.eye(4)[classes]
+    for scale in (0.3, 1.0, 6.0):
+        def loss(t):
+            return -np.log(language_id.softmax(scale * logits / t)[np.arange(400), classes]).mean()
+
+        best = min((loss(t), t) for t in np.exp(np.linspace(math.log(0.05), math.log(20), 2000)))
+        assert loss(language_id.fit_temperature(scale * logits, classes)) <= best[0] + 1e-6
+
+
 def test_language_held_out_accuracy(spark):
     got = op3(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
     right, n = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()

@@ -105,6 +105,8 @@ class UnitEncoder:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _known(self, piece: str) -> bytes:
+        if self.folds:  # a word is one entry, in whatever case, with a space before it or without
+            piece = piece.strip().lower()
         ids = self.now.get(piece)
         if ids is None:
             ids = self.before.get(piece)
@@ -118,7 +120,7 @@ class UnitEncoder:
         if line := _PLAIN.fullmatch(unit):  # most units have one line
             word, marks = line.groups()
             if not marks:
-                return self._modelled(word, self.folds) if word else None
+                return self._known(word) if word else None
             return self._known(word) + self._known(marks) if word else self._known(marks)
         pieces = plain_pieces(unit)
         return None if pieces is None else b"".join([self.line_break if p == "\n" else self._known(p) for p in pieces])
