@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from tillpoint.functions import fixed
 from tillpoint.functions.expr import cents, isum, msum, r, safe_div
 from tillpoint.operators.margin import brand_category_breakdown, brand_margin_summary, brand_summary_aggs, brand_summary_ratios
-from tillpoint.operators.velocity import velocity_by_category
+from tillpoint.operators.velocity import sale_days, velocity_by_category
+from tillpoint.plans.curate import compact
 from tillpoint.plans.period import Period, in_periods, period_calendar
 
 
@@ -128,6 +129,9 @@ def key_insight(regular: DataFrame) -> DataFrame:
 def growth_opportunities(regular: DataFrame, n_products: int | None = fixed.REC_SKU_PRODUCTS) -> DataFrame:
     """(brand, type, title, detail, priority): stores that sell the brand's categories without it, products that
     some of its stores lack (the first `n_products` by name, None for all), categories it sells slowly in."""
+    # one read of the facts for a row a brand, store, category and product, one for the days they span
+    days = sale_days(regular)
+    regular = compact(regular, "brand_clean", "store_clean", "category_clean", "product")
     c, sold = F.col, _sold(regular)
     demand = regular.where("store_clean is not null and category_clean is not null").groupBy(
         c("store_clean").alias("store"), c("category_clean").alias("category")).agg(F.sum(cents("actual_revenue")).alias("cents"))
@@ -152,7 +156,7 @@ def growth_opportunities(regular: DataFrame, n_products: int | None = fixed.REC_
         F.format_string(detail, F.size("having"), F.array_join("lacking", ", ")).alias("detail"), F.lit("medium").alias("priority"))
 
     title, detail = fixed.GROWTH_VELOCITY
-    slow = velocity_by_category(regular).where(c("velocity_index") < fixed.REC_VELOCITY_INDEX).select(
+    slow = velocity_by_category(regular, days).where(c("velocity_index") < fixed.REC_VELOCITY_INDEX).select(
         "brand", F.lit("velocity").alias("type"), F.format_string(title, c("category")).alias("title"),
         F.format_string(detail, r("velocity_index", 0), r("brand_units_per_day", 1), r("category_avg_units_per_day", 1)).alias("detail"),
         F.lit("medium").alias("priority"))

@@ -36,13 +36,18 @@ def _brand_category(regular: DataFrame) -> DataFrame:
         isum("quantity").alias("brand_units"), msum("actual_revenue").alias("brand_revenue"))
 
 
-def velocity_by_category(regular: DataFrame) -> DataFrame:
+def sale_days(regular: DataFrame):
+    """Days from the first sale to the last, both included, as a scalar."""
+    return regular.agg(F.greatest(F.datediff(F.max("sale_date"), F.min("sale_date")) + 1, F.lit(1))).scalar()
+
+
+def velocity_by_category(regular: DataFrame, days=None) -> DataFrame:
     """H2: brand units/day vs the category's per-brand average (index x100).
 
     Days = inclusive span of all regular rows (a scalar subquery). The
     category totals are one row per category, joined on category.
     """
-    span = regular.agg(F.greatest(F.datediff(F.max("sale_date"), F.min("sale_date")) + 1, F.lit(1))).scalar()
+    span = sale_days(regular) if days is None else days
     x = _brand_category(regular).join(_category_totals(regular), "category")
     b_upd = safe_div(F.col("brand_units"), span)
     cat_upd = safe_div(F.col("category_units"), span)

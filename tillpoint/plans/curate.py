@@ -69,11 +69,15 @@ _LOCK = threading.Lock()
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by=("year", "month")) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back (cuts lineage)."""
+    """Write ``df`` to the shared folder and read it back (cuts lineage).
+
+    Partitions are gathered first, large ones split, so each holds a few whole files and not one of every task.
+    """
     path = scratch_path(spark, name)
-    w = df.write.mode("overwrite")
     if partition_by:
-        w = w.partitionBy(*partition_by)
+        w = df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
+    else:
+        w = df.write.mode("overwrite")
     w.parquet(path)
     return spark.read.parquet(path).select(*df.columns)
 
