@@ -44,9 +44,7 @@ def _cost_unit_sql() -> str:
     return "CASE " + " ".join(parts) + " ELSE NULL END"
 
 
-def sales_ctes(brand_gaps: bool = False) -> str:
-    gaps = ("WHERE NOT (CAST(substr(p.p_brand, 7) AS INTEGER) <= 10 AND "
-            "CAST(substr(p.p_brand, 7) AS INTEGER) % 5 = g.n_regionkey)") if brand_gaps else ""
+def sales_ctes() -> str:
     excluded = ", ".join(_q(s) for s in fixed.EXCLUDED_STORES)
     return f"""
 WITH _geo AS (
@@ -63,7 +61,6 @@ WITH _geo AS (
   LEFT JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN part p ON l.l_partkey = p.p_partkey
   LEFT JOIN _geo g ON l.l_suppkey = g.s_suppkey
-  {gaps}
 ), _li2 AS (
   SELECT *, CASE WHEN is_comp THEN cents - 50 ELSE (cents * pct) // 100 END AS disc_c,
          (cents * (40 + l_partkey % 70)) // 100 AS cost_c
@@ -141,5 +138,5 @@ WITH _geo AS (
 """
 
 
-def oracle(query: str, brand_gaps: bool = False) -> str:
-    return sales_ctes(brand_gaps) + query
+def oracle(query: str) -> str:
+    return sales_ctes() + query

@@ -98,6 +98,14 @@ SELECT rank, product, brand, category, CAST(CAST(last AS DATE) AS VARCHAR) AS la
 FROM dead WHERE rank <= 50
 """)
 
+L2_STORE_SQL = oracle(DEAD.replace("SELECT product, max", "SELECT product, store_clean, max").replace("product IS NOT NULL GROUP BY product", "product IS NOT NULL AND store_clean IS NOT NULL GROUP BY product, store_clean")
+                     .replace("DESC, product)", "DESC, product, store_clean)") + """
+SELECT rank, product, store_clean AS store, brand, category, CAST(CAST(last AS DATE) AS VARCHAR) AS last_sale_date,
+  CAST(datediff('day', last, m) AS INTEGER) AS days_since_sale, round(total_revenue, 2) AS total_revenue,
+  CAST(sa AS BIGINT) AS stores_active, CAST(st - sa AS BIGINT) AS stores_inactive
+FROM dead
+""")
+
 d = fixed.VELOCITY_WINDOW_DAYS
 VEL = f"""
 , mx2 AS (SELECT max(sale_date) AS m FROM regular),
@@ -144,6 +152,7 @@ ENTRIES = {
     "K6_receipt_sample": (lambda s, sf: K.basket_agg(K.receipt_sample(REG(s, sf), 0.25)), K6_SQL),
     "L1_abc_classification": (lambda s, sf: L.abc_classification(REG(s, sf)), L1_SQL),
     "L2_dead_stock": (lambda s, sf: L.dead_stock(REG(s, sf)), L2_SQL),
+    "L2_dead_stock_by_store": (lambda s, sf: L.dead_stock(REG(s, sf), top_n=None, grain="product_store"), L2_STORE_SQL),
     "L3_velocity_trends": (lambda s, sf: L.velocity_trends(REG(s, sf)), L3_SQL),
     "L4_product_kpis": (lambda s, sf: L.product_kpis(REG(s, sf)), L4_SQL),
 }

@@ -62,6 +62,7 @@ SELECT brand, store, category, category_revenue_at_store,
 FROM cand JOIN dm USING (store, category)
 WHERE (NOT present AND category_revenue_at_store > 0) OR (present AND category_revenue_at_store > 0)
 """)
+R5_PRODUCT_SQL = f"SELECT * RENAME (brand AS product) FROM ({R5_SQL.replace('brand_clean AS brand FROM regular WHERE brand_clean IS NOT NULL', 'product AS brand FROM regular WHERE product IS NOT NULL')})"
 R6_SQL = G(BR + STORES + """
 , g AS (SELECT brand, list_sort(list(DISTINCT store_clean)) AS stores_present FROM b WHERE store_clean IS NOT NULL GROUP BY 1)
 SELECT brand, stores_present, list_filter(allst.stores, lambda s: NOT list_contains(stores_present, s)) AS stores_missing,
@@ -96,6 +97,7 @@ ENTRIES = {
     "R3_brand_store_summary": (lambda s, sf: B.brand_store_summary(REGG(s, sf)), R3_SQL),
     "R4_distribution_scorecard": (lambda s, sf: B.distribution_scorecard(REGG(s, sf)), R4_SQL),
     "R5_store_gaps": (lambda s, sf: B.store_gaps(REGG(s, sf)), R5_SQL),
+    "R5_product_gaps": (lambda s, sf: B.store_gaps(REGG(s, sf), of="product").withColumnRenamed("brand", "product"), R5_PRODUCT_SQL),
     "R6_store_coverage": (lambda s, sf: B.store_coverage(REGG(s, sf)), R6_SQL),
     "R7_product_mix": (lambda s, sf: B.product_mix(REGG(s, sf)), R7_SQL),
     "R8_sku_expansion": (lambda s, sf: B.sku_expansion(REGG(s, sf)), R8_SQL),

@@ -39,11 +39,6 @@ COLUMN_MAP = {
     "Inline/Cart Discounts Used": "inline_discounts",
 }
 
-CURRENCY_COLS = [
-    "pre_discount_revenue", "discounts", "actual_revenue", "net_profit", "cost",
-    "total_collected", "receipt_total", "cost_per_item", "taxes",
-]
-
 # Money columns kept in the fact table (taxes/total_collected/receipt_total are dropped).
 MONEY_COLS = ["pre_discount_revenue", "discounts", "actual_revenue", "net_profit", "cost", "cost_per_item"]
 
@@ -160,12 +155,9 @@ TENURE_BUCKETS = [("< 1 month", -1, 30), ("1-3 months", 30, 90), ("3-6 months",
                   ("6-12 months", 180, 365), ("12+ months", 365, None)]
 
 # Basket / product / heatmap parameters.
-BASKET_MAX_PRODUCTS = 20
-CATEGORY_PAIR_MIN_BASKETS = 1000
 ABC_A_PCT, ABC_B_PCT, ABC_C_PCT = 80, 95, 99
 DEAD_STOCK_DAYS = 60
 VELOCITY_WINDOW_DAYS = 90
-STORE_HEATMAP_MAX_STORES = 9
 DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 # Advice texts: (severity or priority, title, detail, action) in printf form.

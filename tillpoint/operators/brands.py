@@ -67,12 +67,13 @@ def distribution_scorecard(regular: DataFrame) -> DataFrame:
                     .otherwise(F.lit(0.0)).alias("brand_share_pct"))
 
 
-def store_gaps(regular: DataFrame, min_demand: float = 0.0) -> DataFrame:
+def store_gaps(regular: DataFrame, min_demand: float = 0.0, of: str = "brand_clean") -> DataFrame:
     """(a) brand absent from a store whose demand in a brand category is > 0;
     (b) brand present at the store but not in that category, demand > ``min_demand`` (fixed.GAP_MIN_DEMAND
-    for the usual report)."""
+    for the usual report). ``of`` names another column whose gaps are asked for, such as the product.
+    """
     stores = _all_stores(regular)
-    b = _b(regular).where(F.col("category_clean").isNotNull())
+    b = regular.where(F.col(of).isNotNull()).withColumn("brand", F.col(of)).where(F.col("category_clean").isNotNull())
     bc = b.select("brand", F.col("category_clean").alias("category")).distinct()
     bs = b.where(F.col("store_clean").isNotNull()).select("brand", F.col("store_clean").alias("store")).distinct()
     bsc = b.where(F.col("store_clean").isNotNull()).select("brand", F.col("store_clean").alias("store"),

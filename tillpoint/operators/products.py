@@ -45,17 +45,25 @@ def _first(df: DataFrame, order: list, top_n: int | None) -> DataFrame:
 
 def dead_stock(regular: DataFrame, days: int = fixed.DEAD_STOCK_DAYS, top_n: int | None = 50,
                grain: str = "product") -> DataFrame:
-    """L2: products with no sale in the last ``days`` days before the last sale date; top N by revenue (None: all)."""
+    """L2: products with no sale in the last ``days`` days before the last sale date; top N by revenue (None: all).
+
+    With the grain 'product_store' a product is looked at in each store by itself, and ``store`` says which.
+    """
+    if grain not in ("product", "product_store"):
+        raise ValueError(f"unknown grain: {grain}")
+    by_store = grain == "product_store"
+    keys = ["product", "store_clean"] if by_store else ["product"]
     max_date = regular.agg(F.max("sale_date")).scalar()
     cutoff = F.date_sub(max_date, days)
-    g = regular.where(F.col("product").isNotNull()).groupBy("product").agg(
+    g = regular.where(F.col("product").isNotNull())
+    g = (g.where(F.col("store_clean").isNotNull()) if by_store else g).groupBy(*keys).agg(
         F.max("sale_date").alias("_last"), msum("actual_revenue").alias("total_revenue"),
         F.min("brand_clean").alias("brand"), F.min("category_clean").alias("category"),
         F.countDistinct(F.when(F.col("sale_date") >= cutoff, F.col("store_clean"))).alias("stores_active"),
         F.countDistinct("store_clean").alias("_stores"))
     d = g.where(F.col("_last") < cutoff)
-    d = _first(d, [F.desc("total_revenue"), F.col("product")], top_n)
-    return d.select("rank", "product", "brand", "category", F.col("_last").cast("string").alias("last_sale_date"),
+    d = _first(d, [F.desc("total_revenue"), *(F.col(k) for k in keys)], top_n)
+    return d.select("rank", *(F.col(k).alias(k.removesuffix("_clean")) for k in keys), "brand", "category", F.col("_last").cast("string").alias("last_sale_date"),
                     F.datediff(max_date, F.col("_last")).alias("days_since_sale"), r(F.col("total_revenue"), 2)
                     .alias("total_revenue"), "stores_active",
                     (F.col("_stores") - F.col("stores_active")).alias("stores_inactive"))

@@ -1,4 +1,4 @@
-"""Period x store cube (T1-T3) and the JSON/Parquet view sink.
+"""Period x store cube from the facts (T1) and sanitising of output (A10).
 
 The reference recomputes every view for every month and store in nested
 loops; here the loop variables are grouping keys: one GROUPING SETS
@@ -43,28 +43,6 @@ def period_store_cube(regular: DataFrame) -> DataFrame:
                     r(safe_div(F.col("revenue"), F.col("transactions")), 2).alias("avg_basket"))
 
 
-def store_drilldown(cube: DataFrame, store: str) -> DataFrame:
-    """One store's slice of a computed view."""
-    return cube.where(F.col("store") == F.lit(store))
-
-
-def range_rollup(regular: DataFrame, start_ym: int, end_ym: int, exact: bool = True) -> DataFrame:
-    """Combine months into a range per store.
-
-    Additive metrics re-add; distinct customers are either recomputed exactly
-    from the base rows of the range (``exact``) or merged from monthly HLL
-    sketches (approximate, labelled as such).
-    """
-    rng = regular.where((F.col("ym") >= start_ym) & (F.col("ym") <= end_ym))
-    if exact:
-        return rng.groupBy(F.col("store_clean").alias("store")).agg(
-            msum("actual_revenue").alias("revenue"), F.countDistinct("customer_id").alias("customers"))
-    monthly = rng.groupBy("store_clean", "ym").agg(msum("actual_revenue").alias("revenue"),
-                                                   F.hll_sketch_agg("customer_id").alias("sk"))
-    return monthly.groupBy(F.col("store_clean").alias("store")).agg(
-        F.sum("revenue").alias("revenue"), F.hll_sketch_estimate(F.hll_union_agg("sk")).alias("customers_approx"))
-
-
 def _clean(value, kind):
     """A value without NaN and infinities, at any depth; null if nothing of its type can hold one."""
     from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType

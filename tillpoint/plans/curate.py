@@ -82,18 +82,18 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by=("ye
     return spark.read.parquet(path).select(*df.columns)
 
 
-def load_sales(spark: SparkSession, sf_dir: str, brand_gaps: bool = False) -> DataFrame:
+def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The curated fact table for the driver tables in ``sf_dir`` (built once per session)."""
     from tillpoint.sources import testmodel
 
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), brand_gaps)
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     with _LOCK:
         hit = _CACHE.get(key)
         if hit is not None:
             return hit
-        raw = testmodel.raw_lines(spark, sf_dir, brand_gaps=brand_gaps)
+        raw = testmodel.raw_lines(spark, sf_dir)
         df = curate(raw, category_aliases=testmodel.TEST_CATEGORY_ALIASES)
-        out = materialize(spark, df, "sales-gaps" if brand_gaps else "sales")
+        out = materialize(spark, df, "sales")
         _CACHE[key] = out
         return out
 

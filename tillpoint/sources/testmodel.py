@@ -39,7 +39,7 @@ def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def raw_lines(spark: SparkSession, sf_dir: str, brand_gaps: bool = False) -> DataFrame:
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sales lines (pre-normalisation) built from the driver tables.
 
     Joins: lineitem-orders (big-big, shuffled on orderkey), customer and part
@@ -121,9 +121,6 @@ def raw_lines(spark: SparkSession, sf_dir: str, brand_gaps: bool = False) -> Dat
         F.col("n_regionkey").alias("_regionkey"),
         F.col("p_brand").alias("_p_brand"),
     )
-    if brand_gaps:
-        bno = F.substring(F.col("_p_brand"), 7, 10).cast("int")
-        out = out.where(~((bno <= 10) & ((bno % 5) == F.col("_regionkey"))))
     return out.drop("_regionkey", "_p_brand")
 
 
