@@ -110,7 +110,7 @@ def compact(lines: DataFrame, *dims: str) -> DataFrame:
     Money (exact to the cent) and quantity keep their names, so it stands in for the lines wherever only sums over `dims` are taken; receipts
     and customers cannot be counted in it and are null.
     """
-    money = ["actual_revenue", "net_profit", "cost", "discounts", "pre_discount_revenue"]
+    money = [c for c in ("actual_revenue", "net_profit", "cost", "discounts", "pre_discount_revenue") if c in lines.columns]
     out = lines.groupBy(*dims).agg(*(msum(c).alias(c) for c in money), F.sum("quantity").alias("quantity"))
     out = materialize(lines.sparkSession, out, "compact", None)
     return out.select("*", *(F.lit(None).cast("string").alias(c) for c in ("receipt_id", "customer_id") if c not in dims))
