@@ -2,32 +2,63 @@
 
 The winner is the row from the file with the latest end date (undated files
 last), then file name, then the row's position in its file. Written as a
-grouped ``min_by`` over an ordering struct rather than a window: the
-aggregation combines map-side, so a hot key (one receipt repeated across
-many files) collapses before the shuffle instead of landing whole in one
-window partition. Null keys form their own group, as in both engines.
+grouped ``min`` of one struct, the ordering first and the other columns behind
+it, rather than a window: the aggregation combines map-side, so a hot key (one
+receipt repeated across many files) collapses before the shuffle instead of
+landing whole in one window partition. Null keys form their own group, as in
+both engines.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+from typing import ClassVar
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEDUP_KEY = ["receipt_id", "product", "completed_at"]
 
 
-def dedup_order(df: DataFrame):
-    """Ascending ordering struct: smaller wins."""
-    return F.struct(
+@dataclass(frozen=True)
+class MonthParts:
+    """How lines are dealt so that one shuffle serves both D1 and a table partitioned by month: whole months, large ones in `parts`
+    parts by the hash of their key; `partitions` where the session's number of shuffle partitions would make them too large."""
+
+    parts: int
+    partitions: int | None
+
+    #: Functions of the key: D1 within them is D1.
+    COLUMNS: ClassVar[tuple[str, ...]] = ("year", "month", "month_part")
+
+    @classmethod
+    def for_lines(cls, spark, n: int) -> MonthParts:
+        """For `n` lines: about 100 000 a part where they spread over 80 months, at most about 400 000 a partition."""
+        most = n // 400_000
+        return cls(1 + n // 8_000_000, most if most > int(spark.conf.get("spark.sql.shuffle.partitions")) else None)
+
+    def deal(self, lines: DataFrame, *key: str) -> DataFrame:
+        """`lines` with COLUMNS; `key` are columns that D1's key determines."""
+        lines = lines.where(F.col("completed_at").isNotNull()).withColumns({
+            "year": F.year("completed_at"), "month": F.month("completed_at"), "month_part": F.pmod(F.hash(*key), F.lit(self.parts))})
+        return lines.repartition(*([self.partitions] if self.partitions else []), *self.COLUMNS)
+
+
+def dedup_order() -> list[Column]:
+    """The ordering, ahead of a line's other columns: smaller wins."""
+    return [
         F.col("file_end").isNull().alias("o1"),
         (-F.unix_date(F.col("file_end"))).alias("o2"),
         F.coalesce(F.col("file_name"), F.lit("")).alias("o3"),
         F.col("row_seq").alias("o4"),
-    )
+        F.col("file_name").isNull().alias("o5"),
+    ]
 
 
 def dedup_latest_file(df: DataFrame, key=None) -> DataFrame:
+    """One row a key. Lines that `MonthParts` dealt are kept where they are."""
     key = list(key or DEDUP_KEY)
-    rest = [c for c in df.columns if c not in key]
-    winner = F.min_by(F.struct(*[F.col(c) for c in rest]), dedup_order(df)).alias("_w")
-    return df.groupBy(*key).agg(winner).select(*key, *[F.col(f"_w.{c}").alias(c) for c in rest]) \
-        .select(*df.columns)
+    within = [c for c in MonthParts.COLUMNS if c in df.columns] if "month_part" in df.columns else []
+    ordered = {"file_end": F.date_from_unix_date(-F.col("_w.o2")), "file_name": F.when(~F.col("_w.o5"), F.col("_w.o3")), "row_seq": F.col("_w.o4")}
+    rest = [c for c in df.columns if c not in (*key, *within, *ordered)]
+    won = df.groupBy(*within, *key).agg(F.min(F.struct(*dedup_order(), *rest)).alias("_w"))
+    return won.select(*((ordered[c] if c in ordered else F.col(f"_w.{c}") if c in rest else F.col(c)).alias(c) for c in df.columns))

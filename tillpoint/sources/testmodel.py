@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillpoint.plans.dedup import MonthParts
 from tillpoint.sources.tables import read_table
 
 # --- FIXED VALUES: test-model vocabularies --------------------------------
@@ -39,12 +40,16 @@ def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_lines(spark: SparkSession, sf_dir: str, months: MonthParts | None = None) -> DataFrame:
     """Raw sales lines (pre-normalisation) built from the driver tables.
 
-    Joins: lineitem-orders (big-big, shuffled on orderkey), customer and part
-    (size decided by AQE), supplier with nation/region (nation and region are
-    25 and 5 rows by definition, so they are broadcast).
+    Joins: customers to orders (a quarter of the lines), then lines to orders,
+    big-big, while lines are keys and numbers alone, and by the receipt's text:
+    what follows by receipt needs no shuffle of its own unless part's size does;
+    part and supplier last (sizes decided by AQE; nation and region are 25 and 5
+    rows by definition).
+    `months` deals the lines by month while they are still keys and numbers,
+    before the texts and amounts of a sales line are made of them.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -55,14 +60,22 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    geo = (s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey)
-           .join(F.broadcast(r), F.col("n_regionkey") == r.r_regionkey)
-           .select("s_suppkey", "s_name", "n_regionkey", "r_name"))
+    # looked up in one array, not joined: a join's estimated size would have suppliers shuffled with the lines, however few
+    places = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).agg(F.collect_list(F.struct("n_nationkey", "r_name"))).scalar()
+    geo = (s.withColumn("_places", places)
+           .select("s_suppkey", "s_name", F.inline(F.filter("_places", lambda x: x["n_nationkey"] == F.col("s_nationkey"))))
+           .drop("n_nationkey"))
 
-    df = (li.join(o, li.l_orderkey == o.o_orderkey)
-          .join(cu, F.col("o_custkey") == cu.c_custkey, "left")
+    hours = ((F.col("o_orderkey") * 7 + 3) % 14 + 8).cast("int")
+    o = o.join(cu, F.col("o_custkey") == cu.c_custkey, "left").select(
+        F.col("o_orderkey").cast("string").alias("_receipt"), F.col("o_custkey"), "c_name",
+        F.timestamp_add("HOUR", hours, F.col("o_orderdate").cast("timestamp_ntz")).alias("completed_at"))
+    li = li.withColumn("receipt_id", F.col("l_orderkey").cast("string"))
+    df = (li.join(o.hint("merge"), F.col("receipt_id") == F.col("_receipt")).drop("_receipt")
           .join(p, li.l_partkey == p.p_partkey, "left")
-          .join(geo, li.l_suppkey == geo.s_suppkey, "left"))
+          .join(geo, li.l_suppkey == geo.s_suppkey, "left").drop("s_suppkey"))
+    if months:
+        df = months.deal(df, "receipt_id")
 
     cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
     pct = F.rint(F.col("l_discount") * 100).cast("int") * 4
@@ -92,12 +105,11 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.when(pk % 2 == 0, F.lower(F.col("p_type"))).otherwise(F.concat(F.lit(" "), F.col("p_type")))
     deals = F.when(F.col("_pct") == 0, F.lit(None).cast("string")).otherwise(
         F.element_at(_lit_array(DEALS), ((F.col("l_orderkey") + F.col("l_partkey")) % 10 + 1).cast("int")))
-    hours = ((F.col("l_orderkey") * 7 + 3) % 14 + 8).cast("int")
     out = df.select(
-        F.col("l_orderkey").cast("string").alias("receipt_id"),
+        "receipt_id",
         F.element_at(_lit_array(ORDER_TYPES), (F.col("l_orderkey") % 4 + 1).cast("int")).alias("order_type"),
         F.col("s_name").alias("sold_by"),
-        F.timestamp_add("HOUR", hours, F.col("o_orderdate").cast("timestamp_ntz")).alias("completed_at"),
+        "completed_at",
         F.col("o_custkey").cast("string").alias("customer_id"),
         F.col("c_name").alias("customer_name"),
         F.concat(F.col("r_name"), F.lit(" - RD"), F.col("l_suppkey").cast("string")).alias("store"),
@@ -118,10 +130,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("date").alias("file_end"),
         F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                  "l_shipdate").alias("row_seq"),
-        F.col("n_regionkey").alias("_regionkey"),
-        F.col("p_brand").alias("_p_brand"),
+        *(months.COLUMNS if months else []),
     )
-    return out.drop("_regionkey", "_p_brand")
+    return out
 
 
 def customer_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
