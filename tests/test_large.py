@@ -19,6 +19,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_split_sums_beyond_64_bits(spark):
+    """Millionths of a cent of a large table's deals do not fit in a long."""
+    lines = spark.createDataFrame(
+        [(str(i), "S", "B", "C", x, x, 2, -x, -x, x, "One, Two") for i, x in enumerate([9e10, 8e10, 9e10, 0.01, 0.02])],
+        "receipt_id string, store_clean string, brand_clean string, category_clean string, actual_revenue double, discounts double, quantity int, cost double, "
+        "net_profit double, pre_discount_revenue double, deals_used string")
+    for df in (deals.deal_summary(lines), deals.deal_summary_by_store(lines), deals.promo_effectiveness(lines)):
+        for r in df.union(df.limit(0)).collect():
+            assert (r.revenue, r.cost, r.units) == (pytest.approx(1.3e11 + 0.015, abs=1e-4), pytest.approx(-1.3e11 - 0.015, abs=1e-4), 5.0)
+
+
 def test_lines_dealt_by_month_are_the_same_and_shuffled_once(spark):
     dealt = curate(testmodel.raw_lines(spark, SF, MonthParts(3, 5)), testmodel.TEST_CATEGORY_ALIASES)
     plain = curate(testmodel.raw_lines(spark, SF), testmodel.TEST_CATEGORY_ALIASES)

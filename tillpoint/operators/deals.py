@@ -37,8 +37,13 @@ def expand_deals(df: DataFrame, allocation: str = "even") -> DataFrame:
 
 
 def _split_sum(x: str):
-    """Sum of split values, to 4 decimals: added up as whole millionths of a cent, so the order of lines does not matter."""
-    return r(F.sum(F.rint(F.col(x) * 1e8).cast("bigint")).cast("double") / 1e8, 4)
+    """Sum of split values, to 4 decimals: added up as whole millionths of a cent, so the order of lines does not matter.
+
+    Their upper and lower 32 bits are added up apart, since the sum of a large table's does not fit in 64.
+    """
+    v = F.rint(F.col(x) * 1e8).cast("bigint")
+    upper, lower = (F.sum(y).cast("decimal(20,0)") for y in (F.shiftright(v, 32), v.bitwiseAND(F.lit((1 << 32) - 1))))
+    return r((upper * F.lit(1 << 32).cast("decimal(10,0)") + lower).cast("double") / 1e8, 4)
 
 
 def _deal_aggs(uses_name: str = "times_used") -> list:
