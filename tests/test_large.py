@@ -42,3 +42,13 @@ def test_lines_dealt_by_month_are_the_same_and_shuffled_once(spark):
 def test_large_counts_get_more_partitions(spark):
     assert MonthParts.for_lines(spark, 1000) == MonthParts(1, None)
     assert MonthParts.for_lines(spark, 40_000_000) == MonthParts(6, 100)
+
+
+def test_dedup_keeps_all_columns_of_the_winner(spark):
+    t, d = datetime.datetime(2025, 1, 1), datetime.date
+    rows = [("r1", "p", t, None, None, 1, 1.0), ("r1", "p", t, "b", d(2025, 1, 31), 2, 2.0), ("r1", "p", t, "a", d(2025, 2, 28), 9, 3.0), ("r1", "p", t, "c", d(2025, 2, 28), 1, 4.0),
+            (None, None, t, "", None, 2, 5.0), (None, None, t, None, None, 1, 6.0), ("r2", "p", t, "a", None, 3, 7.0), ("r2", "p", t, "a", None, 2, 8.0), ("r3", "p", t, "", None, 1, 9.0)]
+    df = spark.createDataFrame(rows, "receipt_id string, product string, completed_at timestamp_ntz, file_name string, file_end date, row_seq int, x double")
+    want = {rows[2], rows[5], rows[7], rows[8]}
+    assert {tuple(r) for r in dedup_latest_file(df).collect()} == want
+    assert {tuple(r)[:7] for r in dedup_latest_file(MonthParts(4, None).deal(df, "receipt_id")).collect()} == want

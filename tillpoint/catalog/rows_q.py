@@ -14,7 +14,7 @@ from tillpoint.functions.expr import cents, fill_numeric
 from tillpoint.operators import customers as I
 from tillpoint.operators import staff as P
 from tillpoint.plans.curate import load_customer_attributes, load_sales, regular
-from tillpoint.plans.dedup import dedup_latest_file
+from tillpoint.plans.dedup import DEDUP_KEY, dedup_latest_file
 from tillpoint.plans.period import brand_filter, store_filter
 from tillpoint.sources import inbox, pos_csv, testmodel
 from tillpoint.sources.tables import read_table
@@ -116,7 +116,8 @@ def latest_file(spark, sf) -> DataFrame:
     # a file holds one in `n` receipts
     held = F.filter(F.array(*(F.struct(F.lit(f).alias("file_name"), F.lit(e).cast("date").alias("file_end"), F.lit(n).alias("n")) for f, e, n in FILES)),
                     lambda f: F.pmod(F.col("receipt_id").cast("bigint"), f["n"]) == 0)
-    copies = lines.select("*", F.inline(held)).drop("n").withColumn("actual_revenue", F.col("actual_revenue") + F.length("file_name"))
+    # of a copy only what D1 orders by and the result adds up: the texts of a line are no part of it
+    copies = lines.select(*DEDUP_KEY, "row_seq", "actual_revenue", F.inline(held)).drop("n").withColumn("actual_revenue", F.col("actual_revenue") + F.length("file_name"))
     return dedup_latest_file(copies).groupBy("file_name").agg(F.count(F.lit(1)).alias("lines"), (F.sum(cents("actual_revenue")) / 100).alias("revenue"))
 
 
