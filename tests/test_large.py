@@ -52,3 +52,29 @@ def test_dedup_keeps_all_columns_of_the_winner(spark):
     want = {rows[2], rows[5], rows[7], rows[8]}
     assert {tuple(r) for r in dedup_latest_file(df).collect()} == want
     assert {tuple(r)[:7] for r in dedup_latest_file(MonthParts(4, None).deal(df, "receipt_id")).collect()} == want
+
+
+def _files(tmp_path, spark):
+    lines = [("margin report 2025-01-01 2025-01-31", i, ",".join(f'"{v}"' for v in (f"r{i}", "Gummy", f"01/0{i}/2025 03:04:05 PM", "$1.00"))) for i in (3, 1, 2)]
+    lines += [("margin report 2025-02-01 2025-02-28", 1, '"r9","Cart","02/01/2025 03:04:05 PM","$2.00"')]
+    head = ["Receipt ID", "Product", "Completed At", "Post-Discount, Pre-Tax Total"]
+    folder = str(tmp_path / "inbox")
+    inbox.write_files(spark.createDataFrame(lines, "name string, place int, line string"), inbox._header(head), folder)
+    return folder
+
+
+def test_files_have_their_header_first_and_lines_in_order(spark, tmp_path):
+    folder = _files(tmp_path, spark)
+    assert sorted(x for x in os.listdir(folder) if x.endswith(".csv")) == ["margin report 2025-01-01 2025-01-31.csv", "margin report 2025-02-01 2025-02-28.csv"]
+    text = open(os.path.join(folder, "margin report 2025-01-01 2025-01-31.csv")).read().splitlines()
+    assert text[0].startswith('"Receipt ID","Product"') and [x[:5] for x in text[1:]] == ['"r1",', '"r2",', '"r3",']
+
+
+def test_cells_are_not_shuffled_to_their_header(spark, tmp_path):
+    folder = _files(tmp_path, spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        named = pos_csv.read_csv_files(spark, folder, fixed.COLUMN_MAP)
+        assert "SortMergeJoin" not in plan(named) and "BroadcastHashJoin" in plan(named)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -4,7 +4,7 @@ One file a month, named with its first and last day, with a header row, quoted c
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillpoint.functions import fixed
@@ -27,11 +27,11 @@ def _header(names) -> str:
 def write_files(lines: DataFrame, header: str, folder: str, gzip: bool = False) -> None:
     """(name, place, line) -> the file `name` with `header` and its lines in the order of `place`."""
     spark = lines.sparkSession
-    heads = lines.select("name").distinct().select("name", F.lit(header).alias("line"), F.lit(0).alias("_no"), F.lit(None).cast(lines.schema["place"].dataType).alias("place"))
-    rows = heads.union(lines.select("name", "line", F.lit(1).alias("_no"), "place"))
     aside = scratch_path(spark, "inbox")
-    (rows.repartition("name").sortWithinPartitions("name", "_no", "place").select("name", "line").write
-     .option("compression", "gzip" if gzip else "none").partitionBy("name").text(aside))
+    # the header goes before a file's first line: no second pass over the lines for their names
+    first = F.row_number().over(Window.partitionBy("name").orderBy("place")) == 1
+    rows = lines.select("name", F.when(first, F.concat(F.lit(header + "\n"), "line")).otherwise(F.col("line")).alias("line"))
+    rows.write.option("compression", "gzip" if gzip else "none").partitionBy("name").text(aside)
     target, fs = _place(spark, folder)
     fs.mkdirs(target)
     path = spark._jvm.org.apache.hadoop.fs.Path

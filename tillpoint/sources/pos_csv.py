@@ -54,7 +54,9 @@ def name_lines(lines: DataFrame, headers) -> DataFrame:
     headers = list(headers)
     least = min(3, len(headers))
     raw = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(CELL), F.lit(1))
-    lines = lines.where(F.trim("line") != "").withColumn("_no", F.monotonically_increasing_id()).withColumn("_raw", raw)
+    lines = lines.where(F.trim("line") != "").withColumn("_no", F.monotonically_increasing_id())
+    # lines are numbered before they are cut, so that the search for headers cuts no others
+    lines = lines.withColumn("_raw", raw)
     named = sum((F.contains("line", F.lit(h)).cast("int") for h in headers), F.lit(0)) >= least
     trimmed = F.transform("_raw", lambda c: F.trim(_cell(c)))
     # only lines that hold the names are looked at cell by cell
@@ -62,7 +64,8 @@ def name_lines(lines: DataFrame, headers) -> DataFrame:
     lines = lines.withColumn("_is_header", is_header)
     places = F.struct(*(F.array_position(trimmed, F.lit(h)).cast("int").alias(f"h{i}") for i, h in enumerate(headers)), F.size("_raw").alias("width"))
     head = lines.where("_is_header").groupBy(F.col("file_name").alias("_file")).agg(F.min_by(places, "_no").alias("_at"))
-    rows = lines.where(~F.col("_is_header")).join(head, F.col("file_name") == F.col("_file"), "left")
+    # one row a file: broadcast, or all cells of all lines would be shuffled by their file
+    rows = lines.where(~F.col("_is_header")).join(F.broadcast(head), F.col("file_name") == F.col("_file"), "left")
     refused = (F.when(F.length(F.array_join("_raw", ",")) != F.length("line"), "quotes").when(F.col("_file").isNull(), "header")
                .when(F.size("_raw") > F.col("_at.width"), "width"))
     value = lambda i: F.when(F.col(f"_at.h{i}") > 0, _cell(F.get("_raw", F.col(f"_at.h{i}") - 1)))
