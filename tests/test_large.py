@@ -78,3 +78,13 @@ def test_cells_are_not_shuffled_to_their_header(spark, tmp_path):
         assert "SortMergeJoin" not in plan(named) and "BroadcastHashJoin" in plan(named)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_batches_are_not_kept(spark, tmp_path, monkeypatch):
+    """The stream cuts its files' lines again rather than keep all cells on the executors."""
+    folder = _files(tmp_path, spark)
+    df = spark.range(1)
+    monkeypatch.setattr(type(df), "persist", lambda *a: pytest.fail("kept"))
+    got = incremental_ingest(spark, folder, str(tmp_path / "table"), str(tmp_path / "ck"))
+    assert sorted((r.receipt_id, r.actual_revenue) for r in got.collect()) == [("r1", 1.0), ("r2", 1.0), ("r3", 1.0), ("r9", 2.0)]
+    assert got.where(F.col("year") == 2025).count() == 4
