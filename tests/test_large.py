@@ -88,3 +88,11 @@ def test_batches_are_not_kept(spark, tmp_path, monkeypatch):
     got = incremental_ingest(spark, folder, str(tmp_path / "table"), str(tmp_path / "ck"))
     assert sorted((r.receipt_id, r.actual_revenue) for r in got.collect()) == [("r1", 1.0), ("r2", 1.0), ("r3", 1.0), ("r9", 2.0)]
     assert got.where(F.col("year") == 2025).count() == 4
+
+
+def test_a_receipts_lines_lie_together_when_dealt(spark):
+    """Parts are joined before orders, and the receipt's text is made after the deal by month."""
+    text = plan(testmodel.raw_lines(spark, SF, MonthParts(3, 5)))
+    by = re.findall(r"Join \[(\w+)#", text)  # outermost first
+    assert by.index("l_orderkey") < by.index("l_partkey")
+    assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(receipt_id" not in text

@@ -60,5 +60,5 @@ def dedup_latest_file(df: DataFrame, key=None) -> DataFrame:
     within = [c for c in MonthParts.COLUMNS if c in df.columns] if "month_part" in df.columns else []
     ordered = {"file_end": F.date_from_unix_date(-F.col("_w.o2")), "file_name": F.when(~F.col("_w.o5"), F.col("_w.o3")), "row_seq": F.col("_w.o4")}
     rest = [c for c in df.columns if c not in (*key, *within, *ordered)]
-    won = df.groupBy(*within, *key).agg(F.min(F.struct(*dedup_order(), *rest)).alias("_w"))
+    won = df.groupBy(*key, *within).agg(F.min(F.struct(*dedup_order(), *rest)).alias("_w"))
     return won.select(*((ordered[c] if c in ordered else F.col(f"_w.{c}") if c in rest else F.col(c)).alias(c) for c in df.columns))

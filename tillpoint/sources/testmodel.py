@@ -43,13 +43,15 @@ def _lit_array(values):
 def raw_lines(spark: SparkSession, sf_dir: str, months: MonthParts | None = None) -> DataFrame:
     """Raw sales lines (pre-normalisation) built from the driver tables.
 
-    Joins: customers to orders (a quarter of the lines), then lines to orders,
-    big-big, while lines are keys and numbers alone, and by the receipt's text:
-    what follows by receipt needs no shuffle of its own unless part's size does;
-    part and supplier last (sizes decided by AQE; nation and region are 25 and 5
-    rows by definition).
+    Joins: parts to the lines' keys and numbers, customers to orders (a quarter of
+    the lines), then lines to orders, big-big and after the parts, whatever their
+    size: a receipt's lines lie together from there on, so what follows by receipt
+    needs no shuffle of its own, and one by month compresses what they share.
+    Suppliers last (size decided by AQE; nation and region are 25 and 5 rows by
+    definition).
     `months` deals the lines by month while they are still keys and numbers,
-    before the texts and amounts of a sales line are made of them.
+    before the texts and amounts of a sales line are made of them, the receipt's
+    text too; without it lines meet their orders by that text.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -68,14 +70,15 @@ def raw_lines(spark: SparkSession, sf_dir: str, months: MonthParts | None = None
 
     hours = ((F.col("o_orderkey") * 7 + 3) % 14 + 8).cast("int")
     o = o.join(cu, F.col("o_custkey") == cu.c_custkey, "left").select(
-        F.col("o_orderkey").cast("string").alias("_receipt"), F.col("o_custkey"), "c_name",
+        F.col("o_orderkey").cast("bigint" if months else "string").alias("_order"), F.col("o_custkey"), "c_name",
         F.timestamp_add("HOUR", hours, F.col("o_orderdate").cast("timestamp_ntz")).alias("completed_at"))
-    li = li.withColumn("receipt_id", F.col("l_orderkey").cast("string"))
-    df = (li.join(o.hint("merge"), F.col("receipt_id") == F.col("_receipt")).drop("_receipt")
-          .join(p, li.l_partkey == p.p_partkey, "left")
-          .join(geo, li.l_suppkey == geo.s_suppkey, "left").drop("s_suppkey"))
+    li = li.join(p, li.l_partkey == p.p_partkey, "left").drop("p_partkey")
+    if not months:
+        li = li.withColumn("receipt_id", F.col("l_orderkey").cast("string"))
+    df = (li.join(o.hint("merge"), F.col("l_orderkey" if months else "receipt_id") == F.col("_order")).drop("_order")
+          .join(geo, F.col("l_suppkey") == geo.s_suppkey, "left").drop("s_suppkey"))
     if months:
-        df = months.deal(df, "receipt_id")
+        df = months.deal(df, "l_orderkey").withColumn("receipt_id", F.col("l_orderkey").cast("string"))
 
     cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
     pct = F.rint(F.col("l_discount") * 100).cast("int") * 4
@@ -96,7 +99,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, months: MonthParts | None = None
     def money(x):
         return F.col(x).cast("double") / 100.0
 
-    pk = F.col("p_partkey")
+    pk = F.col("l_partkey")  # without a part, its texts are null
     product = F.concat(
         F.col("p_name"), F.lit(" #"), pk.cast("string"),
         F.when(pk % 97 == 0, F.lit(" Tester")).otherwise(F.lit("")),
