@@ -96,3 +96,15 @@ def test_a_receipts_lines_lie_together_when_dealt(spark):
     by = re.findall(r"Join \[(\w+)#", text)  # outermost first
     assert by.index("l_orderkey") < by.index("l_partkey")
     assert "hashpartitioning(l_orderkey" in text and "hashpartitioning(receipt_id" not in text
+
+
+def test_receipts_are_counted_without_the_sums(spark):
+    """What is shuffled by receipt holds no sums."""
+    lines = spark.createDataFrame(
+        [("1", "S", "B", "C", 1.0, 0.5, 2, 0.5, 0.5, 1.5, "One, Two"), ("1", "S", "B", "C", 1.0, 0.5, 2, 0.5, 0.5, 1.5, "One"), (None, "S", "B", "C", 3.0, 0.5, 2, 0.5, 0.5, 1.5, "Three")],
+        "receipt_id string, store_clean string, brand_clean string, category_clean string, actual_revenue double, discounts double, quantity int, cost double, "
+        "net_profit double, pre_discount_revenue double, deals_used string")
+    for df, uses in ((deals.deal_summary(lines), "times_used"), (deals.deal_summary_by_store(lines), "times_used"), (deals.promo_effectiveness(lines), "uses")):
+        by_receipt = re.findall(r"Aggregate\(keys=\[[^\]]*receipt_id[^\]]*\], functions=\[([^\]]*)\]", plan(df))
+        assert by_receipt and not any(by_receipt)
+        assert sorted((r.deal_name, r[uses], r.revenue) for r in df.collect()) == [("One", 1, 1.5), ("Three", 0, 3.0), ("Two", 1, 0.5)]

@@ -46,10 +46,14 @@ def _split_sum(x: str):
     return r((upper * F.lit(1 << 32).cast("decimal(10,0)") + lower).cast("double") / 1e8, 4)
 
 
-def _deal_aggs(uses_name: str = "times_used") -> list:
+def _per_deal(x: DataFrame, keys: list[str], uses: str, sums: list) -> DataFrame:
+    """(*keys, uses, *sums). Receipts are counted apart: counted with the sums, all of these are shuffled with every receipt."""
+    return x.groupBy(*keys).agg(F.countDistinct("receipt_id").alias(uses)).join(x.groupBy(*keys).agg(*sums), keys)
+
+
+def _deal_sums() -> list:
     # split values are sums of fractions of cents: shown to 4 decimals
     return [
-        F.countDistinct("receipt_id").alias(uses_name),
         _split_sum("quantity").alias("units"),
         _split_sum("revenue").alias("revenue"),
         _split_sum("discounts").alias("discounts"),
@@ -68,7 +72,7 @@ def _deal_ratios() -> list:
 
 def deal_summary(regular: DataFrame, top_n: int | None = 50) -> DataFrame:
     """Per deal; ranked by distinct receipts (ties by name); top N."""
-    g = expand_deals(regular).groupBy("deal_name").agg(*_deal_aggs())
+    g = _per_deal(expand_deals(regular), ["deal_name"], "times_used", _deal_sums())
     out = g.select("*", *_deal_ratios())
     if top_n:
         w = Window.orderBy(F.desc("times_used"), "deal_name")
@@ -89,8 +93,7 @@ def deal_type_summary(regular: DataFrame) -> DataFrame:
 
 def deal_summary_by_store(regular: DataFrame, top_n: int = 10) -> DataFrame:
     """Top N deals per store (WindowGroupLimit on row_number)."""
-    g = (expand_deals(regular).where(F.col("store").isNotNull())
-         .groupBy("store", "deal_name").agg(*_deal_aggs()[:6]))
+    g = _per_deal(expand_deals(regular).where(F.col("store").isNotNull()), ["store", "deal_name"], "times_used", _deal_sums()[:5])
     g = g.select("store", "deal_name", "times_used", "units", "revenue", "discounts", "cost",
                  r(safe_div(F.col("revenue") - F.col("cost"), F.col("revenue")) * 100, 1).alias("margin"))
     w = Window.partitionBy("store").orderBy(F.desc("times_used"), "deal_name")
@@ -125,10 +128,8 @@ def promo_lift(regular: DataFrame) -> DataFrame:
 
 def promo_effectiveness(regular: DataFrame, top_n: int = 20) -> DataFrame:
     """Per brand x deal uses, margin, depth; top N per brand."""
-    g = (expand_deals(regular).where(F.col("brand").isNotNull()).groupBy("brand", "deal_name").agg(
-        F.countDistinct("receipt_id").alias("uses"), _split_sum("revenue").alias("revenue"),
-        _split_sum("discounts").alias("discounts"), _split_sum("quantity").alias("units"),
-        _split_sum("cost").alias("cost")))
+    g = _per_deal(expand_deals(regular).where(F.col("brand").isNotNull()), ["brand", "deal_name"], "uses",
+                  [_split_sum(x).alias(n) for x, n in (("revenue", "revenue"), ("discounts", "discounts"), ("quantity", "units"), ("cost", "cost"))])
     g = g.select("*", r(safe_div(F.col("revenue") - F.col("cost"), F.col("revenue")) * 100, 1).alias("margin"),
                  discount_rate(F.col("discounts"), F.col("revenue")).alias("discount_depth"))
     w = Window.partitionBy("brand").orderBy(F.desc("uses"), "deal_name")
