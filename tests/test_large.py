@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import SF
 from tillpoint.functions import fixed
 from tillpoint.operators import deals
+from tillpoint.plans import rollup
 from tillpoint.plans.curate import curate
 from tillpoint.plans.dedup import MonthParts, dedup_latest_file
 from tillpoint.sources import inbox, pos_csv, testmodel
@@ -108,3 +109,19 @@ def test_receipts_are_counted_without_the_sums(spark):
         by_receipt = re.findall(r"Aggregate\(keys=\[[^\]]*receipt_id[^\]]*\], functions=\[([^\]]*)\]", plan(df))
         assert by_receipt and not any(by_receipt)
         assert sorted((r.deal_name, r[uses], r.revenue) for r in df.collect()) == [("One", 1, 1.5), ("Three", 0, 3.0), ("Two", 1, 0.5)]
+
+
+def test_rollup_writes_ids_with_their_months(spark, monkeypatch):
+    """Nothing by month, store, receipt and customer is written: a row a month and store, and one an id."""
+    facts = spark.createDataFrame(
+        [(202501, "A", "r1", "c1", 1.0, 1), (202501, "B", "r1", "c1", 2.0, 1), (202501, None, "r2", None, 3.0, None), (202502, "A", "r3", "c1", None, 1), (202502, "C", None, None, 1.0, 1)],
+        "ym int, store_clean string, receipt_id string, customer_id string, actual_revenue double, quantity int").selectExpr(
+        "*", "actual_revenue AS net_profit", "actual_revenue AS cost", "actual_revenue AS discounts")
+    written, real = {}, rollup.materialize
+    monkeypatch.setattr(rollup, "materialize", lambda s, df, name, by=None: written.setdefault(name, real(s, df, name, by)))
+    up = rollup.merged(rollup.empty_rollup(spark), facts)
+    assert written["rollup-base"].count() == 5 and written["rollup-numbered"].count() == up.ids.count() == 4
+    got = {(r.ym, r.store): (r.transactions, r.customers) for r in rollup.exact_counts(up, ["ym", "store"]).collect()}
+    assert got == {(202501, "A"): (1, 1), (202501, "B"): (1, 1), (202501, None): (1, 0), (202502, "A"): (1, 1)}
+    near = {(r.ym, r.store, r.kind) for r in up.sketches.collect()}
+    assert near == {(*k, kind) for k, v in got.items() for kind, n in zip(("transactions", "customers"), v) if n}

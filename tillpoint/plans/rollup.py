@@ -1,4 +1,4 @@
-"""T1-T3 from stored month results that merge: the facts are read once, at the build.
+"""T1-T3 from stored month results that merge: the facts are read at the build alone.
 
 Four tables, by month (``ym``) and store:
 
@@ -52,34 +52,47 @@ def empty_rollup(spark: SparkSession) -> Rollup:
 
 
 def numbered(new: DataFrame, start: int) -> DataFrame:
-    """(kind, id, first) -> (kind, id, code): consecutive numbers from `start`, by kind and first month."""
+    """(kind, id, first, *others) -> (kind, id, code, *others): consecutive numbers from `start`, by kind and first month."""
     order = ["kind", "first", "id"]
+    others = [c for c in new.columns if c not in order]
     placed = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = materialize(new.sparkSession, placed, "rollup-numbered", None)
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # one row a partition
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    return placed.withColumn("part", part).join(F.broadcast(starts), "part").select("kind", "id", (F.col("start") + place + start).alias("code"))
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").select("kind", "id", (F.col("start") + place + start).alias("code"), *others)
 
 
 def merged(old: Rollup, facts: DataFrame) -> Rollup:
-    """The roll-up with the months of `facts` (regular lines) in place of what it held for them."""
+    """The roll-up with the months of `facts` (regular lines) in place of what it held for them.
+
+    The facts are read twice: into a row a month and store, and into a row an id with the months and stores it was in (at most all of
+    them), which is shuffled once and keeps them while ids are numbered.
+    """
     spark = facts.sparkSession
     save = lambda df, name: materialize(spark, df, f"rollup-{name}", None)
-    # the one read of the facts: a row a month, store, receipt and customer
-    base = save(facts.groupBy("ym", F.col("store_clean").alias("store"), *KINDS.values()).agg(
+    facts = facts.withColumn("store", F.col("store_clean"))
+    base = save(facts.groupBy(*KEYS).agg(
         *(F.coalesce(F.sum(cents(c)), F.lit(0)).alias(k) for k, c in MONEY.items()),
-        F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units"), F.count(F.lit(1)).alias("lines")), "base")
+        F.coalesce(F.sum("quantity"), F.lit(0)).cast("bigint").alias("units"), F.count(F.lit(1)).alias("lines"),
+        F.array(*(F.struct(F.lit(k).alias("kind"), F.count(c).alias("n"), F.hll_sketch_agg(c, LG_K).alias("sketch")) for k, c in KINDS.items())).alias("sketches")), "base")
     months = [x.ym for x in base.select("ym").distinct().collect()]  # one row a month
     kept = old.where(~F.col("ym").isin(months)) if months else old
-    cells = base.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in (*MONEY, "units", "lines")))
-    present = [base.select(*KEYS, F.lit(k).alias("kind"), F.col(c).alias("id")).where(F.col("id").isNotNull()).distinct() for k, c in KINDS.items()]
-    present = save(present[0].union(present[1]), "present")
-    new = present.groupBy("kind", "id").agg(F.min("ym").alias("first")).join(old.ids, ["kind", "id"], "left_anti")
+    cells = base.select(*KEYS, *MONEY, "units", "lines")
+    sketches = base.select(*KEYS, F.inline("sketches")).where("n > 0").drop("n")
+    there = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("id")) for k, c in KINDS.items()))
+    seen = facts.select(*KEYS, F.inline(there)).where("id is not null").groupBy("kind", "id").agg(F.collect_set(F.struct(*KEYS)).alias("seen"))
     last = old.ids.agg(F.max("code")).first()[0]
-    ids = save(old.ids.union(numbered(new, 0 if last is None else last + 1)), "ids")
-    coded = present.join(ids, ["kind", "id"])
+    known = None
+    if last is not None:
+        seen = save(seen, "seen")
+        known = seen.join(old.ids, ["kind", "id"]).select("kind", "code", "seen")
+        seen = seen.join(old.ids, ["kind", "id"], "left_anti")
+    new = numbered(seen.withColumn("first", F.array_min("seen.ym")), 0 if last is None else last + 1)
+    ids = save(old.ids.union(new.select("kind", "id", "code")), "ids")
+    coded = new.select("kind", "code", "seen")
+    coded = (coded if known is None else coded.union(known)).select("kind", "code", F.inline("seen"))
     bucket, place = F.shiftright("code", BUCKET_BITS), F.col("code").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
     lists = coded.groupBy(*KEYS, "kind", bucket.alias("bucket")).agg(F.collect_list(place).alias("few"))  # at most a bucket's numbers
     lists = save(lists, "lists")
@@ -87,7 +100,6 @@ def merged(old: Rollup, facts: DataFrame) -> Rollup:
     dense = lists.where(~sparse).select(*KEYS, "kind", "bucket", F.explode("few").alias("p")).groupBy(*KEYS, "kind", "bucket").agg(
         F.bitmap_construct_agg(F.col("p").cast("bigint")).alias("bits")).select("*", F.lit(None).cast("array<int>").alias("few"))
     distinct = dense.unionByName(lists.where(sparse).withColumn("bits", F.lit(None).cast("binary")))
-    sketches = present.groupBy(*KEYS, "kind").agg(F.hll_sketch_agg("id", LG_K).alias("sketch"))
     return Rollup(save(kept.cells.unionByName(cells), "cells"), ids, save(kept.distinct.unionByName(distinct.select(*kept.distinct.columns)), "distinct"),
                   save(kept.sketches.unionByName(sketches), "sketches"))
 
