@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from tillpoint.functions import fixed
-from tillpoint.operators import deals
+from tillpoint.operators import deals, products
 from tillpoint.plans import rollup
 from tillpoint.plans.curate import curate
 from tillpoint.plans.dedup import MonthParts, dedup_latest_file
@@ -125,3 +125,23 @@ def test_rollup_writes_ids_with_their_months(spark, monkeypatch):
     assert got == {(202501, "A"): (1, 1), (202501, "B"): (1, 1), (202501, None): (1, 0), (202502, "A"): (1, 1)}
     near = {(r.ym, r.store, r.kind) for r in up.sketches.collect()}
     assert near == {(*k, kind) for k, v in got.items() for kind, n in zip(("transactions", "customers"), v) if n}
+
+
+def test_product_kpis_add_up_the_facts_once(spark, monkeypatch):
+    """L1, L2 and L3 from one row a product equal those from the facts; stores are counted without distinct counts."""
+    d = datetime.date
+    sales = spark.createDataFrame(
+        [("a", "S", d(2025, 1, 1), 1.0, "B", 1), ("a", None, d(2025, 1, 2), 2.0, "A", 1), ("a", "T", d(2025, 1, 3), None, None, None), ("b", "S", d(2025, 1, 1), 4.0, "B", 2),
+         ("b", "T", d(2025, 6, 1), 5.0, "C", 3), ("b", "T", d(2025, 5, 10), 5.0, "C", 9), ("c", None, d(2025, 1, 1), 6.0, "B", 1), (None, "S", d(2025, 6, 30), 1.0, "B", 1)],
+        "product string, store_clean string, sale_date date, actual_revenue double, brand_clean string, quantity int").selectExpr(
+        "*", "actual_revenue AS net_profit", "actual_revenue / 2 AS cost", "lower(brand_clean) AS category_clean")
+    dead = products.dead_stock(sales, top_n=None)
+    assert "Expand" not in plan(dead)
+    assert [(r.product, r.brand, r.total_revenue, r.stores_active, r.stores_inactive) for r in dead.orderBy("rank").collect()] == [("c", "B", 6.0, 0, 0), ("a", "A", 3.0, 0, 2)]
+    made = products.product_facts(sales)
+    for f in (lambda p: products.abc_classification(sales, p), lambda p: products.dead_stock(sales, top_n=None, products=p), lambda p: products.velocity_trends(sales, products=p)):
+        assert sorted(map(tuple, f(None).collect()), key=repr) == sorted(map(tuple, f(made).collect()), key=repr)
+    asked = []
+    monkeypatch.setattr(products, "product_stats", lambda *a: pytest.fail("facts added up again"))
+    monkeypatch.setattr(products, "materialize", lambda s, df, *a: asked.append(a) or df)
+    assert products.product_kpis(sales).first().dead_stock_count == 2 and len(asked) == 1
