@@ -10,8 +10,8 @@ from conftest import SF
 from tillpoint.functions import fixed
 from tillpoint.operators import deals, products
 from tillpoint.plans import rollup
-from tillpoint.plans.curate import curate
-from tillpoint.plans.dedup import MonthParts, dedup_latest_file
+from tillpoint.plans.curate import curate, load_sales
+from tillpoint.plans.dedup import MonthParts, ReceiptParts, dedup_latest_file
 from tillpoint.sources import inbox, pos_csv, testmodel
 from tillpoint.streaming.ingest import incremental_ingest
 
@@ -145,3 +145,50 @@ def test_product_kpis_add_up_the_facts_once(spark, monkeypatch):
     monkeypatch.setattr(products, "product_stats", lambda *a: pytest.fail("facts added up again"))
     monkeypatch.setattr(products, "materialize", lambda s, df, *a: asked.append(a) or df)
     assert products.product_kpis(sales).first().dead_stock_count == 2 and len(asked) == 1
+
+
+def test_lines_left_by_receipt_are_the_same_and_shuffled_by_part_and_receipt_alone(spark):
+    """D1 and the table follow where lines met their receipts, by one sort; suppliers are not shuffled to the lines."""
+    plain = curate(testmodel.raw_lines(spark, SF), testmodel.TEST_CATEGORY_ALIASES)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for parts in (ReceiptParts(None), ReceiptParts(20)):
+            left = curate(testmodel.raw_lines(spark, SF, parts), testmodel.TEST_CATEGORY_ALIASES)
+            text = plan(left.sortWithinPartitions("year", "month"))
+            by = set(re.findall(r"Exchange hashpartitioning\(([a-z_]+)", text))
+            assert by == {"l_partkey", "p_partkey", "l_orderkey", "_order", "o_custkey", "c_custkey"}
+            assert len(re.findall(r"Sort \[year", text)) == 1
+            assert ("hashpartitioning(l_orderkey#" in text) and (parts.partitions is None or re.search(r"l_orderkey#\d+L, 20\)", text))
+            assert left.exceptAll(plain).count() == plain.exceptAll(left).count() == 0 and plain.count() > 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_partitions_by_receipt_follow_the_lines():
+    assert ReceiptParts.for_lines(1000) == ReceiptParts(None)
+    assert ReceiptParts.for_lines(216_000_000) == ReceiptParts(540)
+
+
+def test_table_keeps_each_winner_and_is_sorted_by_month(spark, tmp_path):
+    """Keys that repeat or are null, lines without part, order or supplier: the table is D1 of the plain lines, in files sorted by month."""
+    t = datetime.datetime(2025, 1, 31, 20)
+    tables = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp_ntz",
+                     [(o, p, s, n, 2.0, 10.0 * o, 0.1, x, t) for o in (1, 2, 3, 9) for p, s, n, x in ((1, 1, 2, 0.1), (1, 2, 1, 0.1), (2, 1, 3, 0.1), (7, 1, 1, 0.2), (8, 1, 1, 0.1), (None, 1, 4, None), (2, None, 5, 0.1), (2, 5, 3, 0.1))]
+                     + [(None, 1, 1, 1, 1.0, 1.0, 0.0, 0.0, t), (1, 1, 2, 1, 2.0, 10.0, 0.1, 0.1, t)]),
+        "orders": ("o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
+                   [(1, 1, datetime.datetime(2025, 3, 1)), (1, 1, datetime.datetime(2025, 2, 1)), (2, None, datetime.datetime(2025, 1, 1)), (2, 1, datetime.datetime(2025, 1, 1)), (3, 8, None), (None, 1, t)]),
+        "customer": ("c_custkey long, c_name string", [(1, "C"), (1, "D"), (None, "E")]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_type string", [(1, "a", "X", "PROMO"), (2, "b", None, "STANDARD"), (2, None, "Y", "STANDARD"), (None, "c", "Z", "PROMO")]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey long", [(1, "S", 1), (2, "T", 2), (2, "U", 1), (None, "V", 1)]),
+        "nation": ("n_nationkey long, n_regionkey long", [(1, 1), (2, 2)]),
+        "region": ("r_regionkey long, r_name string", [(1, "ASIA"), (2, "EUROPE")])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    plain = curate(testmodel.raw_lines(spark, str(tmp_path)), testmodel.TEST_CATEGORY_ALIASES)
+    table = load_sales(spark, str(tmp_path))
+    assert table.columns == plain.columns and table.exceptAll(plain).count() == plain.exceptAll(table).count() == 0
+    assert table.count() == plain.count() == 9
+    for path in table.inputFiles():  # whole files, not a folder a month
+        months = [r.ym for r in spark.read.parquet(path).select("ym").coalesce(1).collect()]
+        assert "month=" not in path and months == sorted(months)

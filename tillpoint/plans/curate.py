@@ -1,9 +1,10 @@
 """Curated ``sales`` fact table: normalise -> dedup -> classify -> cost-correct.
 
-One lazy plan with one shuffle of whole lines (by month, for the D1 dedup and
-the table's partitions). ``load_sales`` materialises
-it once per session as Parquet partitioned by ``year, month`` in the shared
-checkpoint folder, so every report reads a pruned, column-projected scan and
+One lazy plan whose lines are shuffled by part and by receipt, while they are
+keys and numbers; D1 and the table follow where a receipt's lines met.
+``load_sales`` materialises it once per session as Parquet, each file sorted by
+``year, month``, in the shared checkpoint folder, so every report reads a
+column-projected scan that skips the pages of other months and
 the lineage to the raw inputs is cut (an executor loss re-reads Parquet, it
 does not redo the joins and the dedup).
 """
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tillpoint.functions import clean
 from tillpoint.functions.expr import msum
-from tillpoint.plans.dedup import MonthParts, dedup_latest_file
+from tillpoint.plans.dedup import ReceiptParts, dedup_latest_file
 from tillpoint.session import scratch_path
 from tillpoint.sources.tables import read_table
 
@@ -96,12 +97,12 @@ def load_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         hit = _CACHE.get(key)
         if hit is not None:
             return hit
-        months = MonthParts.for_lines(spark, read_table(spark, sf_dir, "lineitem").count())
-        raw = testmodel.raw_lines(spark, sf_dir, months)
+        receipts = ReceiptParts.for_lines(read_table(spark, sf_dir, "lineitem").count())
+        raw = testmodel.raw_lines(spark, sf_dir, receipts)
         df = curate(raw, category_aliases=testmodel.TEST_CATEGORY_ALIASES)
-        # dealt by month before D1: no second shuffle of the finished lines
+        # where D1 left them, by month: neither a shuffle nor a sort of the finished lines
         path = scratch_path(spark, "sales")
-        df.write.option("compression", "zstd").partitionBy("year", "month").parquet(path)
+        df.sortWithinPartitions("year", "month").write.option("compression", "zstd").parquet(path)
         out = spark.read.parquet(path).select(*df.columns)
         _CACHE[key] = out
         return out

@@ -43,6 +43,31 @@ class MonthParts:
         return lines.repartition(*([self.partitions] if self.partitions else []), *self.COLUMNS)
 
 
+@dataclass(frozen=True)
+class ReceiptParts:
+    """How lines that meet their receipts by a shuffle stay where they met: it serves D1 too, whose key determines the receipt, and the table.
+    `partitions` where the session's settings would make them too large for a task's memory."""
+
+    partitions: int | None
+
+    #: Functions of the key, in the order the table is sorted by: D1 within them is D1.
+    COLUMNS: ClassVar[tuple[str, ...]] = ("year", "month", "receipt_number")
+
+    @classmethod
+    def for_lines(cls, n: int) -> ReceiptParts:
+        """For `n` lines: about 400 000 a partition, however many partitions the session asks for or gathers."""
+        return cls(n // 400_000 if n > 8_000_000 else None)
+
+    def gather(self, rows: DataFrame, key: str) -> DataFrame:
+        """`rows` by the receipt's number `key`, as a join on it needs them; to be called on both sides of the join."""
+        return rows.repartition(self.partitions, key) if self.partitions else rows
+
+    def deal(self, lines: DataFrame, key: str) -> DataFrame:
+        """`lines` with COLUMNS, where they are; `key` is the number they were joined by."""
+        return lines.where(F.col("completed_at").isNotNull()).withColumns(
+            {"year": F.year("completed_at"), "month": F.month("completed_at"), "receipt_number": F.col(key)})
+
+
 def dedup_order() -> list[Column]:
     """The ordering, ahead of a line's other columns: smaller wins."""
     return [
@@ -55,10 +80,10 @@ def dedup_order() -> list[Column]:
 
 
 def dedup_latest_file(df: DataFrame, key=None) -> DataFrame:
-    """One row a key. Lines that `MonthParts` dealt are kept where they are."""
+    """One row a key. Lines that `MonthParts` or `ReceiptParts` dealt are kept where they are, sorted by what they were dealt by."""
     key = list(key or DEDUP_KEY)
-    within = [c for c in MonthParts.COLUMNS if c in df.columns] if "month_part" in df.columns else []
+    within = next((list(by.COLUMNS) for by in (MonthParts, ReceiptParts) if by.COLUMNS[-1] in df.columns), [])
     ordered = {"file_end": F.date_from_unix_date(-F.col("_w.o2")), "file_name": F.when(~F.col("_w.o5"), F.col("_w.o3")), "row_seq": F.col("_w.o4")}
     rest = [c for c in df.columns if c not in (*key, *within, *ordered)]
-    won = df.groupBy(*key, *within).agg(F.min(F.struct(*dedup_order(), *rest)).alias("_w"))
+    won = df.groupBy(*within, *key).agg(F.min(F.struct(*dedup_order(), *rest)).alias("_w"))
     return won.select(*((ordered[c] if c in ordered else F.col(f"_w.{c}") if c in rest else F.col(c)).alias(c) for c in df.columns))

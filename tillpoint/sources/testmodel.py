@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillpoint.plans.dedup import MonthParts
+from tillpoint.plans.dedup import MonthParts, ReceiptParts
 from tillpoint.sources.tables import read_table
 
 # --- FIXED VALUES: test-model vocabularies --------------------------------
@@ -35,23 +35,26 @@ SEGMENT_GROUPS = {
 }
 TEST_CATEGORY_ALIASES = {"PROMO": "STANDARD"}
 
+#: Suppliers that are handed to all executors (key and two short texts each: about 100 MB).
+MOST_SUPPLIERS = 1_000_000
+
 
 def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def raw_lines(spark: SparkSession, sf_dir: str, months: MonthParts | None = None) -> DataFrame:
+def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts | None = None) -> DataFrame:
     """Raw sales lines (pre-normalisation) built from the driver tables.
 
     Joins: parts to the lines' keys and numbers, customers to orders (a quarter of
     the lines), then lines to orders, big-big and after the parts, whatever their
     size: a receipt's lines lie together from there on, so what follows by receipt
     needs no shuffle of its own, and one by month compresses what they share.
-    Suppliers last (size decided by AQE; nation and region are 25 and 5 rows by
-    definition).
-    `months` deals the lines by month while they are still keys and numbers,
-    before the texts and amounts of a sales line are made of them, the receipt's
-    text too; without it lines meet their orders by that text.
+    Suppliers last (size decided by AQE, or by their number where lines stay by
+    receipt; nation and region are 25 and 5 rows by definition).
+    `dealt` leaves the lines by receipt or deals them by month while they are still
+    keys and numbers, before the texts and amounts of a sales line are made of them,
+    the receipt's text too; without it lines meet their orders by that text.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -70,15 +73,19 @@ def raw_lines(spark: SparkSession, sf_dir: str, months: MonthParts | None = None
 
     hours = ((F.col("o_orderkey") * 7 + 3) % 14 + 8).cast("int")
     o = o.join(cu, F.col("o_custkey") == cu.c_custkey, "left").select(
-        F.col("o_orderkey").cast("bigint" if months else "string").alias("_order"), F.col("o_custkey"), "c_name",
+        F.col("o_orderkey").cast("bigint" if dealt else "string").alias("_order"), F.col("o_custkey"), "c_name",
         F.timestamp_add("HOUR", hours, F.col("o_orderdate").cast("timestamp_ntz")).alias("completed_at"))
     li = li.join(p, li.l_partkey == p.p_partkey, "left").drop("p_partkey")
-    if not months:
+    if not dealt:
         li = li.withColumn("receipt_id", F.col("l_orderkey").cast("string"))
-    df = (li.join(o.hint("merge"), F.col("l_orderkey" if months else "receipt_id") == F.col("_order")).drop("_order")
+    elif isinstance(dealt, ReceiptParts):
+        if s.count() <= MOST_SUPPLIERS:  # else they may be shuffled with the lines, and these once more by receipt
+            geo = F.broadcast(geo)
+        li, o = dealt.gather(li.withColumn("l_orderkey", F.col("l_orderkey").cast("bigint")), "l_orderkey"), dealt.gather(o, "_order")
+    df = (li.join(o.hint("merge"), F.col("l_orderkey" if dealt else "receipt_id") == F.col("_order")).drop("_order")
           .join(geo, F.col("l_suppkey") == geo.s_suppkey, "left").drop("s_suppkey"))
-    if months:
-        df = months.deal(df, "l_orderkey").withColumn("receipt_id", F.col("l_orderkey").cast("string"))
+    if dealt:
+        df = dealt.deal(df, "l_orderkey").withColumn("receipt_id", F.col("l_orderkey").cast("string"))
 
     cents = F.rint(F.col("l_extendedprice") * 100).cast("long")
     pct = F.rint(F.col("l_discount") * 100).cast("int") * 4
@@ -133,7 +140,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, months: MonthParts | None = None
         F.lit(None).cast("date").alias("file_end"),
         F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                  "l_shipdate").alias("row_seq"),
-        *(months.COLUMNS if months else []),
+        *(dealt.COLUMNS if dealt else []),
     )
     return out
 
