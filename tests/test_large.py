@@ -192,3 +192,45 @@ def test_table_keeps_each_winner_and_is_sorted_by_month(spark, tmp_path):
     for path in table.inputFiles():  # whole files, not a folder a month
         months = [r.ym for r in spark.read.parquet(path).select("ym").coalesce(1).collect()]
         assert "month=" not in path and months == sorted(months)
+
+
+def test_inbox_deals_keys_and_numbers_to_its_files(spark, tmp_path):
+    """Texts are made after the shuffle by file, lines are neither held in a window nor sorted twice; the files are those of the plain lines."""
+    text = plan(inbox.sales_lines(spark, SF))
+    assert "Window" not in text and len(re.findall(r"hashpartitioning\(name#", text)) == 1
+    above, below = text.split("Exchange hashpartitioning(name#", 1)
+    assert above.count("Sort [") == 1 and "concat_ws" in above and "concat_ws" not in below
+    folder = inbox.write_sales_inbox(spark, SF, early=True).removeprefix("file:")
+    got = {f: open(os.path.join(folder, f)).read().splitlines() for f in os.listdir(folder) if f.endswith(".csv")}
+    assert all(x[0].startswith('"Receipt ID","Order Type"') and '"Receipt ID"' not in "".join(x[1:]) for x in got.values())
+    raw = testmodel.raw_lines(spark, SF).select("receipt_id", "product", F.date_format("completed_at", "MM/dd/yyyy").alias("at"), "row_seq", F.col("cost").cast("decimal(14,2)").alias("cost"),
+                                                F.col("net_profit").cast("decimal(14,2)").alias("net_profit")).orderBy("row_seq").collect()
+    want = {}
+    for r in raw:
+        want.setdefault(f"{r.at[6:]}-{r.at[:2]}-01", []).append((r.receipt_id, r.product, r.at, f"${r.net_profit}", f"${r.cost}"))
+    cells = lambda lines: [(x[0], x[7], x[3][:10], x[14], x[15]) for x in __import__("csv").reader(lines)]
+    months = {f[14:24]: x for f, x in got.items() if not f.endswith("-15.csv")}
+    assert {k: cells(x[1:]) for k, x in months.items()} == want
+    early = {f[14:24]: x for f, x in got.items() if f.endswith("-15.csv")}
+    assert set(early) == {k for k in want if k[5:7] == "03"} and all(x[1:] == [y.replace("$", "$9") for y in months[k][1:]] for k, x in early.items())
+
+
+def test_money_texts(spark):
+    values = [0.0, -0.0, 0.07, -0.5, -0.05, 12.3, -1234.05, 99999999.99, 100.0, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", inbox._money("x").alias("m"), F.concat(F.lit("$"), F.col("x").cast("decimal(14,2)").cast("string")).alias("want"))
+    assert all(r.m == r.want for r in df.collect())
+
+
+def test_lines_are_cut_and_parsed_once_by_code_that_compiles(spark, tmp_path):
+    """A time is parsed once, whatever is asked of it; no generated method is too long for the JVM to compile."""
+    read = pos_csv.accepted(pos_csv.read_sales_csv(spark, _files(tmp_path, spark)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        lines = curate(read, testmodel.TEST_CATEGORY_ALIASES)
+        assert plan(lines).count("gettimestamp(") == 1
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(lines.select("receipt_id", "actual_revenue", "net_profit", "cost")._jdf.queryExecution().executedPlan()))
+        assert sizes and max(map(int, sizes)) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sorted((r.receipt_id, r.actual_revenue) for r in read.collect()) == [("r1", 1.0), ("r2", 1.0), ("r3", 1.0), ("r9", 2.0)]

@@ -10,7 +10,7 @@ from tillpoint.functions.expr import c
 
 def parse_currency(x) -> Column:
     """B1: '$1,234.50' / '-$5.00' -> 1234.5 / -5.0; blanks and junk -> null."""
-    return _try_double(F.regexp_replace(c(x).cast("string"), r"[$,]", ""))
+    return _try_double(F.replace(F.replace(c(x).cast("string"), F.lit("$"), F.lit("")), F.lit(","), F.lit("")))
 
 
 def _try_double(s: Column) -> Column:

@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -42,6 +44,18 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
 
 
+@contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """For writes of wide rows made of many expressions: generated methods beyond 8000 bytes, which the JVM never compiles, are split."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints.
 

@@ -7,6 +7,8 @@ only" are column expressions rather than driver-side file loops. Every line that
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,43 +35,69 @@ CELL = r',("[^"]*(?:""[^"]*)*"|[^,"]*)'
 def file_lines(reader, inbox: str) -> DataFrame:
     """A2 + A6: (line, file_name, file_mtime) of all *.csv and *.csv.gz files below `inbox`, from ``spark.read`` or ``spark.readStream``."""
     lines = (reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv*").option("ignoreCorruptFiles", True).text(inbox))
-    return lines.select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.url_decode(F.col("_metadata.file_name")).alias("file_name"),
+    text = F.when(F.startswith("value", F.lit("\ufeff")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    return lines.select(text.alias("line"), F.url_decode(F.col("_metadata.file_name")).alias("file_name"),
                         F.col("_metadata.file_modification_time").alias("file_mtime"))
 
 
-def _cell(raw: Column) -> Column:
-    """A cell's text: quotes taken off, null if nothing is left."""
-    bare = F.when(raw.startswith('"'), F.replace(raw.substr(F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
-    return F.nullif(bare, F.lit(""))
+def _raw() -> Column:
+    """A line's cells as they stand."""
+    return F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(CELL), F.lit(1))
+
+
+def _text(raw: Column) -> Column:
+    """A cell's text: quotes taken off."""
+    return F.when(raw.startswith('"'), F.replace(raw.substr(F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
+
+
+def _names(raw: Column) -> Column:
+    return F.transform(raw, lambda c: F.trim(_text(c)))
+
+
+def _is_header(headers: list[str]) -> Column:
+    """Whether at least three of the wanted names (or all, if fewer) are cells; only lines with a cell that may be one are looked at cell by cell."""
+    least = min(3, len(headers))
+    names = [h.replace('"', '""') for h in headers]
+    starts = "".join(sorted({re.escape(n[0]) for n in names}))
+    may = F.rlike(F.concat(F.lit(","), "line"), F.lit(f',"?\\x20*(?=[{starts}])(?:{"|".join(map(re.escape, names))})\\x20*(?:[",]|$)'))
+    known = F.array_intersect(_names(F.col("_raw")), F.array(*(F.lit(h) for h in headers)))
+    return F.when(may, F.size(known) >= least).otherwise(F.lit(False))
+
+
+def header_rows(lines: DataFrame, headers) -> DataFrame:
+    """(_file, _at) of lines (line, file_name): one row a file with a header row, its first, with the places of the wanted names (from 1,
+    null if missing) as h0, h1, ... and its width. No other line is cut."""
+    headers = list(headers)
+    lines = lines.where(F.trim("line") != "").withColumn("_no", F.monotonically_increasing_id()).withColumn("_raw", _raw())
+    rows = lines.where(_is_header(headers)).select("file_name", "_no", F.size("_raw").alias("width"), _names(F.col("_raw")).alias("_names"))
+    firsts = rows.groupBy(F.col("file_name").alias("_file")).agg(F.min_by(F.struct("_names", "width"), "_no").alias("_first"))
+    places = (F.nullif(F.array_position("_names", F.lit(h)).cast("int"), F.lit(0)).alias(f"h{i}") for i, h in enumerate(headers))
+    return firsts.select("_file", "_first.*").select("_file", F.struct(*places, "width").alias("_at"))
 
 
-def name_lines(lines: DataFrame, headers) -> DataFrame:
+def name_lines(lines: DataFrame, headers, heads: DataFrame | None = None) -> DataFrame:
     """Lines (line, file_name, file_mtime) -> one column a header, by the names in each file's own header row, with line_no, line and ``refused``.
 
-    A header row is one with at least three of the wanted names (or all, if fewer); the first of a file counts. Columns
-    may stand in any order, unknown ones are left out, missing ones are null. Blank lines and header rows are no rows.
-    A row is refused ('quotes', 'header' or 'width') if its quotes do not pair, its file has no header row, or it has more
-    cells than the header. The header table has one row a file. ``line_no`` rises within a file.
+    A header row is one with at least three of the wanted names (or all, if fewer); the first of a file counts (`heads`: those of
+    `header_rows`, where they are known already). Columns may stand in any order, unknown ones are left out, missing ones are null.
+    Blank lines and header rows are no rows. A row is refused ('quotes', 'header' or 'width') if its quotes do not pair, its file has
+    no header row, or it has more cells than the header. The header table has one row a file. ``line_no`` rises within a file.
     """
     headers = list(headers)
-    least = min(3, len(headers))
-    raw = F.regexp_extract_all(F.concat(F.lit(","), "line"), F.lit(CELL), F.lit(1))
-    lines = lines.where(F.trim("line") != "").withColumn("_no", F.monotonically_increasing_id())
-    # lines are numbered before they are cut, so that the search for headers cuts no others
-    lines = lines.withColumn("_raw", raw)
-    named = sum((F.contains("line", F.lit(h)).cast("int") for h in headers), F.lit(0)) >= least
-    trimmed = F.transform("_raw", lambda c: F.trim(_cell(c)))
-    # only lines that hold the names are looked at cell by cell
-    is_header = F.when(named, F.size(F.array_intersect(trimmed, F.array(*(F.lit(h) for h in headers)))) >= least).otherwise(F.lit(False))
-    lines = lines.withColumn("_is_header", is_header)
-    places = F.struct(*(F.array_position(trimmed, F.lit(h)).cast("int").alias(f"h{i}") for i, h in enumerate(headers)), F.size("_raw").alias("width"))
-    head = lines.where("_is_header").groupBy(F.col("file_name").alias("_file")).agg(F.min_by(places, "_no").alias("_at"))
+    heads = header_rows(lines, headers) if heads is None else heads
+    rows = lines.where(F.trim("line") != "").withColumns({"_no": F.monotonically_increasing_id(), "_raw": _raw()})
+    rows = rows.where(~_is_header(headers))
     # one row a file: broadcast, or all cells of all lines would be shuffled by their file
-    rows = lines.where(~F.col("_is_header")).join(F.broadcast(head), F.col("file_name") == F.col("_file"), "left")
-    refused = (F.when(F.length(F.array_join("_raw", ",")) != F.length("line"), "quotes").when(F.col("_file").isNull(), "header")
+    rows = rows.join(F.broadcast(heads), F.col("file_name") == F.col("_file"), "left")
+    # the cells and a comma between two of them are the whole line, or its quotes do not pair
+    length = F.aggregate("_raw", F.size("_raw") - 1, lambda n, c: n + F.length(c))
+    refused = (F.when(length != F.length("line"), "quotes").when(F.col("_file").isNull(), "header")
                .when(F.size("_raw") > F.col("_at.width"), "width"))
-    value = lambda i: F.when(F.col(f"_at.h{i}") > 0, _cell(F.get("_raw", F.col(f"_at.h{i}") - 1)))
-    return rows.select(*(value(i).alias(h) for i, h in enumerate(headers)), "file_name", "file_mtime", F.col("_no").alias("line_no"), "line", refused.alias("refused"))
+    # in steps, each cell once a step, and those with a lambda apart from the others: the generated code of twenty cells in one is too long for
+    # the JVM to compile
+    rows = rows.withColumns({f"_{i}": F.try_element_at("_raw", F.col(f"_at.h{i}")) for i in range(len(headers))})
+    rows = rows.select(*(_text(F.col(f"_{i}")).alias(f"_{i}") for i in range(len(headers))), "file_name", "file_mtime", F.col("_no").alias("line_no"), "line", refused.alias("refused"))
+    return rows.select(*(F.nullif(F.col(f"_{i}"), F.lit("")).alias(h) for i, h in enumerate(headers)), "file_name", "file_mtime", "line_no", "line", "refused")
 
 
 def read_csv_files(spark: SparkSession, inbox: str, headers, keywords=None, exclude=None) -> DataFrame:
@@ -104,13 +132,16 @@ def typed_sales(named: DataFrame) -> DataFrame:
     """Named text columns -> internal names and types; row_seq is the line's place in its file. A row without a readable
     time is refused, too ('date')."""
     out = named.select(*[F.col(f"`{k}`").alias(v) for k, v in fixed.COLUMN_MAP.items()], "file_name", "line_no", "line", "refused")
-    return out.select(
+    # not deterministic, or filters on what is parsed would be moved before it and parse it once more
+    place = F.when(F.monotonically_increasing_id() >= 0, F.col("line_no"))
+    # amounts by one lambda, which keeps this step's code apart from that of the cells
+    out = out.withColumn("_money", F.transform(F.array(*fixed.MONEY_COLS), clean.parse_currency)).select(
         "receipt_id", "order_type", "sold_by", clean.parse_timestamp(F.col("completed_at")).alias("completed_at"),
         "customer_id", "customer_name", "store", "product",
         "category", "brand", clean.coerce_quantity(F.col("quantity")).alias("quantity"),
-        *[clean.parse_currency(F.col(c)).alias(c) for c in fixed.MONEY_COLS], "deals_used", "inline_discounts", "file_name",
-        file_end_date(F.col("file_name")).alias("file_end"), F.col("line_no").alias("row_seq"), "line",
-        F.coalesce("refused", F.when(clean.parse_timestamp(F.col("completed_at")).isNull(), "date")).alias("refused"))
+        *(F.get("_money", F.lit(i)).alias(c) for i, c in enumerate(fixed.MONEY_COLS)), "deals_used", "inline_discounts", "file_name",
+        file_end_date(F.col("file_name")).alias("file_end"), place.alias("row_seq"), "line", "refused")
+    return out.withColumn("refused", F.coalesce("refused", F.when(F.col("completed_at").isNull(), "date")))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -6,12 +6,17 @@ all money is integer cents, converted to a two-decimal double at the end.
 """
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillpoint.plans.dedup import MonthParts, ReceiptParts
 from tillpoint.sources.tables import read_table
 
+if TYPE_CHECKING:
+    from tillpoint.sources.inbox import MonthFiles
+
 # --- FIXED VALUES: test-model vocabularies --------------------------------
 ORDER_TYPES = ["Walk-In", "In-Store", "Online", "Delivery"]
 DEALS = [
@@ -43,7 +48,21 @@ def _lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 
 
-def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts | None = None) -> DataFrame:
+#: By what the lines of a receipt and product are ordered.
+LINE_ORDER = ["l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+
+
+def _completed_at():
+    hours = ((F.col("o_orderkey") * 7 + 3) % 14 + 8).cast("int")
+    return F.timestamp_add("HOUR", hours, F.col("o_orderdate").cast("timestamp_ntz")).alias("completed_at")
+
+
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(completed_at) of all orders."""
+    return read_table(spark, sf_dir, "orders").select(_completed_at())
+
+
+def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts | MonthFiles | None = None) -> DataFrame:
     """Raw sales lines (pre-normalisation) built from the driver tables.
 
     Joins: parts to the lines' keys and numbers, customers to orders (a quarter of
@@ -52,7 +71,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts
     needs no shuffle of its own, and one by month compresses what they share.
     Suppliers last (size decided by AQE, or by their number where lines stay by
     receipt; nation and region are 25 and 5 rows by definition).
-    `dealt` leaves the lines by receipt or deals them by month while they are still
+    `dealt` leaves the lines by receipt or deals them by month (or file) while they are still
     keys and numbers, before the texts and amounts of a sales line are made of them,
     the receipt's text too; without it lines meet their orders by that text.
     """
@@ -61,7 +80,9 @@ def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    # a part's own texts are made once a part, not once a line
+    category = F.when(F.col("p_partkey") % 2 == 0, F.lower("p_type")).otherwise(F.concat(F.lit(" "), F.col("p_type")))
+    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", category.alias("p_category"))
     s = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -71,10 +92,8 @@ def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts
            .select("s_suppkey", "s_name", F.inline(F.filter("_places", lambda x: x["n_nationkey"] == F.col("s_nationkey"))))
            .drop("n_nationkey"))
 
-    hours = ((F.col("o_orderkey") * 7 + 3) % 14 + 8).cast("int")
     o = o.join(cu, F.col("o_custkey") == cu.c_custkey, "left").select(
-        F.col("o_orderkey").cast("bigint" if dealt else "string").alias("_order"), F.col("o_custkey"), "c_name",
-        F.timestamp_add("HOUR", hours, F.col("o_orderdate").cast("timestamp_ntz")).alias("completed_at"))
+        F.col("o_orderkey").cast("bigint" if dealt else "string").alias("_order"), F.col("o_custkey"), "c_name", _completed_at())
     li = li.join(p, li.l_partkey == p.p_partkey, "left").drop("p_partkey")
     if not dealt:
         li = li.withColumn("receipt_id", F.col("l_orderkey").cast("string"))
@@ -112,7 +131,6 @@ def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts
         F.when(pk % 97 == 0, F.lit(" Tester")).otherwise(F.lit("")),
         F.when(pk % 89 == 0, F.lit(" Exit Bag")).otherwise(F.lit("")),
     )
-    category = F.when(pk % 2 == 0, F.lower(F.col("p_type"))).otherwise(F.concat(F.lit(" "), F.col("p_type")))
     deals = F.when(F.col("_pct") == 0, F.lit(None).cast("string")).otherwise(
         F.element_at(_lit_array(DEALS), ((F.col("l_orderkey") + F.col("l_partkey")) % 10 + 1).cast("int")))
     out = df.select(
@@ -124,7 +142,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts
         F.col("c_name").alias("customer_name"),
         F.concat(F.col("r_name"), F.lit(" - RD"), F.col("l_suppkey").cast("string")).alias("store"),
         product.alias("product"),
-        category.alias("category"),
+        F.col("p_category").alias("category"),
         F.concat(F.col("p_brand"), F.lit(" ")).alias("brand"),
         F.col("l_quantity").cast("int").alias("quantity"),
         money("_cents").alias("pre_discount_revenue"),
@@ -138,8 +156,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, dealt: MonthParts | ReceiptParts
         F.when(F.col("l_suppkey") % 11 == 0, F.lit("Employee")).alias("inline_discounts"),
         F.lit(None).cast("string").alias("file_name"),
         F.lit(None).cast("date").alias("file_end"),
-        F.struct("l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                 "l_shipdate").alias("row_seq"),
+        F.struct(*LINE_ORDER).alias("row_seq"),
         *(dealt.COLUMNS if dealt else []),
     )
     return out
