@@ -234,3 +234,13 @@ def test_lines_are_cut_and_parsed_once_by_code_that_compiles(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sorted((r.receipt_id, r.actual_revenue) for r in read.collect()) == [("r1", 1.0), ("r2", 1.0), ("r3", 1.0), ("r9", 2.0)]
+
+
+def test_a_batch_looks_for_its_headers_once(spark, tmp_path, monkeypatch):
+    from tillpoint.streaming import ingest
+
+    found, real = [], ingest.header_rows
+    monkeypatch.setattr(ingest, "header_rows", lambda *a: found.append(1) or real(*a))
+    monkeypatch.setattr(pos_csv, "header_rows", lambda *a: pytest.fail("looked for once more"))
+    got = incremental_ingest(spark, _files(tmp_path, spark), str(tmp_path / "table"), str(tmp_path / "ck"))
+    assert sorted((r.receipt_id, r.actual_revenue) for r in got.collect()) == [("r1", 1.0), ("r2", 1.0), ("r3", 1.0), ("r9", 2.0)] and len(found) == 1

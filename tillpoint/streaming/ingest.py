@@ -26,7 +26,8 @@ from tillpoint.functions import fixed
 from tillpoint.plans.curate import SALES_COLUMNS, curate
 from tillpoint.plans.dedup import DEDUP_KEY, MonthParts
 from tillpoint.plans.publish import create_file, list_files, read_file
-from tillpoint.sources.pos_csv import _keyword_filter, accepted, file_lines, name_lines, refused_lines, typed_sales
+from tillpoint.session import short_methods
+from tillpoint.sources.pos_csv import _keyword_filter, accepted, file_lines, header_rows, name_lines, refused_lines, typed_sales
 
 NOTHING = {"batches": [], "refused": [], "months": {}}
 
@@ -47,11 +48,14 @@ def committed(spark: SparkSession, table_path: str) -> dict[int, dict]:
 def _stage(batch: DataFrame, batch_id: int, table_path: str, state: dict, category_aliases: dict | None) -> dict:
     """Write the batch's folders; the log entry that would make them count."""
     spark = batch.sparkSession
-    # cut twice, from the batch's own files, rather than kept: kept cells would take several times the files' size
-    parsed = typed_sales(name_lines(batch, fixed.COLUMN_MAP))
+    # cut twice, from the batch's own files, rather than kept: kept cells would take several times the files' size; one row a file is kept
+    found = header_rows(batch, fixed.COLUMN_MAP)
+    heads = spark.createDataFrame(found.collect(), found.schema)
+    parsed = typed_sales(name_lines(batch, fixed.COLUMN_MAP, heads))
     new = accepted(parsed).withColumns({"year": F.year("completed_at"), "month": F.month("completed_at")})
-    refused_lines(parsed).write.mode("overwrite").parquet(f"{table_path}/refused/batch={batch_id}")
-    new.write.mode("overwrite").partitionBy("year", "month").parquet(f"{table_path}/raw/batch={batch_id}")
+    with short_methods(spark):
+        refused_lines(parsed).write.mode("overwrite").parquet(f"{table_path}/refused/batch={batch_id}")
+        new.write.mode("overwrite").partitionBy("year", "month").parquet(f"{table_path}/raw/batch={batch_id}")
     raw = lambda batches: spark.read.schema(new.schema).option("basePath", f"{table_path}/raw").parquet(*(f"{table_path}/raw/batch={b}" for b in batches))
     # one row a month: the months' literals prune the partitions read below
     months = [(r.year, r.month) for r in raw([batch_id]).select("year", "month").distinct().collect()]
@@ -62,7 +66,8 @@ def _stage(batch: DataFrame, batch_id: int, table_path: str, state: dict, catego
         # a line's place in its file holds within its batch; the same file never comes twice
         stored = raw(entry["batches"]).where(touched).drop("year", "month", "batch")
         stored = MonthParts.for_lines(spark, stored.count()).deal(stored, *DEDUP_KEY)
-        curate(stored, category_aliases=category_aliases).write.mode("overwrite").partitionBy("year", "month").parquet(f"{table_path}/months/batch={batch_id}")
+        with short_methods(spark):
+            curate(stored, category_aliases=category_aliases).write.mode("overwrite").partitionBy("year", "month").parquet(f"{table_path}/months/batch={batch_id}")
         entry["months"] |= {f"{y}-{m}": batch_id for y, m in months}
     return entry
 
