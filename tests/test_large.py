@@ -244,3 +244,14 @@ def test_a_batch_looks_for_its_headers_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(pos_csv, "header_rows", lambda *a: pytest.fail("looked for once more"))
     got = incremental_ingest(spark, _files(tmp_path, spark), str(tmp_path / "table"), str(tmp_path / "ck"))
     assert sorted((r.receipt_id, r.actual_revenue) for r in got.collect()) == [("r1", 1.0), ("r2", 1.0), ("r3", 1.0), ("r9", 2.0)] and len(found) == 1
+
+
+def test_damaged_exports_are_packed_and_reported_by_name(spark, monkeypatch):
+    from tillpoint.catalog import ingest_q
+
+    folders, real = [], inbox.write_sales_inbox
+    monkeypatch.setattr(inbox, "write_sales_inbox", lambda *a, **b: folders.append(real(*a, **b)) or folders[-1])
+    report = ingest_q.load_report(spark, SF).collect()
+    names = [f for f in os.listdir(folders[0].removeprefix("file:")) if not f.startswith(".")]
+    assert names and all(f.endswith(".csv.gz") for f in names) and {r.file_name for r in report} == {f.removesuffix(".gz") for f in names}
+    assert all(r.rows_read == r.rows_kept + r.rows_refused for r in report)

@@ -41,7 +41,9 @@ def stream_roundtrip(spark, sf):
 
 
 def load_report(spark, sf):
-    return pos_csv.load_quality(pos_csv.read_sales_csv(spark, inbox.write_sales_inbox(spark, sf, broken=True)))
+    # exports lie there packed and are reported by their own names
+    report = pos_csv.load_quality(pos_csv.read_sales_csv(spark, inbox.write_sales_inbox(spark, sf, gzip=True, broken=True)))
+    return report.withColumn("file_name", F.regexp_replace("file_name", r"\.gz$", ""))
 
 
 LOAD_SQL = oracle(f"""
